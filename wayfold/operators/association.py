@@ -92,7 +92,9 @@ def interpolate_split(
         }
     )
     a, b, k = rigid.pose("_a."), rigid.pose("_b."), F.col("_k")
-    mixed = rigid.Pose(a.t.scale(F.lit(1.0) - k) + b.t.scale(k), rigid.slerp(a.q, b.q, k))
+    out = rigid.stage_slerp(out, a.q, b.q, k, "_m")
+    turned = rigid.Quat(*[F.col(f"_m{n}") for n in ("qw", "qx", "qy", "qz")])
+    mixed = rigid.Pose(a.t.scale(F.lit(1.0) - k) + b.t.scale(k), turned)
     est_pose = F.when(F.col("_both"), mixed.struct()).otherwise(_strip("_near"))
     return out.select(
         *keys, "stamp", "idx", F.col("stamp").alias("gt_stamp"), F.col("idx").alias("gt_idx"),
@@ -101,10 +103,9 @@ def interpolate_split(
     )
 
 
-def _screw(alpha: Column) -> Column:
-    """prev * exp(alpha * log(prev^-1 * next)), on the structs `prev` and `next`."""
-    a, b = rigid.pose("prev."), rigid.pose("next.")
-    return a.mul(rigid.se3_exp(rigid.se3_log(a.between(b)).scale(alpha))).struct()
+def _with_screw(df: DataFrame) -> DataFrame:
+    """Add `_screw` between the structs `prev` and `next` at fraction `_k`."""
+    return rigid.stage_screw(df, rigid.pose("prev."), rigid.pose("next."), F.col("_k"), "_screw")
 
 
 def interpolate_screw(
@@ -121,11 +122,11 @@ def interpolate_screw(
     reached = F.col("next").isNotNull() | (F.col("_l") <= 1.0e-9)
     out = out.filter(reached & (F.least("_l", "_r") <= max_dt))
     span = F.col("_l") + F.col("_r")
-    out = out.withColumn("_k", F.when(span > 1.0e-9, F.col("_l") / span).otherwise(0.0))
+    out = _with_screw(out.withColumn("_k", F.when(span > 1.0e-9, F.col("_l") / span).otherwise(0.0)))
     picked = (
         F.when(F.col("prev").isNull(), _strip("next"))
         .when(F.col("next").isNull(), _strip("prev"))
-        .otherwise(_screw(F.col("_k")))
+        .otherwise(F.col("_screw"))
     )
     return out.select(
         *keys, "stamp", "idx", F.col("stamp").alias("gt_stamp"), F.col("idx").alias("gt_idx"),
@@ -148,12 +149,13 @@ def clamp_bracketed(bracketed: DataFrame, on: str, into: str) -> DataFrame:
     out = bracketed.withColumn(
         "_k", F.when(span > 1.0e-9, (F.col(on) - F.col("prev.stamp")) / span).otherwise(0.0)
     )
+    out = _with_screw(out)
     picked = (
         F.when(F.col("prev").isNull(), _strip("next"))
         .when(F.col("next").isNull(), _strip("prev"))
-        .otherwise(_screw(F.col("_k")))
+        .otherwise(F.col("_screw"))
     )
-    return out.withColumn(into, picked).drop("prev", "next", "_k")
+    return out.withColumn(into, picked).drop("prev", "next", "_k", "_screw")
 
 
 def closest_pose(

@@ -192,7 +192,9 @@ def dead_reckon(
         rows, keys, ORDER, [f"_t{n}" for n in "wxyz"], [f"_r{n}" for n in "wxyz"], _drive_rotation, chunks
     )
     q0 = rigid.Quat(*[F.col(f"_q0{n}") for n in "wxyz"])
-    q = rigid.unit_quat(q0.mul(rigid.Quat(*[F.col(f"_r{n}") for n in "wxyz"])))
+    turned = q0.mul(rigid.Quat(*[F.col(f"_r{n}") for n in "wxyz"]))
+    rows = rows.withColumns({f"q{n}": c for n, c in zip("wxyz", turned, strict=True)})
+    q = rigid.unit_quat(rigid.Quat(*[F.col(f"q{n}") for n in "wxyz"]))
     rows = rows.withColumns({f"q{n}": c for n, c in zip("wxyz", q, strict=True)})
     rows = rows.drop(*[f"_{p}{n}" for p in ("t", "r", "q0") for n in "wxyz"])
     q = rigid.Quat(*[F.col(f"q{n}") for n in "wxyz"])
@@ -252,14 +254,17 @@ def twist_between(
     dt = F.col("stamp") - F.col("_b.stamp")
     held = rigid.twist("_b.")
     held = rigid.Twist(*[rigid.Vec(*[F.coalesce(F.nanvl(c, F.lit(0.0)), F.lit(0.0)) for c in v]) for v in held])
-    link = rigid.se3_exp(held.scale(F.coalesce(dt, F.lit(0.0))))
+    step = held.scale(F.coalesce(dt, F.lit(0.0)))
+    rows = rows.withColumn("_xi", step.struct())
+    rows = rigid.stage_se3_exp(rows, rigid.twist("_xi."), "_link").drop("_xi")
+    link = rigid.pose("_link.")
     rows = rows.withColumns(
         {
             "_hole": F.when(dt > max_gap + 1.0e-9, 1).otherwise(0),
             "_bad": F.when(F.col("_b").isNull() | (dt <= 0), 0).otherwise(bad),
             **{f"_i{n}": c for n, c in zip(rigid.POSE_FIELDS, (*link.t, *link.q), strict=True)},
         }
-    ).drop("_b")
+    ).drop("_b", "_link")
     rows = running(
         rows, keys, ORDER, {"_holes": ("sum", F.col("_hole")), "_bads": ("sum", F.col("_bad"))}, chunks
     ).drop("_hole", "_bad")
@@ -283,10 +288,15 @@ def twist_between(
         return F.least(*[F.coalesce(F.abs(F.col(f"{s}.{n}")) < float("inf"), F.lit(False)) for n in rigid.TWIST_FIELDS])
 
     covered = covered & usable("a") & ((F.col("b.stamp") >= F.col("t1") - 1.0e-9) | usable("b"))
-    out = out.filter(F.lit(True)).withColumn("_ok", F.coalesce(covered, F.lit(False)))
-    lead = rigid.se3_exp(rigid.twist("a.").scale(F.col("a.stamp") - F.col("t0")))
-    tail = rigid.se3_exp(rigid.twist("b.").scale(F.col("t1") - F.col("b.stamp")))
-    out = out.withColumns({"_lead": lead.struct(), "_tail": tail.struct()})
+    out = out.withColumn("_ok", F.coalesce(covered, F.lit(False)))
+    out = out.withColumns(
+        {
+            "_xa": rigid.twist("a.").scale(F.col("a.stamp") - F.col("t0")).struct(),
+            "_xb": rigid.twist("b.").scale(F.col("t1") - F.col("b.stamp")).struct(),
+        }
+    )
+    out = rigid.stage_se3_exp(out, rigid.twist("_xa."), "_lead")
+    out = rigid.stage_se3_exp(out, rigid.twist("_xb."), "_tail").drop("_xa", "_xb")
     middle = rigid.pose("a.c_").between(rigid.pose("b.c_"))
     out = out.withColumn("_mid", rigid.pose("_lead.").mul(middle).struct())
     motion = rigid.pose("_mid.").mul(rigid.pose("_tail."))
@@ -352,8 +362,7 @@ def blend_corrections(
     since < stamp <= tip; alpha ramps from 0 to 1 over (since, scan] and stays 1 up to the tip. Corrections
     apply in `seq` order; only those that overlap a pose are gathered for it.
     """
-    tangent = rigid.se3_log(rigid.pose("delta."))
-    c = corrections.withColumn("xi", tangent.struct()).withColumn(
+    c = rigid.stage_se3_log(corrections, rigid.pose("delta."), "xi").withColumn(
         "_bucket",
         F.explode(F.sequence(F.floor(F.col("since") / bucket_s).cast("bigint"),
                              F.floor(F.col("tip") / bucket_s).cast("bigint"))),
@@ -369,7 +378,7 @@ def blend_corrections(
         (F.col("stamp") < F.col("scan")) & (span > 1.0e-9), rigid.clamp((F.col("stamp") - F.col("since")) / span, 0, 1)
     ).otherwise(1.0)
     hit = hit.withColumn("_xi", rigid.twist("xi.").scale(alpha).struct())
-    steps = hit.withColumn("_step", rigid.se3_exp(rigid.twist("_xi.")).struct()).groupBy(*keys, "idx", "stamp").agg(
+    steps = rigid.stage_se3_exp(hit, rigid.twist("_xi."), "_step").groupBy(*keys, "idx", "stamp").agg(
         F.array_sort(F.collect_list(F.struct("seq", F.col("_step").alias("step")))).alias("_steps")
     )
 

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..formats import FILTER, ODOM, TAG_BOTH, TAG_FILTER, TAG_NONE, TAG_ODOM, TAG_UNKNOWN
 from ..session import cut
 from .metrics import exact_quantiles
 from .ordered import Chunks, running
@@ -88,12 +89,12 @@ def classify_error_source(
     leader_far, ekf_far = leader >= far, ekf >= far
     residual_small = residual < F.greatest(F.lit(1.0), F.lit(0.35) * F.greatest(leader, ekf, F.lit(0.0)))
     return (
-        F.when(~F.coalesce(finite, F.lit(False)), "unknown")
-        .when(leader_far & residual_small, "back_odom_led")
-        .when(ekf_far & ~leader_far, "ekf_diverged")
-        .when(leader_far & ekf_far, "both")
-        .when(leader_far, "back_odom_led")
-        .otherwise("within_threshold")
+        F.when(~F.coalesce(finite, F.lit(False)), TAG_UNKNOWN)
+        .when(leader_far & residual_small, TAG_ODOM)
+        .when(ekf_far & ~leader_far, TAG_FILTER)
+        .when(leader_far & ekf_far, TAG_BOTH)
+        .when(leader_far, TAG_ODOM)
+        .otherwise(TAG_NONE)
     )
 
 
@@ -125,7 +126,7 @@ def filter_stats(
 ) -> DataFrame:
     """Filter health inside each section (`section_id`): residual, yaw, bias change, pose age, speed.
 
-    Signals: `stamp, err_x, err_y, err_yaw, bg_*, ba_*, back_odom_age, body_vx, body_vy`, null = missing.
+    Signals: `stamp, err_x, err_y, err_yaw, bg_*, ba_*, odom_age, body_vx, body_vy`, null = missing.
     """
     sid = [*keys, "section_id"]
     hit = section_overlap(sections.select(*sid, "stamp_start", "stamp_end"), signals, "stamp", keys, bucket_s)
@@ -145,7 +146,7 @@ def filter_stats(
         change(("ba_x", "ba_y", "ba_z")).alias("accel_bias_delta"),
         F.avg(F.hypot("body_vx", "body_vy")).alias("speed_mean_mps"),
     )
-    age = exact_quantiles(hit, sid, "back_odom_age", {"back_odom_age_p95_s": 0.95}, chunks=chunks)
+    age = exact_quantiles(hit, sid, "odom_age", {"odom_age_p95_s": 0.95}, chunks=chunks)
     return stats.join(age, sid, "left")
 
 
@@ -155,7 +156,7 @@ def section_summary(
 ) -> DataFrame:
     """Per section: error of its own estimator and the mean horizontal error of both estimators.
 
-    `errors`: `estimator, stamp, horiz, vert, yaw_deg` for the estimators `back_odom` and `ri_ekf`.
+    `errors`: `estimator, stamp, horiz, vert, yaw_deg` for both estimators.
     """
     sid = [*keys, "section_id"]
     s = sections.select(*sid, F.col(owner).alias("_owner"), "stamp_start", "stamp_end")
@@ -171,5 +172,5 @@ def section_summary(
     return hit.groupBy(*sid).agg(
         rms("horiz").alias("horiz_rmse_m"), F.max(F.when(own, F.col("horiz"))).alias("horiz_max_m"),
         rms("vert").alias("vert_rmse_m"), rms("yaw_deg").alias("yaw_rmse_deg"),
-        mean_of("back_odom").alias("back_odom_horiz_mean_m"), mean_of("ri_ekf").alias("ekf_horiz_mean_m"),
+        mean_of(ODOM).alias("odom_horiz_mean_m"), mean_of(FILTER).alias("ekf_horiz_mean_m"),
     )

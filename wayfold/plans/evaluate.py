@@ -118,7 +118,7 @@ def per_pose_errors(
 SIGNALS = (
     "err_x", "err_y", "err_z", "err_yaw_filter", "bg_x", "bg_y", "bg_z", "ba_x", "ba_y", "ba_z",
     "imu_ax", "imu_ay", "imu_az", "imu_wx", "imu_wy", "imu_wz", "body_vx", "body_vy", "body_vz",
-    "back_odom_age", "pose_applied",
+    "odom_age", "pose_applied",
 )
 
 
@@ -155,7 +155,7 @@ def build_sections(
     out = out.withColumn(
         "tag",
         sections.classify_error_source(
-            F.col("back_odom_horiz_mean_m"), F.col("ekf_horiz_mean_m"), F.col("residual_xy_mean_m"), F.col("threshold_m")
+            F.col("odom_horiz_mean_m"), F.col("ekf_horiz_mean_m"), F.col("residual_xy_mean_m"), F.col("threshold_m")
         ),
     )
     return out.select(
@@ -163,8 +163,8 @@ def build_sections(
         (F.col("stamp_end") - origin).alias("stamp_bag_end"), F.col("stamp_start").alias("stamp_gps_start"),
         F.col("stamp_end").alias("stamp_gps_end"), F.col("distance_start").alias("distance_start_m"),
         F.col("distance_end").alias("distance_end_m"), "horiz_rmse_m", "horiz_max_m", "vert_rmse_m", "yaw_rmse_deg",
-        "back_odom_horiz_mean_m", "ekf_horiz_mean_m", "residual_xy_mean_m", "filter_yaw_rmse_deg",
-        "gyro_bias_delta", "accel_bias_delta", "back_odom_age_p95_s", "speed_mean_mps", "kitti_length_m",
+        "odom_horiz_mean_m", "ekf_horiz_mean_m", "residual_xy_mean_m", "filter_yaw_rmse_deg",
+        "gyro_bias_delta", "accel_bias_delta", "odom_age_p95_s", "speed_mean_mps", "kitti_length_m",
         "kitti_translation_percent", "kitti_rotation_deg_per_100m", "threshold_m",
     )
 

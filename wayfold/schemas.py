@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+from .formats import ODOM
+
 _TYPES = {
     "string": T.StringType(), "bigint": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(),
     "float": T.FloatType(), "boolean": T.BooleanType(), "binary": T.BinaryType(),
@@ -45,8 +47,8 @@ TRACE_CSV = _d(
     "ekf_vx double, ekf_vy double, ekf_vz double, ekf_body_vx double, ekf_body_vy double, ekf_body_vz double, "
     "bg_x double, bg_y double, bg_z double, ba_x double, ba_y double, ba_z double, "
     "imu_ax double, imu_ay double, imu_az double, imu_wx double, imu_wy double, imu_wz double, "
-    "back_odom_x double, back_odom_y double, back_odom_z double, "
-    "back_odom_roll double, back_odom_pitch double, back_odom_yaw double, back_odom_age double, "
+    + ", ".join(f"{ODOM}_{n} double" for n in ("x", "y", "z", "roll", "pitch", "yaw", "age"))
+    + ", "
     "err_x double, err_y double, err_z double, err_yaw double, "
     "pose_applied double, pose_dropped_late double, pose_dropped_no_buffer double"
 )

@@ -19,6 +19,7 @@ def local_session(cpus: str = "8", app: str = "wayfold") -> SparkSession:
         .config("spark.driver.memory", os.environ.get("WAYFOLD_DRIVER_MEMORY", "12g"))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )

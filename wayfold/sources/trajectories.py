@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..formats import ODOM
 from ..functions import rigid
 
 # Static yaw of the lidar in the vehicle frame.
@@ -104,17 +105,17 @@ def filter_trace(rows: DataFrame, keys: Sequence[str] = ("drive",)) -> tuple[Dat
     signals = ekf.select(
         *keys, "idx", "stamp", "err_x", "err_y", "err_z", F.col("err_yaw"), "bg_x", "bg_y", "bg_z", "ba_x", "ba_y", "ba_z",
         "imu_ax", "imu_ay", "imu_az", "imu_wx", "imu_wy", "imu_wz",
-        *[F.col(f"ekf_body_v{a}").alias(f"body_v{a}") for a in "xyz"], "back_odom_age", "pose_applied",
+        *[F.col(f"ekf_body_v{a}").alias(f"body_v{a}") for a in "xyz"], F.col(f"{ODOM}_age").alias("odom_age"), "pose_applied",
     )
-    odom = rows.filter(finite("stamp", "back_odom_x", "back_odom_y", "back_odom_z", "back_odom_age", "pose_applied"))
+    odom = rows.filter(finite("stamp", *[f"{ODOM}_{n}" for n in ("x", "y", "z", "age")], "pose_applied"))
     odom = odom.withColumn("_id", F.rint("pose_applied").cast("bigint"))
-    taken = ["stamp", "idx", "back_odom_age", *[f"back_odom_{n}" for n in ("x", "y", "z", "roll", "pitch", "yaw")]]
+    taken = ["stamp", "idx", f"{ODOM}_age", *[f"{ODOM}_{n}" for n in ("x", "y", "z", "roll", "pitch", "yaw")]]
     # The trace is written in time order, so the first row of an id is its earliest one.
     first = odom.groupBy(*keys, "_id").agg(F.min_by(F.struct(*taken), F.struct("stamp", "_order")).alias("_o"))
-    q = rigid.quat_from_rpy(*[F.col(f"_o.back_odom_{n}") for n in ("roll", "pitch", "yaw")])
+    q = rigid.quat_from_rpy(*[F.col(f"_o.{ODOM}_{n}") for n in ("roll", "pitch", "yaw")])
     odometry = first.select(
-        *keys, F.col("_o.idx").alias("idx"), (F.col("_o.stamp") - F.col("_o.back_odom_age")).alias("stamp"),
-        *[F.col(f"_o.back_odom_{n}").alias(n) for n in "xyz"], *[c.alias(n) for c, n in zip(q, names, strict=True)],
+        *keys, F.col("_o.idx").alias("idx"), (F.col("_o.stamp") - F.col(f"_o.{ODOM}_age")).alias("stamp"),
+        *[F.col(f"_o.{ODOM}_{n}").alias(n) for n in "xyz"], *[c.alias(n) for c, n in zip(q, names, strict=True)],
         F.col("_id").alias("pose_applied"),
     )
     return poses, signals, odometry
