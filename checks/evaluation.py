@@ -170,11 +170,11 @@ def has_pose_near(spark, sf):
 # --- distance and motion -------------------------------------------------------------------------------
 
 STEPS = GT + """,
-st AS (SELECT drive, idx, stamp, x, y, z, yaw, roll, pitch, lag(x) OVER w AS bx, lag(y) OVER w AS by, lag(z) OVER w AS bz,
+st AS (SELECT drive, idx, stamp, x, y, z, yaw, roll, pitch, lag(x) OVER w AS bx, lag(y) OVER w AS b_y, lag(z) OVER w AS bz,
   lag(yaw) OVER w AS byaw, lag(roll) OVER w AS broll, lag(pitch) OVER w AS bpitch, lag(stamp) OVER w AS bs
   FROM gt WINDOW w AS (PARTITION BY drive ORDER BY stamp, idx))"""
-STEP3 = "coalesce(sqrt((x - bx) ** 2 + (y - by) ** 2 + (z - bz) ** 2), 0e0)"
-STEP2 = "coalesce(sqrt((x - bx) ** 2 + (y - by) ** 2), 0e0)"
+STEP3 = "coalesce(sqrt((x - bx) ** 2 + (y - b_y) ** 2 + (z - bz) ** 2), 0e0)"
+STEP2 = "coalesce(sqrt((x - bx) ** 2 + (y - b_y) ** 2), 0e0)"
 
 
 @query(
@@ -200,7 +200,7 @@ def cumulative_distance(spark, sf):
 @query(
     "relative_motion",
     f"WITH {STEPS}, m AS (SELECT *, {rot_columns('b', 'b')}, {rot_columns('', 'r')} FROM st) SELECT drive, idx, {r('stamp - bs', 'dt', 3)}, "
-    f"{r('b00*(x-bx)+b10*(y-by)+b20*(z-bz)', 'mx')}, {r('b01*(x-bx)+b11*(y-by)+b21*(z-bz)', 'my')}, {r('b02*(x-bx)+b12*(y-by)+b22*(z-bz)', 'mz')}, "
+    f"{r('b00*(x-bx)+b10*(y-b_y)+b20*(z-bz)', 'mx')}, {r('b01*(x-bx)+b11*(y-b_y)+b21*(z-bz)', 'my')}, {r('b02*(x-bx)+b12*(y-b_y)+b22*(z-bz)', 'mz')}, "
     + r("acos(least(1e0, greatest(-1e0, (b00*r00+b10*r10+b20*r20+b01*r01+b11*r11+b21*r21+b02*r02+b12*r12+b22*r22-1)/2)))", "angle")
     + " FROM m",
 )
@@ -365,10 +365,10 @@ def rpe_spatial(spark, sf):
 
 
 def kitti_sql(space: str) -> str:
-    step = "(gx-bx)**2 + (gy-by)**2" + (" + (gz-bz)**2" if space == "se3" else "")
+    step = "(gx-bx)**2 + (gy-b_y)**2" + (" + (gz-bz)**2" if space == "se3" else "")
     sides = ", ".join(f"a.{s}{c} AS {s}{c}0, b.{s}{c} AS {s}{c}1" for s in "eg" for c in ("x", "y", "z", "yaw", "roll", "pitch"))
     base = UNIQUE + f""",
-lagged AS (SELECT *, lag(gx) OVER w AS bx, lag(gy) OVER w AS by, lag(gz) OVER w AS bz, row_number() OVER w AS rn
+lagged AS (SELECT *, lag(gx) OVER w AS bx, lag(gy) OVER w AS b_y, lag(gz) OVER w AS bz, row_number() OVER w AS rn
   FROM uniq WINDOW w AS (PARTITION BY drive ORDER BY stamp, gt_idx)),
 dist AS (SELECT *, sum(coalesce(sqrt({step}), 0e0)) OVER (PARTITION BY drive ORDER BY rn ROWS UNBOUNDED PRECEDING) AS d FROM lagged),
 starts AS (SELECT *, d + l.length_m AS target FROM dist, (SELECT unnest([100e0,200e0,300e0,400e0,500e0,600e0,700e0,800e0]) AS length_m) l WHERE (rn - 1) % 10 = 0),
@@ -475,8 +475,8 @@ def kitti_rollup(spark, sf):
 
 
 _LEGACY = UNIQUE + f""",
-lagged AS (SELECT *, lag(gx) OVER w AS bx, lag(gy) OVER w AS by, row_number() OVER w AS rn FROM uniq WINDOW w AS (PARTITION BY drive ORDER BY stamp, gt_idx)),
-dist AS (SELECT *, sum(coalesce(sqrt((gx-bx)**2 + (gy-by)**2), 0e0)) OVER (PARTITION BY drive ORDER BY rn ROWS UNBOUNDED PRECEDING) AS d FROM lagged),
+lagged AS (SELECT *, lag(gx) OVER w AS bx, lag(gy) OVER w AS b_y, row_number() OVER w AS rn FROM uniq WINDOW w AS (PARTITION BY drive ORDER BY stamp, gt_idx)),
+dist AS (SELECT *, sum(coalesce(sqrt((gx-bx)**2 + (gy-b_y)**2), 0e0)) OVER (PARTITION BY drive ORDER BY rn ROWS UNBOUNDED PRECEDING) AS d FROM lagged),
 starts AS (SELECT *, d + l.length_m AS target FROM dist, {_LENGTHS} l),
 hit AS (
   SELECT a.*, n.rn AS n_rn, n.d AS n_d, p.d AS p_d FROM starts a ASOF JOIN dist n ON a.drive = n.drive AND a.target <= n.d
@@ -797,7 +797,7 @@ def pose_table_columns(spark, sf):
     pairs = association.associate_unique(e, g, GAP, chunks=ch).persist()
     route = metrics.cumulative_distance(g, chunks=ch).select("drive", F.col("stamp").alias("gt_stamp"), F.col("idx").alias("gt_idx"), "distance")
     errors = evaluate.compare_pairs(pairs, route, DELTA, chunks=ch)["errors"]
-    # Yaw about the vertical differs from the aligned quaternion's yaw by rounding only; tilt stays small here.
+    # Yaw about the vertical differs from the aligned quaternion's yaw b_y rounding only; tilt stays small here.
     t = sinks.pose_table(errors.withColumn("estimator", F.lit(ODOM)), signals(spark, sf), 1000.0)
     out = t.select(
         "drive", "estimator", "stamp_gps", "stamp_bag", "distance_m", "gt_x", "gt_z", "gt_roll", "gt_pitch", "est_pitch", "se2_x", "se2_y",

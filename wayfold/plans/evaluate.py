@@ -187,4 +187,4 @@ def report_top(runs: DataFrame, by: str, n: int, keys: Sequence[str] = DRIVE) ->
         left = left.join(mark, list(keys)).filter(
             (F.col(by) < F.col("_v")) | ((F.col(by) == F.col("_v")) & (F.col("stamp_start") > F.col("_s")))
         ).drop("_v", "_s")
-    return kept
+    return runs.select(*keys, F.lit(0).alias("rank"), *cols).limit(0) if kept is None else kept
