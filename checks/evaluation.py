@@ -201,7 +201,7 @@ def cumulative_distance(spark, sf):
     "relative_motion",
     f"WITH {STEPS}, m AS (SELECT *, {rot_columns('b', 'b')}, {rot_columns('', 'r')} FROM st) SELECT drive, idx, {r('stamp - bs', 'dt', 3)}, "
     f"{r('b00*(x-bx)+b10*(y-b_y)+b20*(z-bz)', 'mx')}, {r('b01*(x-bx)+b11*(y-b_y)+b21*(z-bz)', 'my')}, {r('b02*(x-bx)+b12*(y-b_y)+b22*(z-bz)', 'mz')}, "
-    + r("acos(least(1e0, greatest(-1e0, (b00*r00+b10*r10+b20*r20+b01*r01+b11*r11+b21*r21+b02*r02+b12*r12+b22*r22-1)/2)))", "angle")
+    + r("CASE WHEN bx IS NOT NULL THEN acos(least(1e0, greatest(-1e0, (b00*r00+b10*r10+b20*r20+b01*r01+b11*r11+b21*r21+b02*r02+b12*r12+b22*r22-1)/2))) END", "angle")
     + " FROM m",
 )
 def relative_motion(spark, sf):
@@ -700,7 +700,7 @@ def worst_segments(spark, sf):
 @query(
     "report_worst_runs",
     f"{_TWO} SELECT estimator, drive, row_number() OVER w AS rank, {r('t0', 'stamp_start', 3)}, {r('d1 - d0', 'span_m', 3)} FROM spans "
-    "QUALIFY row_number() OVER w <= 5 WINDOW w AS (PARTITION BY drive, estimator ORDER BY d1 - d0 DESC, t0)",
+    "WINDOW w AS (PARTITION BY drive, estimator ORDER BY d1 - d0 DESC, t0) QUALIFY row_number() OVER w <= 5",
 )
 def report_worst_runs(spark, sf):
     _, _, s = spans(spark, sf)

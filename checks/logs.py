@@ -84,19 +84,19 @@ def skipped_total(spark, sf):
     return matchlog.skipped_total(V.match_log(spark, sf), chunks=ch).select("drive", "idx", "skipped_total")
 
 
-@query("scan_stages", f"WITH {LOG} SELECT drive, {r('stamp', 'stamp', 3)}, {rs('deskew_ms', 'voxel_ms', 'align_ms', 'cost_ms', 'refine_ms', 'map_ms', digits=3)}, timed_out, skipped, applied, {_SKIP} FROM lg")
+@query("scan_stages", f"WITH {LOG} SELECT drive, {r('stamp', 'stamp', 3)}, {rs('deskew_ms', 'voxel_ms', 'align_ms', 'cost_ms', 'refine_ms', 'map_ms', digits=6)}, timed_out, skipped, applied, {_SKIP} FROM lg")
 def scan_stages(spark, sf):
     ch = V.time_chunks(spark, sf)
-    return rounded(matchlog.scan_stages(V.match_log(spark, sf), chunks=ch), 3)
+    return rounded(matchlog.scan_stages(V.match_log(spark, sf), chunks=ch), 6, stamp=3)
 
 
 @query(
     "match_status",
     f"WITH {LOG} SELECT drive, idx, CASE WHEN timed_out AND NOT applied THEN 'timeout' WHEN saturated THEN 'saturated' ELSE 'applied' END AS status, {r('coalesce(ndt_cost, -1)', 'ndt_cost')}, "
-    f"{r('deskew_ms + voxel_ms + align_ms + cost_ms + refine_ms + map_ms', 'total_ms', 3)} FROM lg WHERE (timed_out AND NOT applied) OR (applied AND NOT first)",
+    f"{r('deskew_ms + voxel_ms + align_ms + cost_ms + refine_ms + map_ms', 'total_ms', 6)} FROM lg WHERE (timed_out AND NOT applied) OR (applied AND NOT first)",
 )
 def match_status(spark, sf):
-    return rounded(matchlog.match_status(V.match_log(spark, sf)).select("drive", "idx", "status", "ndt_cost", "total_ms"), 4, total_ms=3)
+    return rounded(matchlog.match_status(V.match_log(spark, sf)).select("drive", "idx", "status", "ndt_cost", "total_ms"), 4, total_ms=6)
 
 
 _STAGES = matchlog.STAGES
