@@ -104,9 +104,9 @@ def voxel_spaced(spark, sf):
 
 @query(
     "stride_sample",
-    f"WITH {POINTS}, n AS (SELECT scan_id, idx, row_number() OVER (PARTITION BY drive, scan_id ORDER BY idx) - 1 AS at, count(*) OVER (PARTITION BY drive, scan_id) AS n FROM pts), "
-    "k AS (SELECT scan_id, CAST(floor(i.i * (n / 100e0)) AS BIGINT) AS at FROM (SELECT DISTINCT scan_id, n FROM n WHERE n > 100), (SELECT unnest(range(100)) AS i) i) "
-    "SELECT scan_id, idx FROM n WHERE n <= 100 OR (scan_id, at) IN (SELECT (scan_id, at) FROM k)",
+    f"WITH {POINTS}, n AS (SELECT scan_id, idx, row_number() OVER (PARTITION BY drive, scan_id ORDER BY idx) - 1 AS pos, count(*) OVER (PARTITION BY drive, scan_id) AS n FROM pts), "
+    "k AS (SELECT scan_id, CAST(floor(i.i * (n / 100e0)) AS BIGINT) AS pos FROM (SELECT DISTINCT scan_id, n FROM n WHERE n > 100), (SELECT unnest(range(100)) AS i) i) "
+    "SELECT scan_id, idx FROM n WHERE n <= 100 OR (scan_id, pos) IN (SELECT (scan_id, pos) FROM k)",
 )
 def stride_sample(spark, sf):
     return P.stride_sample(V.points(spark, sf), 100).select("scan_id", "idx")
@@ -152,11 +152,11 @@ b AS (SELECT q.*, l.stamp AS ls, l.x AS lx, l.y AS ly, l.z AS lz, l.yaw AS lyaw,
 s AS (SELECT *, (t - ls) / (ns - ls) AS k, nyaw - lyaw AS th, cos(lyaw)*(nx-lx) + sin(lyaw)*(ny-ly) AS ux, cos(lyaw)*(ny-ly) - sin(lyaw)*(nx-lx) AS uy FROM b),
 c AS (SELECT *, (ux - uy / tan(th / 2)) / 2 AS cx, (uy + ux / tan(th / 2)) / 2 AS cy FROM s),
 m AS (SELECT *, cx - cos(k*th)*cx + sin(k*th)*cy AS mx, cy - sin(k*th)*cx - cos(k*th)*cy AS my FROM c),
-at AS (SELECT drive, scan_id, idx, CASE WHEN ls IS NULL THEN nx WHEN ns IS NULL THEN lx ELSE lx + cos(lyaw)*mx - sin(lyaw)*my END AS px,
+posed AS (SELECT drive, scan_id, idx, CASE WHEN ls IS NULL THEN nx WHEN ns IS NULL THEN lx ELSE lx + cos(lyaw)*mx - sin(lyaw)*my END AS px,
   CASE WHEN ls IS NULL THEN ny WHEN ns IS NULL THEN ly ELSE ly + sin(lyaw)*mx + cos(lyaw)*my END AS py,
   CASE WHEN ls IS NULL THEN nz WHEN ns IS NULL THEN lz ELSE lz + k*(nz-lz) END AS pz, CASE WHEN ls IS NULL THEN nyaw WHEN ns IS NULL THEN lyaw ELSE lyaw + k*th END AS pyaw FROM m),
 w AS (SELECT p.drive, p.scan_id, p.idx, a.px + cos(a.pyaw)*p.x - sin(a.pyaw)*p.y AS wx, a.py + sin(a.pyaw)*p.x + cos(a.pyaw)*p.y AS wy, a.pz + p.z AS wz,
-  e.px AS ex, e.py AS ey, e.pz AS ez, e.pyaw AS eyaw FROM tp p JOIN at a ON a.drive = p.drive AND a.scan_id = p.scan_id AND a.idx = p.idx JOIN at e ON e.drive = p.drive AND e.scan_id = p.scan_id AND e.idx = -1)
+  e.px AS ex, e.py AS ey, e.pz AS ez, e.pyaw AS eyaw FROM tp p JOIN posed a ON a.drive = p.drive AND a.scan_id = p.scan_id AND a.idx = p.idx JOIN posed e ON e.drive = p.drive AND e.scan_id = p.scan_id AND e.idx = -1)
 SELECT scan_id, idx, {r('cos(eyaw)*(wx-ex) + sin(eyaw)*(wy-ey)', 'x', 3)}, {r('cos(eyaw)*(wy-ey) - sin(eyaw)*(wx-ex)', 'y', 3)}, {r('wz - ez', 'z', 3)} FROM w"""
 
 

@@ -159,7 +159,7 @@ def _extrinsics(spark, sf):
 
 POINTS = """pts AS (SELECT l_orderkey % 4 AS drive, l_orderkey % 32 AS scan_id, ((l_orderkey * 8 + l_linenumber) << 27) + CAST(round(l_extendedprice * 100) AS BIGINT) AS idx,
   l_linenumber * 0.01e0 AS t, x0*cos(0.3e0) - y0*sin(0.3e0) AS x, x0*sin(0.3e0) + y0*cos(0.3e0) AS y, z, intensity FROM (
-  SELECT *, l_extendedprice / 1e3 - 50e0 AS x0, l_quantity - 25e0 + (l_partkey % 10) * 0.1e0 AS y0, l_tax * 1e1 - 0.5e0 + (l_suppkey % 10) * 0.01e0 AS z, l_discount * 1e3 AS intensity FROM lineitem))"""
+  SELECT *, l_extendedprice / 1e3 - 50e0 AS x0, l_quantity - 25e0 + (l_partkey % 10) * 0.1e0 AS y0, l_tax * 1e1 - 0.5e0 + (l_suppkey % 10) * 0.01e0 + 0.003e0 * sin(l_orderkey) AS z, l_discount * 1e3 AS intensity FROM lineitem))"""
 
 
 @query(

@@ -140,7 +140,7 @@ def points(spark: SparkSession, sf: str) -> DataFrame:
         (F.shiftleft(F.col("l_orderkey") * 8 + F.col("l_linenumber"), 27) + cents).alias("idx"),
         (F.col("l_linenumber") * 0.01).alias("t"), (x0 * F.cos(F.lit(0.3)) - y0 * F.sin(F.lit(0.3))).alias("x"),
         (x0 * F.sin(F.lit(0.3)) + y0 * F.cos(F.lit(0.3))).alias("y"),
-        (F.col("l_tax") * 1e1 - 0.5 + (F.col("l_suppkey") % 10) * 0.01).alias("z"),
+        (F.col("l_tax") * 1e1 - 0.5 + (F.col("l_suppkey") % 10) * 0.01 + 0.003 * F.sin("l_orderkey")).alias("z"),
         (F.col("l_discount") * 1e3).alias("intensity"),
     )
 

@@ -1,109 +1,64 @@
-"""Symmetric 3x3 eigenvalues and directions as Column expressions (no Python per row)."""
+"""Symmetric 3x3 matrices: eigenvalues and inverse as Column expressions, directions in Arrow batches."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rigid import Vec, clamp
+from ..schemas import columns
+from .rigid import clamp
+from .staging import let
 
 SYM = ("xx", "xy", "xz", "yy", "yz", "zz")
 
 
 def with_eigenvalues(df: DataFrame, cov: str, into: str) -> DataFrame:
     """Add `<into>1 >= <into>2 >= <into>3` for the covariance columns `<cov>xx ... <cov>zz`."""
-    a = {s: F.col(cov + s) for s in SYM}
     t = f"_{into}"
-    df = df.withColumn(f"{t}q", (a["xx"] + a["yy"] + a["zz"]) / 3.0)
-    q = F.col(f"{t}q")
+    a = {s: F.col(cov + s) for s in SYM}
+    b = {s: F.col(f"{t}b{s}") for s in SYM}
+    q, p, f = F.col(f"{t}q"), F.col(f"{t}p"), F.col(f"{t}f")
     off = a["xy"] * a["xy"] + a["xz"] * a["xz"] + a["yz"] * a["yz"]
-    spread = (a["xx"] - q) * (a["xx"] - q) + (a["yy"] - q) * (a["yy"] - q) + (a["zz"] - q) * (a["zz"] - q) + off * 2.0
-    df = df.withColumn(f"{t}p", F.sqrt(spread / 6.0))
-    p = F.col(f"{t}p")
-    b = {s: (a[s] - (q if s[0] == s[1] else 0.0)) / p for s in SYM}
+    spread = sum(((a[s] - q) * (a[s] - q) for s in ("xx", "yy", "zz")), off * 2.0)
     det = (
-        b["xx"] * (b["yy"] * b["zz"] - b["yz"] * b["yz"])
-        - b["xy"] * (b["xy"] * b["zz"] - b["yz"] * b["xz"])
+        b["xx"] * (b["yy"] * b["zz"] - b["yz"] * b["yz"]) - b["xy"] * (b["xy"] * b["zz"] - b["yz"] * b["xz"])
         + b["xz"] * (b["xy"] * b["yz"] - b["yy"] * b["xz"])
     )
-    df = df.withColumn(f"{t}f", F.when(p > 0, F.acos(clamp(det * 0.5, -1.0, 1.0)) / 3.0).otherwise(0.0))
-    f = F.col(f"{t}f")
-    high = q + p * 2.0 * F.cos(f)
-    low = q + p * 2.0 * F.cos(f + F.pi() * 2.0 / 3.0)
-    df = df.withColumns({f"{into}1": high, f"{into}3": low})
-    df = df.withColumn(f"{into}2", q * 3.0 - F.col(f"{into}1") - F.col(f"{into}3"))
-    return df.drop(f"{t}q", f"{t}p", f"{t}f")
-
-
-def _product(a: dict[str, Column], s: Column, t: Column) -> dict[str, Column]:
-    """Entries of (A - s I)(A - t I); symmetric because the factors commute."""
-    m = {k: (a[k] - s if k[0] == k[1] else a[k]) for k in SYM}
-    n = {k: (a[k] - t if k[0] == k[1] else a[k]) for k in SYM}
-    return {
-        "xx": m["xx"] * n["xx"] + m["xy"] * n["xy"] + m["xz"] * n["xz"],
-        "xy": m["xx"] * n["xy"] + m["xy"] * n["yy"] + m["xz"] * n["yz"],
-        "xz": m["xx"] * n["xz"] + m["xy"] * n["yz"] + m["xz"] * n["zz"],
-        "yy": m["xy"] * n["xy"] + m["yy"] * n["yy"] + m["yz"] * n["yz"],
-        "yz": m["xy"] * n["xz"] + m["yy"] * n["yz"] + m["yz"] * n["zz"],
-        "zz": m["xz"] * n["xz"] + m["yz"] * n["yz"] + m["zz"] * n["zz"],
+    steps = {
+        f"{t}q": (a["xx"] + a["yy"] + a["zz"]) / 3.0,
+        f"{t}p": F.sqrt(spread / 6.0),
+        **{f"{t}b{s}": F.when(p > 0, (a[s] - q if s[0] == s[1] else a[s]) / p) for s in SYM},
+        f"{t}f": F.when(p > 0, F.acos(clamp(det * 0.5, -1.0, 1.0)) / 3.0).otherwise(0.0),
+        f"{into}1": q + p * 2.0 * F.cos(f),
+        f"{into}3": q + p * 2.0 * F.cos(f + F.pi() * 2.0 / 3.0),
+        f"{into}2": q * 3.0 - F.col(f"{into}1") - F.col(f"{into}3"),
     }
+    return let(df, steps, [n for n in steps if n.startswith("_")])
 
 
-def _column_of(df: DataFrame, t: str) -> Vec:
-    """Longest column of the projector held in `<t>xx ... <t>zz`, as a unit vector."""
-    xx, xy, xz, yy, yz, zz = (F.col(t + s) for s in SYM)
-    first = (xx >= yy) & (xx >= zz)
-    second = yy >= zz
-    raw = Vec(
-        F.when(first, xx).when(second, xy).otherwise(xz),
-        F.when(first, xy).when(second, yy).otherwise(yz),
-        F.when(first, xz).when(second, yz).otherwise(zz),
-    )
-    return raw.scale(F.lit(1.0) / raw.norm())
+@F.pandas_udf(columns(", ".join(f"{v}{a} double" for v in "nm" for a in "xyz")))
+def _axes(cov: pd.DataFrame) -> pd.DataFrame:
+    """Directions of the smallest and largest eigenvalue of a batch of matrices; the largest entry is positive."""
+    c = cov.to_numpy(float)
+    good = np.isfinite(c).all(axis=1)
+    full = np.where(good[:, None], c, 0.0)[:, [0, 1, 2, 1, 3, 4, 2, 4, 5]].reshape(-1, 3, 3)
+    vectors = np.linalg.eigh(full)[1][:, :, [0, 2]].transpose(0, 2, 1)
+    lead = np.take_along_axis(vectors, np.abs(vectors).argmax(axis=2)[:, :, None], 2)
+    vectors = (vectors * np.where(lead < 0, -1.0, 1.0)).reshape(-1, 6)
+    return pd.DataFrame(np.where(good[:, None], vectors, np.nan), columns=[f"{v}{a}" for v in "nm" for a in "xyz"])
 
 
-def with_axes(df: DataFrame, cov: str, lam: str, normal: str, major: str) -> DataFrame:
+def with_axes(df: DataFrame, cov: str, normal: str, major: str) -> DataFrame:
     """Add the unit directions of the smallest (`<normal>x..z`) and largest (`<major>x..z`) eigenvalue.
 
-    Built from the product of the two other shifted matrices. Signs are free: the largest entry is
-    positive. For a repeated smallest eigenvalue any direction across the major axis is valid, and one is
-    made from the coordinate axis farthest from it.
+    One row per voxel or cell reaches Python, in Arrow batches; the closed form as columns outgrows the
+    size limit of compiled methods.
     """
-    a = {s: F.col(cov + s) for s in SYM}
-    l1, l2, l3 = (F.col(f"{lam}{i}") for i in (1, 2, 3))
-    near = _product(a, l1, l2)
-    far = _product(a, l2, l3)
-    tn, tm = f"_{normal}", f"_{major}"
-    df = df.withColumns({**{tn + s: c for s, c in near.items()}, **{tm + s: c for s, c in far.items()}})
-    n, m = _column_of(df, tn), _column_of(df, tm)
-    split3, split1 = (l2 - l3) > l1 * 1.0e-12, (l1 - l2) > l1 * 1.0e-12
-    df = df.withColumns(
-        {f"{normal}{x}": F.when(split3, c) for x, c in zip("xyz", n, strict=True)}
-        | {f"{major}{x}": F.when(split1, c) for x, c in zip("xyz", m, strict=True)}
-    ).drop(*[t + s for t in (tn, tm) for s in SYM])
-
-    def across(v: Vec) -> Vec:
-        ax, ay, az = F.abs(v.x), F.abs(v.y), F.abs(v.z)
-        use_x, use_y = (ax <= ay) & (ax <= az), ay <= az
-        raw = v.cross(Vec(
-            F.when(use_x, 1.0).otherwise(0.0), F.when(~use_x & use_y, 1.0).otherwise(0.0),
-            F.when(~use_x & ~use_y, 1.0).otherwise(0.0),
-        ))
-        return raw.scale(F.lit(1.0) / raw.norm())
-
-    have_n, have_m = F.col(f"{normal}x").isNotNull(), F.col(f"{major}x").isNotNull()
-    nv, mv = Vec(*[F.col(f"{normal}{x}") for x in "xyz"]), Vec(*[F.col(f"{major}{x}") for x in "xyz"])
-    made_n, made_m = across(mv), across(nv)
-    return df.withColumns(
-        {
-            f"{normal}{x}": F.when(have_n, F.col(f"{normal}{x}")).when(have_m, c).otherwise(1.0 if x == "z" else 0.0)
-            for x, c in zip("xyz", made_n, strict=True)
-        }
-        | {
-            f"{major}{x}": F.when(have_m, F.col(f"{major}{x}")).when(have_n, c).otherwise(1.0 if x == "x" else 0.0)
-            for x, c in zip("xyz", made_m, strict=True)
-        }
-    )
+    out = df.withColumn("_axes", _axes(F.struct(*[F.col(cov + s).alias(s) for s in SYM])))
+    named = {f"{p}{a}": F.col(f"_axes.{v}{a}") for v, p in (("n", normal), ("m", major)) for a in "xyz"}
+    return out.withColumns(named).drop("_axes")
 
 
 def inverse_sym(df: DataFrame, cov: str, into: str, regularise: float) -> DataFrame:
@@ -115,9 +70,10 @@ def inverse_sym(df: DataFrame, cov: str, into: str, regularise: float) -> DataFr
         "xz": a["xy"] * a["yz"] - a["xz"] * a["yy"], "yy": a["xx"] * a["zz"] - a["xz"] * a["xz"],
         "yz": a["xy"] * a["xz"] - a["xx"] * a["yz"], "zz": a["xx"] * a["yy"] - a["xy"] * a["xy"],
     }
-    df = df.withColumns({f"_c{s}": c for s, c in cof.items()})
-    det = a["xx"] * F.col("_cxx") + a["xy"] * F.col("_cxy") + a["xz"] * F.col("_cxz")
-    ok = F.abs(det) > 1.0e-12
-    return df.withColumns(
-        {**{into + s: F.when(ok, F.col(f"_c{s}") / det) for s in SYM}, into + "ok": F.coalesce(ok, F.lit(False))}
-    ).drop(*[f"_c{s}" for s in SYM])
+    c = {s: F.col(f"_{into}c{s}") for s in SYM}
+    det = F.col(f"_{into}det")
+    steps = {f"_{into}c{s}": e for s, e in cof.items()}
+    steps[f"_{into}det"] = a["xx"] * c["xx"] + a["xy"] * c["xy"] + a["xz"] * c["xz"]
+    steps[f"{into}ok"] = F.coalesce(F.abs(det) > 1.0e-12, F.lit(False))
+    steps |= {f"{into}{s}": F.when(F.col(f"{into}ok"), c[s] / det) for s in SYM}
+    return let(df, steps, [n for n in steps if n.startswith("_")])

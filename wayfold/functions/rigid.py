@@ -12,6 +12,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .staging import let
+
 POSE_FIELDS = ("x", "y", "z", "qw", "qx", "qy", "qz")
 SMALL = 1.0e-8
 
@@ -212,90 +214,85 @@ def twist(prefix: str = "") -> Twist:
 # over and over, so these forms put every intermediate into a column first. Inputs have to be plain columns.
 
 
-def _put(df: DataFrame, prefix: str, names: tuple[str, ...], values) -> DataFrame:
-    return df.withColumns({prefix + n: c for n, c in zip(names, values, strict=True)})
+QNAMES = ("qw", "qx", "qy", "qz")
+
+
+def _named(prefix: str, names, values) -> dict[str, Column]:
+    return {prefix + n: c for n, c in zip(names, values, strict=True)}
+
+
+def _quat(prefix: str) -> Quat:
+    return Quat(*[F.col(prefix + n) for n in QNAMES])
 
 
-def stage_so3_log(df: DataFrame, q: Quat, into: str) -> DataFrame:
-    """Rotation vector as columns `<into>wx, <into>wy, <into>wz`."""
-    n = f"_{into}n"
-    df = df.withColumn(n, q.vec.norm())
-    angle = F.lit(2.0) * F.atan2(F.col(n), F.abs(q.w))
+def _so3_log_steps(q: Quat, p: str) -> dict[str, Column]:
+    n, k = F.col(p + "n"), F.col(p + "k")
+    angle = F.lit(2.0) * F.atan2(n, F.abs(q.w))
     sign = F.when(q.w < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
-    df = df.withColumn(f"_{into}k", F.when(F.col(n) < SMALL, F.lit(2.0)).otherwise(angle / F.col(n)) * sign)
-    return _put(df, into, ("wx", "wy", "wz"), q.vec.scale(F.col(f"_{into}k"))).drop(n, f"_{into}k")
+    steps = {p + "n": q.vec.norm(), p + "k": F.when(n < SMALL, F.lit(2.0)).otherwise(angle / n) * sign}
+    return steps | _named(p, ("wx", "wy", "wz"), q.vec.scale(k))
 
 
-def stage_so3_exp(df: DataFrame, w: Vec, into: str) -> DataFrame:
-    """Quaternion as columns `<into>qw ... <into>qz`."""
-    t = f"_{into}t"
-    df = df.withColumn(t, w.norm())
-    half = F.col(t) * 0.5
-    df = df.withColumn(f"_{into}k", F.when(F.col(t) < SMALL, F.lit(0.5)).otherwise(F.sin(half) / F.col(t)))
-    k = F.col(f"_{into}k")
-    return _put(df, into, ("qw", "qx", "qy", "qz"), (F.cos(half), w.x * k, w.y * k, w.z * k)).drop(t, f"_{into}k")
+def _so3_exp_steps(w: Vec, p: str) -> dict[str, Column]:
+    t, k = F.col(p + "th"), F.col(p + "sk")
+    half = t * 0.5
+    steps = {p + "th": w.norm(), p + "sk": F.when(t < SMALL, F.lit(0.5)).otherwise(F.sin(half) / t)}
+    return steps | _named(p, QNAMES, (F.cos(half), w.x * k, w.y * k, w.z * k))
 
 
-def stage_se3_exp(df: DataFrame, xi: Twist, into: str) -> DataFrame:
-    """Pose struct `into` of the tangent `xi`."""
-    p = f"_{into}_"
-    df = df.withColumn(p + "t2", xi.w.dot(xi.w))
-    t2 = F.col(p + "t2")
-    df = df.withColumn(p + "t", F.sqrt(t2))
-    t = F.col(p + "t")
+def _se3_exp_steps(xi: Twist, p: str, into: str) -> dict[str, Column]:
+    t2, t, u = F.col(p + "t2"), F.col(p + "t"), vec(p + "u")
     small = t < 1.0e-3
-    df = df.withColumns(
-        {
-            p + "b": F.when(small, F.lit(0.5) - t2 / 24.0).otherwise((F.lit(1.0) - F.cos(t)) / t2),
-            p + "c": F.when(small, F.lit(1.0 / 6.0) - t2 / 120.0).otherwise((t - F.sin(t)) / (t2 * t)),
-        }
-    )
-    df = _put(df, p + "u", ("x", "y", "z"), xi.w.cross(xi.v))
-    u = vec(p + "u")
+    steps = {
+        p + "t2": xi.w.dot(xi.w), p + "t": F.sqrt(t2),
+        p + "b": F.when(small, F.lit(0.5) - t2 / 24.0).otherwise((F.lit(1.0) - F.cos(t)) / t2),
+        p + "c": F.when(small, F.lit(1.0 / 6.0) - t2 / 120.0).otherwise((t - F.sin(t)) / (t2 * t)),
+        **_named(p + "u", ("x", "y", "z"), xi.w.cross(xi.v)), **_so3_exp_steps(xi.w, p),
+    }
     move = xi.v + u.scale(F.col(p + "b")) + xi.w.cross(u).scale(F.col(p + "c"))
-    df = stage_so3_exp(df, xi.w, p)
-    q = Quat(*[F.col(p + n) for n in ("qw", "qx", "qy", "qz")])
-    extra = [p + n for n in ("t2", "t", "b", "c", "ux", "uy", "uz", "qw", "qx", "qy", "qz")]
-    return df.withColumn(into, Pose(move, q).struct()).drop(*extra)
+    return steps | {into: Pose(move, _quat(p)).struct()}
+
+
+def _se3_log_steps(pose_: Pose, p: str, into: str) -> dict[str, Column]:
+    w, t2, h, u = vec(p, ("wx", "wy", "wz")), F.col(p + "t2"), F.col(p + "h"), vec(p + "u")
+    k = F.when(h < 0.5e-3, F.lit(1.0 / 12.0) + t2 / 720.0).otherwise((F.lit(1.0) - h * F.cos(h) / F.sin(h)) / t2)
+    steps = {
+        **_so3_log_steps(pose_.q, p), p + "t2": w.dot(w), p + "h": F.sqrt(t2) * 0.5, p + "kk": k,
+        **_named(p + "u", ("x", "y", "z"), w.cross(pose_.t)),
+    }
+    v = pose_.t - u.scale(F.lit(0.5)) + w.cross(u).scale(F.col(p + "kk"))
+    return steps | {into: Twist(v, w).struct()}
+
+
+def stage_se3_exp(df: DataFrame, xi: Twist, into: str) -> DataFrame:
+    """Pose struct `into` of the tangent `xi`."""
+    steps = _se3_exp_steps(xi, f"_{into}_", into)
+    return let(df, steps, [n for n in steps if n != into])
 
 
 def stage_se3_log(df: DataFrame, p: Pose, into: str) -> DataFrame:
     """Tangent struct `into` of the pose `p`."""
-    n = f"_{into}_"
-    df = stage_so3_log(df, p.q, n)
-    w = Vec(F.col(n + "wx"), F.col(n + "wy"), F.col(n + "wz"))
-    df = df.withColumn(n + "t2", w.dot(w))
-    t2 = F.col(n + "t2")
-    df = df.withColumn(n + "h", F.sqrt(t2) * 0.5)
-    h = F.col(n + "h")
-    k = F.when(h < 0.5e-3, F.lit(1.0 / 12.0) + t2 / 720.0).otherwise((F.lit(1.0) - h * F.cos(h) / F.sin(h)) / t2)
-    df = df.withColumn(n + "k", k)
-    df = _put(df, n + "u", ("x", "y", "z"), w.cross(p.t))
-    u = vec(n + "u")
-    v = p.t - u.scale(F.lit(0.5)) + w.cross(u).scale(F.col(n + "k"))
-    extra = [n + c for c in ("wx", "wy", "wz", "t2", "h", "k", "ux", "uy", "uz")]
-    return df.withColumn(into, Twist(v, w).struct()).drop(*extra)
+    steps = _se3_log_steps(p, f"_{into}_", into)
+    return let(df, steps, [n for n in steps if n != into])
 
 
 def stage_slerp(df: DataFrame, q0: Quat, q1: Quat, alpha: Column, into: str) -> DataFrame:
     """Quaternion columns `<into>qw ... <into>qz` at fraction `alpha` of the turn from q0 to q1."""
     p = f"_{into}_"
-    names = ("qw", "qx", "qy", "qz")
-    df = _put(df, p + "r", names, q0.conj().mul(q1))
-    df = stage_so3_log(df, Quat(*[F.col(p + "r" + n) for n in names]), p)
-    df = _put(df, p + "s", ("x", "y", "z"), [F.col(p + n) * alpha for n in ("wx", "wy", "wz")])
-    df = stage_so3_exp(df, vec(p + "s"), p + "e")
-    turned = q0.mul(Quat(*[F.col(p + "e" + n) for n in names]))
-    extra = [p + "r" + n for n in names] + [p + "e" + n for n in names]
-    extra += [p + n for n in ("wx", "wy", "wz", "sx", "sy", "sz")]
-    return _put(df, into, names, turned).drop(*extra)
+    steps = {
+        **_named(p + "r", QNAMES, q0.conj().mul(q1)), **_so3_log_steps(_quat(p + "r"), p),
+        **_named(p + "s", ("x", "y", "z"), [F.col(p + n) * alpha for n in ("wx", "wy", "wz")]),
+        **_so3_exp_steps(vec(p + "s"), p + "e"), **_named(into, QNAMES, q0.mul(_quat(p + "e"))),
+    }
+    return let(df, steps, [n for n in steps if n.startswith(p)])
 
 
 def stage_screw(df: DataFrame, a: Pose, b: Pose, alpha: Column, into: str) -> DataFrame:
     """Pose struct `into` = a exp(alpha log(a^-1 b))."""
     p = f"_{into}_"
-    df = df.withColumn(p + "m", a.between(b).struct())
-    df = stage_se3_log(df, pose(p + "m."), p + "x")
-    df = df.withColumn(p + "x", twist(p + "x.").scale(alpha).struct())
-    df = stage_se3_exp(df, twist(p + "x."), p + "e")
-    return df.withColumn(into, a.mul(pose(p + "e.")).struct()).drop(p + "m", p + "x", p + "e")
+    steps = {
+        p + "m": a.between(b).struct(), **_se3_log_steps(pose(p + "m."), p + "l", p + "x"),
+        p + "y": twist(p + "x.").scale(alpha).struct(), **_se3_exp_steps(twist(p + "y."), p + "g", p + "e"),
+        into: a.mul(pose(p + "e.")).struct(),
+    }
+    return let(df, steps, [n for n in steps if n != into])

@@ -64,7 +64,7 @@ def local_features(
     rows = _moments(stats.filter(F.col("n") >= max(min_points, 3)), size, height, "")
     rows = with_eigenvalues(rows, "c", "l")
     rows = rows.filter(F.col("l1") > 1.0e-10)
-    rows = with_axes(rows, "c", "l", "n_", "m_")
+    rows = with_axes(rows, "c", "n_", "m_")
     rows = rows.withColumns({f"l{i}": F.greatest(F.col(f"l{i}"), F.lit(0.0)) for i in (1, 2, 3)})
     mean_i = F.col("sum_i") / F.col("n")
     variance = F.greatest(F.col("sum_ii") / F.col("n") - mean_i * mean_i, F.lit(0.0))
@@ -144,7 +144,7 @@ def intensity_pca(stats: DataFrame, size: float, height: float, min_points: int
     """Intensity-weighted centre, major and minor axes and radii (square roots of the eigenvalues)."""
     rows = stats.filter((F.col("n") >= min_points) & (F.col("sw") > 1.0e-6))
     rows = with_eigenvalues(_moments(rows, size, height, "w"), "c", "l").filter(F.col("l1") > 1.0e-10)
-    rows = with_axes(rows, "c", "l", "n_", "e_")
+    rows = with_axes(rows, "c", "n_", "e_")
     return rows.select(
         *keys, *VOXEL, "n", "mx", "my", "mz", "e_x", "e_y", "e_z", "n_x", "n_y", "n_z",
         *[F.sqrt(F.greatest(F.col(f"l{i}"), F.lit(0.0))).alias(f"radius{i}") for i in (1, 2, 3)],

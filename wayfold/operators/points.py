@@ -61,7 +61,7 @@ def crop_aabb(frames: DataFrame, longitudinal: float, lateral: float, z_below: f
     out = frames.withColumn("_corners", corners)
     bounds = {}
     for axis in "xyz":
-        values = F.transform("_corners", lambda c, a=axis: c.getField(a))
+        values = F.col("_corners").getField(axis)
         bounds[f"min_{axis}"], bounds[f"max_{axis}"] = F.array_min(values), F.array_max(values)
     return out.withColumns(bounds).drop("_corners")
 

@@ -72,7 +72,7 @@ def block_moments(
 
 def _planar(df: DataFrame) -> Column:
     return F.coalesce(
-        (F.col("l1") > 1.0e-10) & (F.col("l3") / F.col("l1") <= PLANARITY_RATIO), F.lit(False)
+        F.when(F.col("l1") > 1.0e-10, F.col("l3") / F.col("l1") <= PLANARITY_RATIO), F.lit(False)
     )
 
 
@@ -88,7 +88,7 @@ def surface_map(
     stats = voxel_moments(points, size, keys)
     own = with_eigenvalues(stats, "c", "l")
     own = own.withColumn("own_fit", (F.col("n") >= need) & _planar(own))
-    own = with_axes(own, "c", "l", "n_", "m_")
+    own = with_axes(own, "c", "n_", "m_")
     own = inverse_sym(own, "c", "i", regularise)
     normals = [f"n_{a}" for a in AXES]
     own = own.withColumn("valid", (F.col("n") >= need) & F.col("iok")).select(
@@ -96,7 +96,7 @@ def surface_map(
         *[F.when(F.col("valid"), F.col(f"i{s}")).alias(f"i{s}") for s in SYM], "own_fit", "valid",
     )
     block = block_moments(own.filter(~F.col("own_fit")), stats, size, keys)
-    block = with_axes(with_eigenvalues(block, "c", "l"), "c", "l", "b_", "m_")
+    block = with_axes(with_eigenvalues(block, "c", "l"), "c", "b_", "m_")
     block = block.filter((F.col("n") >= need) & _planar(block)).select(
         *keys, *VOXEL, *[f"b_{a}" for a in AXES]
     )
