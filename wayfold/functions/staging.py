@@ -3,13 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def computed(value: Column) -> Column:
+    """`value`, kept where it is computed.
+
+    A later filter on a derived column is pushed below the projection by inlining the whole derivation,
+    again and again through stacked projections. A non-deterministic guard that is always true stops that.
+    """
+    return F.when(F.spark_partition_id() >= 0, value)
 
 
 def let(df: DataFrame, steps: dict[str, Column], drop: tuple[str, ...] | list[str] = ()) -> DataFrame:
     """Add columns in order; a later one may use an earlier one by name (lateral column aliases).
 
     Catalyst splits the select into stacked projections, so a value that is used many times is computed
-    once and expression trees stay small. Names must be new.
+    once and expression trees stay small. Names must be new; kept columns are pinned with `computed`.
     """
-    out = df.select("*", *[c.alias(n) for n, c in steps.items()])
+    gone = set(drop)
+    out = df.select("*", *[(c if n in gone else computed(c)).alias(n) for n, c in steps.items()])
     return out.drop(*drop) if drop else out

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rigid
+from ..functions.staging import computed
 from ..session import cut
 from .association import SAMPLE, clamp_bracketed, interpolate_clamped
 from .ordered import Chunks, asof, row_numbers
@@ -272,7 +273,7 @@ def deskew(
     body = rigid.vec() if extrinsic is None else extrinsic.apply(rigid.vec())
     out = rigid.pose("_rel.").apply(body)
     return moved.select(
-        *[c for c in points.columns if c not in ("x", "y", "z")], out.x.alias("x"), out.y.alias("y"), out.z.alias("z")
+        *[c for c in points.columns if c not in ("x", "y", "z")], *[computed(c).alias(a) for a, c in zip("xyz", out, strict=True)]
     )
 
 
@@ -319,7 +320,7 @@ def accumulate_in_view(
     hit = p.join(boxes, [*keys, "_tx", "_ty"])
     hit = hit.filter(F.col("_fn") == F.col("_own")) if not accumulate else hit.filter(F.col("_fn") >= F.col("_own"))
     local = rigid.pose("_p").inverse().apply(rigid.vec())
-    hit = hit.withColumns({"bx": local.x, "by": local.y, "bz": local.z})
+    hit = hit.withColumns({f"b{a}": computed(c) for a, c in zip("xyz", local, strict=True)})
     hit = hit.filter(below_box(rigid.vec("b"), longitudinal, lateral, z_below))
     run = Window.partitionBy(*keys, "frame", "idx").orderBy("_fn")
     hit = hit.withColumn("_k", F.row_number().over(run)).filter(F.col("_fn") - F.col("_own") == F.col("_k") - 1)
