@@ -29,7 +29,7 @@ def written(spark, rows, name: str) -> str:
 
 @query(
     "read_lidar_poses",
-    f"WITH {GT} SELECT drive, {r('stamp', 'stamp', 3)}, {rs('x', 'y', 'z', digits=3)}, {r('sin(-yaw - pi() / 4)', 'yaw_sin', 3)}, {r('cos(-yaw - pi() / 4)', 'yaw_cos', 3)}, {r('sin(yaw)', 'heading_sin', 3)} FROM gt",
+    f"WITH {GT} SELECT drive, CAST(round(stamp * 1e6) AS BIGINT) AS stamp_us, {rs('x', 'y', 'z', digits=3)}, {r('sin(-yaw - pi() / 4)', 'yaw_sin', 3)}, {r('cos(-yaw - pi() / 4)', 'yaw_cos', 3)}, {r('sin(yaw)', 'heading_sin', 3)} FROM gt",
 )
 def read_lidar_poses(spark, sf):
     """Ground truth as its CSV (even drives in microseconds, odd ones in seconds), read back."""
@@ -44,7 +44,7 @@ def read_lidar_poses(spark, sf):
     back = trajectories.read_lidar_poses(spark, written(spark, rows, "lidar_poses"))
     yaw = rigid.yaw_of(rigid.Quat(*[F.col(f"q{n}") for n in "wxyz"]))
     out = back.select(
-        F.col("drive").cast("bigint").alias("drive"), "stamp", "x", "y", "z", F.sin(yaw).alias("yaw_sin"), F.cos(yaw).alias("yaw_cos"),
+        F.col("drive").cast("bigint").alias("drive"), F.round(F.col("stamp") * 1e6).cast("bigint").alias("stamp_us"), "x", "y", "z", F.sin(yaw).alias("yaw_sin"), F.cos(yaw).alias("yaw_cos"),
         F.sin("heading").alias("heading_sin"),
     )
     return rounded(out, 3)
@@ -52,13 +52,13 @@ def read_lidar_poses(spark, sf):
 
 @query(
     "read_odometry_csv",
-    f"WITH {GT} SELECT drive, {r('stamp', 'stamp', 3)}, {rs('x', 'y', digits=3)}, {r('sin(yaw)', 'yaw_sin', 3)} FROM gt",
+    f"WITH {GT} SELECT drive, CAST(round(stamp * 1e6) AS BIGINT) AS stamp_us, {rs('x', 'y', digits=3)}, {r('sin(yaw)', 'yaw_sin', 3)} FROM gt",
 )
 def read_odometry_csv(spark, sf):
     g, _ = V.planar_pair(spark, sf, V.time_chunks(spark, sf))
     rows = g.select("drive", "stamp", "x", "y", "z", "qx", "qy", "qz", "qw")
     back = trajectories.read_odometry_csv(spark, written(spark, rows, "odometry"))
-    return rounded(back.select(F.col("drive").cast("bigint").alias("drive"), "stamp", "x", "y", F.sin("yaw").alias("yaw_sin")), 3)
+    return rounded(back.select(F.col("drive").cast("bigint").alias("drive"), F.round(F.col("stamp") * 1e6).cast("bigint").alias("stamp_us"), "x", "y", F.sin("yaw").alias("yaw_sin")), 3)
 
 
 _TRACE = GT + """,
