@@ -104,12 +104,17 @@ def chunked_fold(
     def outputs(pdf: pd.DataFrame, carry: pd.DataFrame) -> pd.DataFrame:
         return run(pdf, entry_of(carry))[0][out_fields]
 
+    def together(rows: DataFrame, carry: DataFrame, fn: Callable, out: T.StructType) -> DataFrame:
+        # Both sides descend from the same rows; fresh aliases keep their columns apart.
+        own = carry.select(*[F.col(c).alias(c) for c in carry.columns])
+        return rows.groupBy(*parts).cogroup(own.groupBy(*parts)).applyInPandas(fn, out)
+
     sequence = labelled.select(*parts).distinct().withColumn(
         "_before", F.lag(CHUNK).over(Window.partitionBy(*keys).orderBy(CHUNK))
     )
     unknown = [F.lit(None).cast(f.dataType).alias(f.name) for f in state.fields]
     entry = cut(sequence.select(*parts, "_before", F.lit(False).alias("_known"), *unknown))
-    last = cut(labelled.groupBy(*parts).cogroup(entry.groupBy(*parts)).applyInPandas(exits, state_schema))
+    last = cut(together(labelled, entry, exits, state_schema))
     while True:
         shifted = last.select(*key_list, F.col(CHUNK).alias("_before"), F.struct(*fields).alias("_new"))
         fresh = entry.select(*parts, "_before", "_known", F.struct(*fields).alias("_old")).join(
@@ -128,7 +133,7 @@ def chunked_fold(
         if redo.isEmpty():
             break
         again = labelled.join(redo.select(*parts), parts, "left_semi")
-        renewed = again.groupBy(*parts).cogroup(redo.groupBy(*parts)).applyInPandas(exits, state_schema)
+        renewed = together(again, redo, exits, state_schema)
         kept = last.join(redo.select(*parts), parts, "left_anti")
         last = cut(kept.unionByName(renewed))
-    return labelled.groupBy(*parts).cogroup(entry.groupBy(*parts)).applyInPandas(outputs, schema)
+    return together(labelled, entry, outputs, schema)
