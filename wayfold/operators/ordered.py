@@ -23,7 +23,9 @@ CHUNK = "_chunk"
 DEFAULT_ROWS = 1_000_000
 # An overfull chunk is split again; sub-chunk numbers live in the low 20 bits of the chunk id.
 SUB = 1 << 20
-BROADCAST_ROWS = 500_000
+# Pieces of an overfull chunk. The table of cuts has one row per overfull chunk, at most n / (4 rows) of them.
+QUANTILES = 128
+BROADCAST_ROWS = 10_000
 
 
 @dataclass(frozen=True)
@@ -51,19 +53,23 @@ class Chunks:
         if top is None or top.n is None or top.n <= rows or not top.width or top.width <= 0.0:
             return Chunks()
         base = Chunks(float(top.width), float(top.lo))
-        hot = (
-            base.label(df.select(*keys, on), keys, on)
-            .groupBy(*keys, CHUNK)
-            .agg(F.count(F.lit(1)).alias("n"))
-            .filter(F.col("n") > 4 * rows)
-            .select(*keys, F.expr(f"{CHUNK} div {SUB}").alias("_hot_chunk"),
-                    F.least(F.ceil(F.col("n") / rows), F.lit(SUB - 1)).alias("_hot_parts"))
+        labelled = base.label(df.select(*keys, on), keys, on).withColumn("_hot_chunk", F.expr(f"{CHUNK} div {SUB}"))
+        crowded = cut(
+            labelled.groupBy(*keys, "_hot_chunk").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 4 * rows)
         )
-        hot = cut(hot)
-        found = hot.count()
+        found = crowded.count()
         if not found:
             return base
-        return Chunks(base.width, base.origin, hot, found, tuple(keys))
+        # Equal widths cannot split a burst; its own quantiles can. The sketch is bounded and merges map-side.
+        small = F.broadcast(crowded) if found <= BROADCAST_ROWS else crowded
+        steps = [i / QUANTILES for i in range(1, QUANTILES)]
+        hot = (
+            labelled.join(small.drop("n"), [*keys, "_hot_chunk"])
+            .groupBy(*keys, "_hot_chunk")
+            .agg(F.percentile_approx(F.col(on).cast("double"), steps, 10_000).alias("_cuts"))
+            .withColumn("_cuts", F.array_distinct("_cuts"))
+        )
+        return Chunks(base.width, base.origin, cut(hot), found, tuple(keys))
 
     @property
     def whole(self) -> bool:
@@ -78,12 +84,14 @@ class Chunks:
         if self.hot is None:
             return df.withColumn(CHUNK, base * F.lit(SUB))
         hot = F.broadcast(self.hot) if self.hot_rows <= BROADCAST_ROWS else self.hot
-        part = F.floor((ratio - F.floor(ratio)) * F.col("_hot_parts")).cast("bigint")
+        value = F.col(on).cast("double")
+        part = F.size(F.filter("_cuts", lambda c: c < value)).cast("bigint")
+        part = F.when(F.col("_cuts").isNotNull(), part).otherwise(0)
         return (
             df.withColumn("_hot_chunk", base)
             .join(hot, [*self.hot_keys, "_hot_chunk"], "left")
-            .withColumn(CHUNK, F.col("_hot_chunk") * F.lit(SUB) + F.coalesce(part, F.lit(0)))
-            .drop("_hot_chunk", "_hot_parts")
+            .withColumn(CHUNK, F.col("_hot_chunk") * F.lit(SUB) + part)
+            .drop("_hot_chunk", "_cuts")
         )
 
     def parts(self, keys: Sequence[str]) -> list[str]:
