@@ -34,11 +34,11 @@ def near_pairs(spark, sf, planar: bool = False):
 # --- association ---------------------------------------------------------------------------------------
 
 
-@query("assoc_nearest", f"WITH {PAIRS} SELECT drive, idx, gt_idx, {r('dt', 'dt')}, {rs('ex', 'gy', 'eyaw', digits=3)} FROM pairs")
+@query("assoc_nearest", f"WITH {PAIRS} SELECT drive, idx, gt_idx, {r('dt', 'dt')}, {rs('ex', 'gy', digits=3)}, {r('sin(eyaw)', 'yaw_sin', 3)} FROM pairs")
 def assoc_nearest(spark, sf):
     _, p = near_pairs(spark, sf, planar=True)
-    unwrapped = rigid.yaw_of(rigid.pose("est.").q)
-    out = p.select("drive", "idx", "gt_idx", "dt", F.col("est.x").alias("ex"), F.col("gt.y").alias("gy"), unwrapped.alias("eyaw"))
+    turn = F.sin(rigid.yaw_of(rigid.pose("est.").q))
+    out = p.select("drive", "idx", "gt_idx", "dt", F.col("est.x").alias("ex"), F.col("gt.y").alias("gy"), turn.alias("yaw_sin"))
     return rounded(out, 3, dt=4)
 
 
@@ -478,9 +478,10 @@ _LEGACY = UNIQUE + f""",
 lagged AS (SELECT *, lag(gx) OVER w AS bx, lag(gy) OVER w AS b_y, row_number() OVER w AS rn FROM uniq WINDOW w AS (PARTITION BY drive ORDER BY stamp, gt_idx)),
 dist AS (SELECT *, sum(coalesce(sqrt((gx-bx)**2 + (gy-b_y)**2), 0e0)) OVER (PARTITION BY drive ORDER BY rn ROWS UNBOUNDED PRECEDING) AS d FROM lagged),
 starts AS (SELECT *, d + l.length_m AS target FROM dist, {_LENGTHS} l),
+ends AS (SELECT drive, d, min(rn) AS rn FROM dist GROUP BY drive, d),
 hit AS (
-  SELECT a.*, n.rn AS n_rn, n.d AS n_d, p.d AS p_d FROM starts a ASOF JOIN dist n ON a.drive = n.drive AND a.target <= n.d
-  ASOF LEFT JOIN dist p ON a.drive = p.drive AND a.target > p.d),
+  SELECT a.*, n.rn AS n_rn, n.d AS n_d, p.d AS p_d FROM starts a ASOF JOIN ends n ON a.drive = n.drive AND a.target <= n.d
+  ASOF LEFT JOIN ends p ON a.drive = p.drive AND a.target > p.d),
 chosen AS (SELECT *, CASE WHEN p_d IS NOT NULL AND target - p_d < n_d - target THEN n_rn - 1 ELSE n_rn END AS j FROM hit),
 k AS (SELECT a.drive, a.length_m, a.rn AS first_rn, b.rn AS last_rn, b.d - a.d AS travelled,
   {', '.join(f'a.{s}{c} AS {s}{c}0, b.{s}{c} AS {s}{c}1' for s in 'eg' for c in ('x', 'y', 'yaw'))}
