@@ -476,7 +476,7 @@ def kitti_rollup(spark, sf):
 
 _LEGACY = UNIQUE + f""",
 lagged AS (SELECT *, lag(gx) OVER w AS bx, lag(gy) OVER w AS b_y, row_number() OVER w AS rn FROM uniq WINDOW w AS (PARTITION BY drive ORDER BY stamp, gt_idx)),
-dist AS (SELECT *, sum(coalesce(sqrt((gx-bx)**2 + (gy-b_y)**2), 0e0)) OVER (PARTITION BY drive ORDER BY rn ROWS UNBOUNDED PRECEDING) AS d FROM lagged),
+dist AS (SELECT *, round(sum(coalesce(sqrt((gx-bx)**2 + (gy-b_y)**2), 0e0)) OVER (PARTITION BY drive ORDER BY rn ROWS UNBOUNDED PRECEDING), 9) AS d FROM lagged),
 starts AS (SELECT *, d + l.length_m AS target FROM dist, {_LENGTHS} l),
 ends AS (SELECT drive, d, min(rn) AS rn FROM dist GROUP BY drive, d),
 hit AS (

@@ -230,7 +230,7 @@ rn AS (SELECT *, row_number() OVER (PARTITION BY drive ORDER BY stamp, idx) AS r
 wd AS (SELECT *, count(*) OVER w AS n, max(sqrt(wx*wx + wy*wy + wz*wz)) OVER w AS wm, avg(ax) OVER w AS mx, avg(ay) OVER w AS my, avg(az) OVER w AS mz, avg(wx) OVER w AS bx,
   avg(wy) OVER w AS b_y, avg(wz) OVER w AS bz, list({{'x': ax, 'y': ay, 'z': az}}) OVER w AS pts
   FROM rn WINDOW w AS (PARTITION BY drive ORDER BY stamp, idx ROWS BETWEEN {N - 1} PRECEDING AND CURRENT ROW)),
-still AS (SELECT * FROM wd WHERE n = {N} AND wm <= 0.05e0 AND list_max(list_transform(pts, p -> sqrt((p.x-mx)**2 + (p.y-my)**2 + (p.z-mz)**2))) <= 0.14e0)"""
+still AS (SELECT * FROM wd WHERE n = {N} AND wm <= 0.05e0 AND list_max([sqrt((p.x-mx)**2 + (p.y-my)**2 + (p.z-mz)**2) for p in pts]) <= 0.14e0)"""
 
 
 @query("stationary_windows", f"WITH {_STILL} SELECT drive, rn FROM still")
