@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import quality, queries, simhash, substring_dedup
+from wayfold.llm import decontam, packing, quality, queries, simhash, substring_dedup
 from wayfold.llm.common import materialise, table
 
 #: No SQL: the classifier and the tokenizer cannot be expressed in it; tests/llm compares with a brute-force pipeline.
@@ -26,14 +26,26 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes repeated passages out of the texts; a document whose words all go has an empty text and leaves."""
+    """Takes repeated passages out of the texts; a document that loses all its words leaves."""
     return substring_dedup.strip(docs)
 
 
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that hold benchmark passages, re-parameterised ones included."""
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the texts into token sequences; one row per piece."""
+    return packing.pack(packing.pieces(docs))
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_classifier", quality_stage),
     ("simhash_near_dedup", simhash_stage),
     ("substring_dedup", substring_stage),
+    ("benchmark_decontamination", decontamination_stage),
+    ("best_fit_packing", packing_stage),
 ]
 
 

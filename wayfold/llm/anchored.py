@@ -153,10 +153,11 @@ def units(codes: np.ndarray, keys: np.ndarray, packed: np.ndarray, alphabet: Alp
     return Units(start, n, anchor, key, content)
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """`(doc_id, row, text)`, the input of the steps below."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
+def keyed(docs: DataFrame, id_col: str, text_col: str, carry: list[str] | None = None) -> DataFrame:
+    """`(doc_id, row, text)`, the input of the steps below, and `rest`, a struct of the columns to carry along."""
+    rest = [F.struct(*carry).alias("rest")] if carry else []
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *rest)
+    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text", *(["rest"] if carry else []))
 
 
 def with_marks(docs: DataFrame, marks: DataFrame, how: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import quality, simhash, substring_dedup
+from wayfold.llm import decontam, embed_dedup, langid, licenses, packing, quality, simhash, substring_dedup, suffix_dedup, token_counts
 from wayfold.llm.common import crc_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-QUALITY_FOLD = 5
+QUALITY_FOLD, LANGUAGE_FOLD = 5, 4
 
 
 def quality_model(docs: DataFrame, labels: DataFrame) -> quality.Machine:
@@ -51,3 +51,47 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.dedup(table(spark, sf_dir, "documents"))
     removed = F.aggregate("intervals", F.lit(0).cast("long"), lambda total, x: total + x.stop - x.start)
     return found.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op1_best_fit_packing")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents")))
+
+
+@query("op2_license_rules")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
+@query("op3_lattice_neighbours")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op4_language_pieces")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_remainder("doc_id", LANGUAGE_FOLD) == 2
+    found = langid.predict(docs, langid.fit(docs.where(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op5_template_decontamination")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op6_suffix_intervals")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+@query("op10_edited_token_counts")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents before and after their personal data is redacted."""
+    counted = token_counts.update(token_counts.build(table(spark, sf_dir, "documents")), token_counts.redactions)
+    return counted.select("doc_id", "n_tokens_before", "n_tokens", "n_edits", "n_encoded", F.length("text").cast("long").alias("n_chars"))

@@ -9,6 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wayfold.llm import anchored
 from wayfold.llm.common import materialise, slices, texts_of
@@ -126,17 +127,19 @@ def _indexed(contexts: DataFrame, window: int) -> DataFrame:
     return contexts.groupBy("shard").applyInArrow(run, "row long, start int, mask binary")
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def dedup(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, carry: list[str] | None = None
+) -> DataFrame:
     """`(doc_id, n_words, kept_text, intervals array<struct<start, stop>>)` for every row: words (cut at ASCII white
     space) covered by a window of `window` words whose sequence also starts in a document with a smaller id are taken
     out; `intervals` are their maximal runs, `kept_text` the other words joined by one space.
 
     All decisions are on the input. Null or empty text: no words. Repeated rows get the same
     result; of rows that share an id but not a text, one counts as the earlier. Rows with a null id are never changed
-    and change nothing. Words are compared by 64-bit hashes, so windows by 13 of them. Extra columns are ignored."""
-    docs = anchored.keyed(docs, id_col, text_col)
+    and change nothing. Words are compared by 64-bit hashes, so windows by 13 of them. Extra columns are ignored but for those in `carry`, returned as the struct `rest`."""
+    docs = anchored.keyed(docs, id_col, text_col, carry)
     letters = alphabet(window)
-    known = docs.where("doc_id is not null")
+    known = docs.where("doc_id is not null").drop("rest")
     marks = anchored.mark_spans(known, letters)
     contexts = anchored.sharded(anchored.distinct_contexts(known, marks, letters))
     masks = materialise(anchored.firsts(_indexed(contexts, window)))
@@ -163,7 +166,22 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
                 batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array([k.decode() for k in kept], pa.string()),
                 pa.array(cut, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "kept_text", "intervals"])
+            names = ["doc_id", "n_words", "kept_text", "intervals"]
+            if carry:
+                columns, names = [*columns, batch.column("rest")], [*names, "rest"]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = anchored.with_marks(anchored.with_marks(docs, marks, "left"), masks, "left")
-    return rows.mapInArrow(run, "doc_id long, n_words long, kept_text string, intervals array<struct<start:int,stop:int>>")
+    schema = T.StructType.fromDDL("doc_id long, n_words long, kept_text string, intervals array<struct<start:int,stop:int>>")
+    return rows.mapInArrow(run, T.StructType([*schema.fields, *[f for f in rows.schema.fields if f.name == "rest"]]))
+
+
+def strip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` with the repeated words taken out of the texts; texts without any stay as they are, byte for byte. Documents
+    that lose all their words leave. `n_chars`, if there is one, follows the text."""
+    found = dedup(docs, id_col, text_col, carry=docs.columns)
+    cut = F.size("intervals") > 0
+    text = F.when(cut, F.col("kept_text")).otherwise(F.col(f"rest.{text_col}"))
+    length = F.when(cut, F.length("kept_text")).otherwise(F.col("rest.n_chars")) if "n_chars" in docs.columns else None
+    own = {text_col: text} | ({"n_chars": length.cast(docs.schema["n_chars"].dataType)} if length is not None else {})
+    return found.where(~cut | (F.length("kept_text") > 0)).select(*[own.get(c, F.col(f"rest.`{c}`")).alias(c) for c in docs.columns])
