@@ -646,8 +646,8 @@ def filter_stats(spark, sf):
 
 _BLAME = f"""CASE WHEN o IS NULL OR k IS NULL OR res IS NULL OR far IS NULL THEN 'unknown'
  WHEN o >= far AND res < greatest(1e0, 0.35e0 * greatest(o, k, 0e0)) THEN '{ODOM}_led'
- WHEN k >= far AND o < far THEN 'ekf_diverged' WHEN o >= far AND k >= far THEN 'both'
- WHEN k >= far THEN 'ekf_diverged' WHEN o >= far THEN '{ODOM}_led' ELSE 'within_threshold' END"""
+ WHEN k >= far AND o < far THEN '{FILTER}_diverged' WHEN o >= far AND k >= far THEN 'both'
+ WHEN k >= far THEN '{FILTER}_diverged' WHEN o >= far THEN '{ODOM}_led' ELSE 'within_threshold' END"""
 
 
 @query(

@@ -1,14 +1,14 @@
-"""Names fixed by the recorded files and reports: they have to match the data a user already has."""
+"""Names of estimators and blame tags in tables and reports."""
 
 from __future__ import annotations
 
-# The two estimators of a recording. The first also prefixes columns of the filter trace.
-ODOM = "back_odom"
-FILTER = "ri_ekf"
+# The two estimators of a recording. Recorded files are read by position, so their own column names do not matter.
+ODOM = "odometry"
+FILTER = "filter"
 
-# Blame tags of an error section.
+# Blame tags of an error section.
 TAG_UNKNOWN = "unknown"
 TAG_ODOM = f"{ODOM}_led"
-TAG_FILTER = "ekf_diverged"
+TAG_FILTER = f"{FILTER}_diverged"
 TAG_BOTH = "both"
 TAG_NONE = "within_threshold"
