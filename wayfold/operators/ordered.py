@@ -13,6 +13,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,11 +25,21 @@ CHUNK = "_chunk"
 DEFAULT_ROWS = 1_000_000
 # An overfull chunk is split again; sub-chunk numbers live in the low 20 bits of the chunk id.
 SUB = 1 << 20
-# Pieces of an overfull chunk. The table of cuts has one row per overfull chunk, at most n / (4 rows) of them.
-QUANTILES = 128
+# Chunk numbers are below this in size; nulls and NaN have the two ends.
+EDGE = 1 << 40
+# Most pieces of an overfull chunk (at least; twice what its rows need otherwise). The table of cuts has one row per
+# overfull chunk, at most n / (4 rows) of them.
+QUANTILES, MOST_QUANTILES = 128, 1 << 16
 BROADCAST_ROWS = 10_000
 
 
+def join_equal(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on `keys` in which null equals null, so that rows without a key or an order value stay."""
+    renamed = right.select(*[F.col(k).alias(f"_same_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    condition = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_same_{k}")) for k in keys])
+    return left.join(renamed, condition, how).drop(*[f"_same_{k}" for k in keys])
+
+
 @dataclass(frozen=True)
 class Chunks:
     """How the order axis is cut. `width is None` means one chunk per key."""
@@ -41,10 +53,12 @@ class Chunks:
     @staticmethod
     def plan(df: DataFrame, keys: Sequence[str], on: str, rows: int = DEFAULT_ROWS) -> "Chunks":
         """Choose a width so that a chunk holds about `rows` rows, and split bursts once more."""
+        value = F.col(on).cast("double")
+        real = F.when(F.abs(value) < float("inf"), value)
         per_key = df.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("n"), F.min(on).cast("double").alias("lo"), F.max(on).cast("double").alias("hi")
+            F.count(F.lit(1)).alias("n"), F.min(real).alias("lo"), F.max(real).alias("hi")
         )
-        big = F.col("n") > rows
+        big = (F.col("n") > rows) & (F.col("hi") > F.col("lo"))
         top = per_key.agg(
             F.max("n").alias("n"),
             F.min(F.when(big, (F.col("hi") - F.col("lo")) / F.ceil(F.col("n") / rows))).alias("width"),
@@ -57,16 +71,17 @@ class Chunks:
         crowded = cut(
             labelled.groupBy(*keys, "_hot_chunk").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 4 * rows)
         )
-        found = crowded.count()
+        found, largest = crowded.agg(F.count(F.lit(1)), F.max("n")).first()
         if not found:
             return base
         # Equal widths cannot split a burst; its own quantiles can. The sketch is bounded and merges map-side.
         small = F.broadcast(crowded) if found <= BROADCAST_ROWS else crowded
-        steps = [i / QUANTILES for i in range(1, QUANTILES)]
+        pieces = min(max(QUANTILES, 2 * -(-largest // rows)), MOST_QUANTILES)
+        steps = [i / pieces for i in range(1, pieces)]
         hot = (
-            labelled.join(small.drop("n"), [*keys, "_hot_chunk"])
+            join_equal(labelled, small.drop("n"), [*keys, "_hot_chunk"])
             .groupBy(*keys, "_hot_chunk")
-            .agg(F.percentile_approx(F.col(on).cast("double"), steps, 10_000).alias("_cuts"))
+            .agg(F.percentile_approx(F.col(on).cast("double"), steps, max(10_000, 4 * pieces)).alias("_cuts"))
             .withColumn("_cuts", F.array_distinct("_cuts"))
         )
         return Chunks(base.width, base.origin, cut(hot), found, tuple(keys))
@@ -76,11 +91,13 @@ class Chunks:
         return self.width is None
 
     def label(self, df: DataFrame, keys: Sequence[str], on: str) -> DataFrame:
-        """Add the chunk id; it grows with `on`."""
+        """Add the chunk id; it grows with `on` as Spark sorts: nulls have the first chunk, NaN has the last."""
         if self.whole:
             return df.withColumn(CHUNK, F.lit(0).cast("bigint"))
         ratio = (F.col(on).cast("double") - F.lit(self.origin)) / F.lit(self.width)
-        base = F.floor(ratio).cast("bigint")
+        base = F.when(ratio.isNull(), -EDGE).when(F.isnan(ratio), EDGE).otherwise(
+            F.greatest(F.least(F.floor(ratio).cast("bigint"), F.lit(EDGE - 1)), F.lit(1 - EDGE))
+        )
         if self.hot is None:
             return df.withColumn(CHUNK, base * F.lit(SUB))
         hot = F.broadcast(self.hot) if self.hot_rows <= BROADCAST_ROWS else self.hot
@@ -88,8 +105,7 @@ class Chunks:
         part = F.size(F.filter("_cuts", lambda c: c < value)).cast("bigint")
         part = F.when(F.col("_cuts").isNotNull(), part).otherwise(0)
         return (
-            df.withColumn("_hot_chunk", base)
-            .join(hot, [*self.hot_keys, "_hot_chunk"], "left")
+            join_equal(df.withColumn("_hot_chunk", base), hot, [*self.hot_keys, "_hot_chunk"], "left")
             .withColumn(CHUNK, F.col("_hot_chunk") * F.lit(SUB) + part)
             .drop("_hot_chunk", "_cuts")
         )
@@ -118,7 +134,7 @@ def lag_row(
     )
     local = df.withColumn(into, F.lag(row).over(Window.partitionBy(*keys, CHUNK).orderBy(*order)))
     return (
-        local.join(tails, [*keys, CHUNK])
+        join_equal(local, tails, [*keys, CHUNK])
         .withColumn(into, F.coalesce(into, "_wf_before"))
         .drop(CHUNK, "_wf_before")
     )
@@ -160,7 +176,7 @@ def running(
         *keys, CHUNK,
         *[fold(kind, f"_t_{name}").over(before).alias(f"_c_{name}") for name, (kind, _) in values.items()],
     )
-    out = out.join(carried, [*keys, CHUNK])
+    out = join_equal(out, carried, [*keys, CHUNK])
     merged = {}
     for name, (kind, _) in values.items():
         here, earlier = F.col(name), F.col(f"_c_{name}")
@@ -186,7 +202,7 @@ def row_numbers(
     counts = counts.select(*keys, CHUNK, F.coalesce(F.sum("_wf_n").over(before), F.lit(0)).alias("_wf_before"))
     local = df.withColumn(into, F.row_number().over(Window.partitionBy(*keys, CHUNK).orderBy(*order)))
     return (
-        local.join(counts, [*keys, CHUNK])
+        join_equal(local, counts, [*keys, CHUNK])
         .withColumn(into, F.col(into) + F.col("_wf_before"))
         .drop(CHUNK, "_wf_before")
     )
@@ -202,7 +218,9 @@ def asof(
     `fields`; with `strict_next`, `prev` is at or before and `next` strictly after. `tie` orders right rows
     with equal `right_on`. One union, one sort; no cross product.
     """
-    chunks = chunks or Chunks.plan(right, keys, right_on)
+    if chunks is None:  # either side may be the big one
+        both_axes = left.select(*keys, F.col(on).alias("_on")).unionByName(right.select(*keys, F.col(right_on).alias("_on")))
+        chunks = Chunks.plan(both_axes, keys, "_on")
     row = F.struct(*[F.col(c) for c in fields])
     columns = left.columns
     lhs = left.select(
@@ -233,7 +251,8 @@ def asof(
             *keys, CHUNK, F.expr(f"lag(_last, 1) {edge}").alias("_wf_before"),
             F.expr(f"lead(_first, 1) {edge}").alias("_wf_after"),
         )
-        out = out.join(ends, [*keys, CHUNK]).withColumns(
+        out = join_equal(out, ends, [*keys, CHUNK]).withColumns(
             {"prev": F.coalesce("prev", "_wf_before"), "next": F.coalesce("next", "_wf_after")}
         )
-    return out.select(*[F.col(f"_left.`{c}`").alias(c) for c in columns], "prev", "next")
+    # The keys themselves, not their copies: a filter on a key then reaches both scans.
+    return out.select(*[F.col(c) if c in keys else F.col(f"_left.`{c}`").alias(c) for c in columns], "prev", "next")

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from ..functions import scans
 from ..session import cut
-from .ordered import CHUNK, Chunks
+from .ordered import CHUNK, Chunks, join_equal
 
 FOLD_ROWS = 200_000
 
@@ -56,7 +56,7 @@ def prefix_scan(
         return pdf[key_names + carry_names]
 
     carried = totals.groupBy(*keys).applyInPandas(link, carry_schema)
-    joined = done.join(carried, parts)
+    joined = join_equal(done, carried, parts)
 
     def attach(batches):
         for pdf in batches:
@@ -117,8 +117,8 @@ def chunked_fold(
     last = cut(together(labelled, entry, exits, state_schema))
     while True:
         shifted = last.select(*key_list, F.col(CHUNK).alias("_before"), F.struct(*fields).alias("_new"))
-        fresh = entry.select(*parts, "_before", "_known", F.struct(*fields).alias("_old")).join(
-            shifted, [*key_list, "_before"], "left"
+        fresh = join_equal(
+            entry.select(*parts, "_before", "_known", F.struct(*fields).alias("_old")), shifted, [*key_list, "_before"], "left"
         )
         known = F.col("_before").isNotNull()
         moved = (known != F.col("_known")) | (known & ~F.col("_old").eqNullSafe(F.col("_new")))
@@ -132,8 +132,8 @@ def chunked_fold(
         entry = fresh.drop("_moved")
         if redo.isEmpty():
             break
-        again = labelled.join(redo.select(*parts), parts, "left_semi")
+        again = join_equal(labelled, redo.select(*parts), parts, "left_semi")
         renewed = together(again, redo, exits, state_schema)
-        kept = last.join(redo.select(*parts), parts, "left_anti")
+        kept = join_equal(last, redo.select(*parts), parts, "left_anti")
         last = cut(kept.unionByName(renewed))
     return together(labelled, entry, outputs, schema)
