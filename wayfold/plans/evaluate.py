@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rigid
@@ -170,21 +170,11 @@ def build_sections(
 
 
 def report_top(runs: DataFrame, by: str, n: int, keys: Sequence[str] = DRIVE) -> DataFrame:
-    """The `n` worst rows per key, worst first, as report rows with their rank."""
+    """The `n` worst rows per key, worst first, as report rows with their rank.
+
+    Rows that tie on value and start are ranked by their other columns, none is lost. Spark cuts every key to `n` rows
+    before the shuffle, so a hot key costs `n` rows per task.
+    """
     cols = [c for c in runs.columns if c not in keys]
-    # Bounded per key by a distributed top-n: each round takes the maximum that is left.
-    from ..session import cut
-
-    left, kept = runs, None
-    order = F.struct(F.col(by), (-F.col("stamp_start")).alias("_r"))
-    for rank in range(1, n + 1):
-        best = cut(left.groupBy(*keys).agg(F.max_by(F.struct(*cols), order).alias("_b")))
-        if best.isEmpty():
-            break
-        row = best.select(*keys, F.lit(rank).alias("rank"), "_b.*")
-        kept = row if kept is None else kept.unionByName(row)
-        mark = best.select(*keys, F.col(f"_b.{by}").alias("_v"), F.col("_b.stamp_start").alias("_s"))
-        left = left.join(mark, list(keys)).filter(
-            (F.col(by) < F.col("_v")) | ((F.col(by) == F.col("_v")) & (F.col("stamp_start") > F.col("_s")))
-        ).drop("_v", "_s")
-    return runs.select(*keys, F.lit(0).alias("rank"), *cols).limit(0) if kept is None else kept
+    order = Window.partitionBy(*keys).orderBy(F.desc_nulls_last(by), "stamp_start", *[c for c in cols if c not in (by, "stamp_start")])
+    return runs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).select(*keys, "rank", *cols)
