@@ -561,7 +561,7 @@ def propagate_labels(spark, sf):
     return _smooth(spark, sf)[2]
 
 
-_COMP = f"""WITH RECURSIVE {_LABEL}, {_EDGES}, nd AS (SELECT drive, frame, vx, vy, vz, label, ((vx + 1048576) << 42) + ((vy + 1048576) << 21) + (vz + 1048576) AS node FROM nl),
+_COMP = f"""WITH RECURSIVE {_LABEL}, {_EDGES}, nd AS (SELECT drive, frame, vx, vy, vz, label, ((vx + 16777216) << 38) + ((vy + 16777216) << 13) + (vz + 4096) AS node FROM nl),
 ee AS (SELECT a.drive, a.frame, a.node AS a, b.node AS b FROM ed e JOIN nd a ON a.drive = e.drive AND a.frame = e.frame AND a.vx = e.vx AND a.vy = e.vy AND a.vz = e.vz
   JOIN nd b ON b.drive = e.drive AND b.frame = e.frame AND b.vx = e.nx AND b.vy = e.ny AND b.vz = e.nz WHERE a.label = b.label),
 rc AS (SELECT drive, frame, node, node AS seg FROM nd UNION SELECT e.drive, e.frame, e.b, c.seg FROM rc c JOIN ee e ON e.drive = c.drive AND e.frame = c.frame AND e.a = c.node WHERE c.seg < e.b)

@@ -285,13 +285,19 @@ def propagate_labels(
     return labels
 
 
+# Bits of the cell indices in an id. At 0.5 m they reach 8,388 km east and north and 2 km up and down.
+ID_BITS = {"vx": 25, "vy": 25, "vz": 13}
+
+
 def cell_id() -> Column:
-    """The three cell indices packed into one bigint, 21 bits each; sorts like (vx, vy, vz)."""
-    bias = 1 << 20
-    return (
-        F.shiftleft((F.col("vx") + bias).cast("bigint"), 42) + F.shiftleft((F.col("vy") + bias).cast("bigint"), 21)
-        + (F.col("vz") + bias)
-    )
+    """The three cell indices packed into one bigint; sorts like (vx, vy, vz). Indices out of reach stop the job."""
+    out, fits = F.lit(0).cast("bigint"), F.lit(True)
+    for name, bits in ID_BITS.items():
+        half = 1 << (bits - 1)
+        fits = fits & F.col(name).between(-half, half - 1)
+        out = F.shiftleft(out, bits) + (F.col(name) + half).cast("bigint")
+    stop = F.raise_error(F.lit("a cell index does not fit its bits in a cell id")).cast("bigint")
+    return F.when(F.coalesce(fits, F.lit(True)), out).otherwise(stop)
 
 
 def connected_components(labels: DataFrame, edges: DataFrame, keys: Sequence[str] = FRAME) -> DataFrame:
