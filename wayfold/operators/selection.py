@@ -95,27 +95,18 @@ def decimate(
 
 def match_ids(centers: np.ndarray, known: np.ndarray, known_ids: Sequence[int], reach: float) -> list[int]:
     """Ids for one frame's peaks in vote order: nearest free known peak within `reach`, else the lowest free id."""
-    free = [i > 0 for i in known_ids]
-    ids = [0] * len(centers)
-    for row, center in enumerate(centers):
-        best, best_d = -1, reach * reach
-        for k in range(len(known_ids)):
-            if free[k]:
-                d = float(np.sum((known[k] - center) ** 2))
-                if d <= best_d:
-                    best, best_d = k, d
-        if best >= 0:
-            free[best] = False
-            ids[row] = int(known_ids[best])
-    used = {i for i in ids if i > 0}
-    for row, i in enumerate(ids):
-        if i == 0:
-            candidate = 1
-            while candidate in used:
-                candidate += 1
-            ids[row] = candidate
-            used.add(candidate)
-    return ids
+    ids, owners = np.zeros(len(centers), np.int64), np.asarray(known_ids, np.int64)
+    if len(centers) and len(owners):
+        apart = ((np.asarray(centers, float)[:, None] - np.asarray(known, float)[None]) ** 2).sum(axis=2)
+        open_ = np.where((apart <= reach * reach) & (owners > 0), apart, np.inf)[:, ::-1]  # equal distance: the later one
+        for peak, row in enumerate(open_):
+            pick = int(row.argmin())
+            if np.isfinite(row[pick]):
+                ids[peak] = owners[len(owners) - 1 - pick]
+                open_[:, pick] = np.inf
+    new = np.flatnonzero(ids == 0)
+    ids[new] = np.setdiff1d(np.arange(1, len(ids) + 1), ids)[: len(new)]
+    return ids.tolist()
 
 
 def stable_ids(
