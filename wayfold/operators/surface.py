@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import rigid
 from ..functions.eigen3 import SYM, inverse_sym, with_axes, with_eigenvalues
@@ -167,6 +170,63 @@ def block_index(
     ).agg(F.collect_list(item).alias("near"))
 
 
+# Queries compared with one block's points at a time.
+QUERY_GROUP = 512
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _nearest_places(
+    qx: pd.Series, qy: pd.Series, qz: pd.Series, own: pd.Series, px: pd.Series, py: pd.Series, pz: pd.Series, tie: pd.Series,
+    barred: pd.Series,
+) -> pd.Series:
+    """Per row, a group of queries and the points of its block: the place of each query's nearest point (-1: none)."""
+    out = []
+    for q1, q2, q3, mine, p1, p2, p3, rank, not_for in zip(qx, qy, qz, own, px, py, pz, tie, barred, strict=True):
+        if p1 is None or not len(p1):
+            out.append(np.full(len(q1), -1, np.int32))
+            continue
+        order = np.argsort(rank, kind="stable")
+        d2 = (p1[order] - q1[:, None]) ** 2 + (p2[order] - q2[:, None]) ** 2 + (p3[order] - q3[:, None]) ** 2
+        d2 = np.where(np.isnan(d2) | (not_for[order] == mine[:, None]), np.inf, d2)
+        best = d2.argmin(axis=1)
+        out.append(np.where(np.isfinite(d2[np.arange(len(d2)), best]), order[best], -1).astype(np.int32))
+    return pd.Series(out)
+
+
+def _nearest_in_block(
+    queries: DataFrame, index: DataFrame, size: float, max_distance: float, keys: Sequence[str], how: str, names: Sequence[str],
+    tie: Callable[[Column], Column], barred: Callable[[Column], Column] | None = None,
+) -> DataFrame:
+    """Adds `_d2` and `_p`, the nearest point of the query's block (`near`) strictly nearer than `max_distance`.
+
+    Queries of a voxel meet its points as one distance matrix. A voxel with many queries is dealt into groups of about
+    QUERY_GROUP, so a dense voxel is no longer task than others; points are not copied per query.
+    """
+    voxel, columns = [*keys, *VOXEL], queries.columns
+    own = F.struct(*[F.col(c) for c in columns])
+    rows = with_voxel(queries, size).withColumn("_q", own).select(*voxel, "_q")
+    dense = rows.groupBy(*voxel).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > QUERY_GROUP)
+    parts = F.coalesce(F.ceil(F.col("_n") / QUERY_GROUP), F.lit(1))
+    dealt = rows.join(dense, voxel, "left").withColumn("_part", F.pmod(F.xxhash64("_q"), parts))
+    groups = dealt.groupBy(*voxel, "_part").agg(F.collect_list("_q").alias("_qs")).join(index, voxel, how)
+
+    def number(name: str) -> Callable[[Column], Column]:
+        return lambda item: item.getField(name).cast("double")
+
+    mine = F.transform("_qs", lambda q: q.getField("scan_id").cast("double") if barred else F.lit(0.0))
+    theirs = F.transform("near", lambda p: F.coalesce(barred(p).cast("double"), F.lit(float("nan"))) if barred else F.lit(float("nan")))
+    at = _nearest_places(
+        *[F.transform("_qs", number(a)) for a in AXES], mine, *[F.transform("near", number(n)) for n in names],
+        F.transform("near", lambda p: tie(p).cast("double")), theirs,
+    )
+    pairs = F.transform(F.arrays_zip("_qs", "_at"), lambda x: F.struct(x.getField("_qs").alias("q"), F.when(x.getField("_at") >= 0, F.get("near", x.getField("_at"))).alias("p")))
+    out = groups.withColumn("_at", at).select(F.explode(pairs).alias("_x")).select(*[F.col(f"_x.q.`{c}`").alias(c) for c in columns], F.col("_x.p").alias("_p"))
+    d2 = sum(((F.col(f"_p.{n}") - F.col(a)) * (F.col(f"_p.{n}") - F.col(a)) for n, a in zip(names, AXES, strict=True)), F.lit(0.0))
+    out = out.withColumn("_d2", d2)
+    near = F.col("_d2") < F.lit(float(max_distance) * float(max_distance))
+    return out.withColumns({"_p": F.when(near, F.col("_p")), "_d2": F.when(near, F.col("_d2"))})
+
+
 def closest_map_point(
     queries: DataFrame, index: DataFrame, size: float, max_distance: float, keys: Sequence[str] = ("drive",),
     how: str = "left",
@@ -175,16 +235,9 @@ def closest_map_point(
 
     Equal distances take the smaller point id. `hit` carries `d2`, the point and its owner voxel.
     """
-    out = with_voxel(queries, size).join(index, [*keys, *VOXEL], how)
-
-    def scored(p: Column) -> Column:
-        d2 = sum(((p.getField(a) - F.col(a)) * (p.getField(a) - F.col(a)) for a in AXES), F.lit(0.0))
-        return F.struct(d2.alias("d2"), p.getField("idx").alias("id"), p.alias("p"))
-
-    best = F.array_min(F.transform("near", scored))
-    out = out.withColumn("hit", best).drop("near", *VOXEL)
-    near = F.col("hit.d2") < F.lit(float(max_distance) * float(max_distance))
-    return out.withColumn("hit", F.when(near, F.col("hit")))
+    out = _nearest_in_block(queries, index, size, max_distance, keys, how, AXES, lambda p: p.getField("idx"))
+    hit = F.struct(F.col("_d2").alias("d2"), F.col("_p.idx").alias("id"), F.col("_p").alias("p"))
+    return out.withColumn("hit", F.when(F.col("_p").isNotNull(), hit)).drop("_p", "_d2")
 
 
 def closest_plane(
@@ -192,7 +245,8 @@ def closest_plane(
 ) -> DataFrame:
     """Nearest planar voxel mean in the block, skipping voxels that are mostly the query's own scan.
 
-    `planes`: voxel key, `mx..mz, n_x..n_z, dominant, dominant_n, n`; queries carry `scan_id`.
+    `planes`: voxel key, `mx..mz, n_x..n_z, dominant, dominant_n, n`; queries carry `scan_id`. Equal distances take the
+    smaller voxel.
     """
     p = planes.select(
         *keys, *VOXEL, F.struct("mx", "my", "mz", "n_x", "n_y", "n_z", "dominant", "dominant_n", "n", *VOXEL).alias("_p")
@@ -200,18 +254,16 @@ def closest_plane(
     index = shifted(p).groupBy(
         *keys, *[F.col(n).alias(v) for n, v in zip(("nx", "ny", "nz"), VOXEL, strict=True)]
     ).agg(F.collect_list("_p").alias("near"))
-    out = with_voxel(queries, size).join(index, [*keys, *VOXEL], "left").drop(*VOXEL)
 
-    def other(pl: Column) -> Column:
-        return ~((pl.getField("dominant") == F.col("scan_id")) & (pl.getField("dominant_n") * 2 >= pl.getField("n")))
+    def rank(p: Column) -> Column:
+        return sum(((p.getField(v) - F.col(v)) * w for v, w in zip(VOXEL, (9, 3, 1), strict=True)), F.lit(0))
 
-    def scored(pl: Column) -> Column:
-        d2 = sum(((pl.getField(f"m{a}") - F.col(a)) ** 2 for a in AXES), F.lit(0.0))
-        return F.struct(d2.alias("d2"), *[pl.getField(v).alias(v) for v in VOXEL], pl.alias("p"))
+    def mostly(p: Column) -> Column:
+        return F.when(p.getField("dominant_n") * 2 >= p.getField("n"), p.getField("dominant"))
 
-    best = F.array_min(F.transform(F.filter("near", other), scored))
-    out = out.withColumn("hit", best).drop("near")
-    return out.withColumn("hit", F.when(F.col("hit.d2") < float(max_distance) ** 2, F.col("hit")))
+    out = _nearest_in_block(queries, index, size, max_distance, keys, "left", ("mx", "my", "mz"), rank, mostly)
+    hit = F.struct(F.col("_d2").alias("d2"), *[F.col(f"_p.{v}").alias(v) for v in VOXEL], F.col("_p").alias("p"))
+    return out.withColumn("hit", F.when(F.col("_p").isNotNull(), hit)).drop("_p", "_d2")
 
 
 def dominant_scan(points: DataFrame, size: float, keys: Sequence[str] = ("drive",)) -> DataFrame:
