@@ -264,10 +264,24 @@ def deskew(
     points: DataFrame, traj: DataFrame, extrinsic: rigid.Pose | None = None, scan_keys: Sequence[str] = SCAN,
     keys: Sequence[str] = ("drive",), chunks: Chunks | None = None,
 ) -> DataFrame:
-    """Points moved to the end of their scan: P(t_end)^-1 P(t) E p, with t_end the latest time of the scan."""
-    ends = points.groupBy(*scan_keys).agg(F.max("t").alias("t_end"))
-    ends = interpolate_clamped(ends, traj, "t_end", keys, chunks, into="_end")
-    moved = asof(points, traj, keys, "t", "stamp", SAMPLE, tie=("idx",), chunks=chunks)
+    """Points moved to the end of their scan: P(t_end)^-1 P(t) E p, with t_end the latest time of the scan.
+
+    Only the trajectory rows around a scan go to it; the time search then runs inside (drive, scan), so a long drive is
+    as many tasks as it has scans.
+    """
+    spans = points.groupBy(*scan_keys).agg(F.min("t").alias("_t0"), F.max("t").alias("t_end"))
+    first = asof(spans, traj, keys, "_t0", "stamp", ("stamp",), chunks=chunks).withColumn("_lo", F.coalesce("prev.stamp", "_t0"))
+    last = asof(first.drop("prev", "next"), traj, keys, "t_end", "stamp", ("stamp",), chunks=chunks)
+    spans = cut(last.withColumn("_hi", F.coalesce("next.stamp", "t_end")).drop("prev", "next"))
+    # The rows around each scan, found by time bins of a usual scan's length; a scan across a hole has more bins.
+    usual = spans.agg(F.percentile_approx(F.col("_hi") - F.col("_lo"), 0.5)).first()[0]
+    width = float(usual) if usual and usual > 0.0 else 1.0
+    bins = F.sequence(F.floor(F.col("_lo") / width), F.floor(F.col("_hi") / width))
+    around = spans.select(*scan_keys, "_lo", "_hi", F.explode(bins).alias("_bin"))
+    near = traj.select(*keys, *SAMPLE, F.floor(F.col("stamp") / width).alias("_bin")).join(around, [*keys, "_bin"])
+    near = near.filter(F.col("stamp").between(F.col("_lo"), F.col("_hi"))).select(*scan_keys, *SAMPLE)
+    ends = interpolate_clamped(spans.select(*scan_keys, "t_end"), near, "t_end", scan_keys, Chunks(), into="_end")
+    moved = asof(points, near, scan_keys, "t", "stamp", SAMPLE, tie=("idx",), chunks=Chunks())
     moved = clamp_bracketed(moved, "t", "_at").join(ends.drop("t_end"), list(scan_keys))
     moved = moved.withColumn("_rel", rigid.pose("_end.").between(rigid.pose("_at.")).struct())
     body = rigid.vec() if extrinsic is None else extrinsic.apply(rigid.vec())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +20,7 @@ class PrepareParams:
     half_y: float = 25.0
     min_range: float = 0.0
     max_range: float = 0.0
+    time_field: str | None = None
     random: bool = False
     random_rate: float = 0.3
     random_target: int | None = None
@@ -45,8 +46,9 @@ def prepare_scans(
     clouds: DataFrame, extrinsics: DataFrame, traj: DataFrame, params: PrepareParams = PrepareParams(),
     chunks: Chunks | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Raw cloud rows (with `frame_id`) to (map cloud, source cloud)."""
-    rows = explode_clouds(attach_extrinsic(clouds, extrinsics)[0], carry=("ext",))
+    """Raw cloud rows (with `frame_id`) to (map cloud, source cloud). Ranges are those of the sensor, before the time rule."""
+    p = params
+    rows = explode_clouds(attach_extrinsic(clouds, extrinsics)[0], p.time_field, p.min_range, p.max_range, carry=("ext",))
     body = rigid.pose("ext.").apply(rigid.vec())
     rows = rows.withColumns({"x": body.x, "y": body.y, "z": body.z}).drop("ext")
-    return prepare_points(rows, traj, params, None, chunks)
+    return prepare_points(rows, traj, replace(p, min_range=0.0, max_range=0.0), None, chunks)
