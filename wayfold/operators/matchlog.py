@@ -179,9 +179,11 @@ def stage_latency(
         F.count_if(F.col("skipped")).alias("skipped"), F.count_if(F.col("timed_out")).alias("timed_out"),
         F.count(F.lit(1)).alias("scans"),
     )
-    for s in STAGES:
-        out = out.join(exact_quantiles(log, keys, s, {f"{s}_median": 0.5}, chunks=chunks), list(keys), "left")
-    return out
+    # All stages in one table and one pass.
+    long = log.select(*keys, F.explode(F.array(*[F.struct(F.lit(s).alias("stage"), F.col(s).cast("double").alias("ms")) for s in STAGES])).alias("_s"))
+    medians = exact_quantiles(long.select(*keys, "_s.stage", "_s.ms"), [*keys, "stage"], "ms", {"median": 0.5}, chunks=chunks)
+    wide = medians.groupBy(*keys).agg(*[F.max(F.when(F.col("stage") == s, F.col("median"))).alias(f"{s}_median") for s in STAGES])
+    return out.join(wide, list(keys), "left")
 
 
 def scan_stages(log: DataFrame, keys: Sequence[str] = DRIVE, chunks: Chunks | None = None) -> DataFrame:
