@@ -18,8 +18,9 @@ CAPACITY, END_ID = 4096, 1
 PARTITION_PIECES = 4000
 #: Exchange rounds at most, and the share of a bin that must be empty for its pieces to be exchanged.
 ROUNDS, LOOSE = 4, 0.005
-#: Encoded text chunks kept per worker; beyond it the table starts anew.
-CHUNK_MEMORY = 300_000
+#: Encoded chunks and parts kept per worker and generation.
+CHUNK_MEMORY = 400_000
+_MARKS = b".,!?;:*#%&$)|"
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -29,9 +30,29 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+class Memory:
+    """A table of two generations: a full young one becomes the old one, and what is used again comes back from there."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def missing(self, keys: set[bytes]) -> set[bytes]:
+        """Keys that are in neither generation; those of the old one move to the young one."""
+        if len(self.young) + len(keys) > self.size:
+            self.young, self.old = {}, self.young
+        absent = keys - self.young.keys()
+        back = absent & self.old.keys()
+        self.young.update((k, self.old[k]) for k in back)
+        return absent - back
+
+
 class Encoder:
-    """Token ids of whole texts as little-endian bytes. White space is dropped by this tokenizer and no token spans it,
-    so a text's ids are its chunks' ids in order; chunks seen before are taken from a bounded table."""
+    """Token ids of whole texts as little-endian bytes.
+
+    White space is dropped by this tokenizer and no token spans it, so a text's ids are its chunks' ids in order. A chunk
+    that ends in marks after a letter or digit is two pre-tokens or more, cut there; and letters are lower-cased first. So
+    every distinct chunk is put together from the ids of its lower-case body and its marks, each encoded once while it is
+    remembered (memory is bounded)."""
 
     _shared: dict[str, Encoder] = {}
 
@@ -39,7 +60,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        self.chunks, self.parts = Memory(CHUNK_MEMORY), Memory(CHUNK_MEMORY)
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -48,17 +69,25 @@ class Encoder:
             cls._shared[path] = cls(path)
         return cls._shared[path]
 
+    @staticmethod
+    def cut(chunk: bytes) -> tuple[bytes, bytes]:
+        """Body and closing marks; the whole chunk as body where cutting is not sure to be right."""
+        body = chunk.rstrip(_MARKS)
+        if len(body) == len(chunk) or not body or b"<|" in chunk or not body.decode()[-1].isalnum() or body[-1] > 127:
+            return chunk.lower() if b"<|" not in chunk else chunk, b""
+        return body.lower(), chunk[len(body):]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.encode().split() for t in texts]
-        missing = list({c for chunks in split for c in chunks} - self.known.keys())
-        if len(self.known) + len(missing) > CHUNK_MEMORY:
-            self.known = {}
-            missing = list({c for chunks in split for c in chunks})
-        for at in range(0, len(missing), 8192):
-            part = missing[at: at + 8192]
-            found = self.tokenizer.encode_batch_fast([c.decode() for c in part], add_special_tokens=False)
-            self.known.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(part, found))
-        return [b"".join(map(self.known.__getitem__, chunks)) for chunks in split]
+        new = {c: self.cut(c) for c in self.chunks.missing({c for chunks in split for c in chunks})}
+        wanted = list(self.parts.missing({p for cut in new.values() for p in cut if p}))
+        for at in range(0, len(wanted), 8192):
+            names = wanted[at: at + 8192]
+            found = self.tokenizer.encode_batch_fast([n.decode() for n in names], add_special_tokens=False)
+            self.parts.young.update((n, np.array(e.ids, "<u4").tobytes()) for n, e in zip(names, found))
+        ids = self.parts.young
+        self.chunks.young.update((c, ids[body] + ids[marks] if marks else ids[body]) for c, (body, marks) in new.items())
+        return [b"".join(map(self.chunks.young.__getitem__, chunks)) for chunks in split]
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str | None = None) -> DataFrame:
