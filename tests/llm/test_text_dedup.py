@@ -120,7 +120,7 @@ def test_very_long_texts(spark):
     got = {r.doc_id: r for r in substring_dedup.dedup(frame(spark, rows)).collect()}
     assert got[1].kept_text == long and len(got[2].intervals) == 1 and got[3].n_words == 1
     got = {r.doc_id: r for r in suffix_dedup.dedup(frame(spark, rows)).collect()}
-    assert bytes(got[1].kept).decode() == long and bytes(got[2].kept) == b"tail " and len(got[3].kept) == 100 - 1 + 1
+    assert bytes(got[1].kept).decode() == long and bytes(got[2].kept) == b"tail " and bytes(got[3].kept) == b"b"
 
 
 def test_repeat_groups_are_maximal(spark):

@@ -21,26 +21,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wayfold.llm.common import materialise, mix, ranges, slices, texts_of
+from wayfold.llm.common import materialise, mix, ranges, release, slices, texts_of
 
 #: Rows are known by a hash of id and text: a repeated row is the same document, and one id may have several texts.
 #: One document in HEAVY_SAMPLE is looked at to find anchors so common that they must not meet in one task; an anchor is
 #: heavy with HEAVY_HITS hits or one in HEAVY_SHARE of the sample's anchors, so there are at most HEAVY_SHARE of them.
-HEAVY_SAMPLE, HEAVY_HITS, HEAVY_SHARE = 100, 16, 100_000
+HEAVY_SAMPLE, HEAVY_HITS, HEAVY_SHARE = 100, 64, 100_000
 #: An anchor with more spans is compared window by window instead of span by span (same results, evenly dealt).
-CROWDED = 1000
-#: Symbols of distinct contexts in one shard's index.
-SHARD_CONTEXTS = 20_000
+CROWDED = 4000
+#: Contexts in one shard's index, and marks of a document that are looked at together.
+SHARD_CONTEXTS, UNIT_MARKS = 20_000, 8192
 _HOT_BIT = 1 << 62
 
 
+@dataclass(frozen=True)
+class Parsed:
+    """A text as symbols: their 64-bit hashes, and the bytes that symbols a..b stand for (`ends` null: one byte each)."""
+
+    hashes: np.ndarray
+    raw: bytes
+    begins: list[int] | None = None
+    ends: list[int] | None = None
+
+    def content(self, a: int, b: int) -> bytes:
+        return self.raw[a:b] if self.ends is None else self.raw[self.begins[a]: self.ends[b - 1]]
+
+
 @dataclass(frozen=True)
 class Alphabet:
-    """How a text becomes symbols: `codes`, an array of fixed-width codes, and `spread`, their 64-bit hashes.
-    `window` and `gram` count symbols; `window - gram` is below 256."""
+    """How a text becomes symbols. `window` and `gram` count symbols; `window - gram` is below 256."""
 
-    codes: Callable[[str], np.ndarray]
-    spread: Callable[[np.ndarray], np.ndarray]
+    parse: Callable[[str], Parsed]
     window: int
     gram: int
 
@@ -76,22 +87,22 @@ def window_minimum(values: np.ndarray, width: int) -> np.ndarray:
     return (best & low).astype(np.int64)
 
 
-def spans(codes: np.ndarray, alphabet: Alphabet) -> tuple[np.ndarray, np.ndarray]:
+def spans(hashes: np.ndarray, alphabet: Alphabet) -> tuple[np.ndarray, np.ndarray]:
     """Anchor hash and packed place of every span of one document: first window, anchor's offset in it, windows."""
-    if len(codes) < alphabet.window:
+    if len(hashes) < alphabet.window:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    hashes = gram_hashes(alphabet.spread(codes), alphabet.gram)
-    anchor = window_minimum(hashes, alphabet.window - alphabet.gram + 1)
+    grams = gram_hashes(hashes, alphabet.gram)
+    anchor = window_minimum(grams, alphabet.window - alphabet.gram + 1)
     first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
     count = np.diff(np.append(first, len(anchor)))
-    return hashes[anchor[first]], (first << 16) | ((anchor[first] - first) << 8) | count
+    return grams[anchor[first]], (first << 16) | ((anchor[first] - first) << 8) | count
 
 
 def _anchor_rows(docs: DataFrame, alphabet: Alphabet, heavy: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             ids = batch.column("row").to_numpy(zero_copy_only=False)
-            found = [spans(alphabet.codes(t), alphabet) for t in texts_of(batch)]
+            found = [spans(alphabet.parse(t).hashes, alphabet) for t in texts_of(batch)]
             sizes = [len(f[0]) for f in found]
             if not sum(sizes):
                 continue
@@ -107,8 +118,8 @@ def _anchor_rows(docs: DataFrame, alphabet: Alphabet, heavy: np.ndarray) -> Data
 
 
 def mark_spans(docs: DataFrame, alphabet: Alphabet) -> DataFrame:
-    """`(row, marks array<struct<key, span>>)`: spans whose anchor occurs more than once, packed as start and number
-    of windows, with a bit for crowded anchors. A document's marks are bounded by its own length. Heavy anchors, known
+    """`(row, marks array<long>)`: spans whose anchor occurs more than once, packed as start, anchor and number of
+    windows, with a bit for crowded anchors. A document's marks are bounded by its own length. Heavy anchors, known
     from a sample, keep their place under a scattered key: they are repeated anyway, and no task gets them all.
     The sample steers where work is done, never what is found."""
     sampled = docs.where(F.pmod("row", F.lit(HEAVY_SAMPLE)) == 0)
@@ -118,8 +129,10 @@ def mark_spans(docs: DataFrame, alphabet: Alphabet) -> DataFrame:
     rows = _anchor_rows(docs, alphabet, heavy).withColumn("n", F.count("*").over(Window.partitionBy("key")))
     kept = rows.where((F.col("n") > 1) | (F.col("span") >= _HOT_BIT))
     crowded = (F.col("n") > CROWDED) & (F.col("span") < _HOT_BIT)
-    kept = kept.select("row", F.struct("key", F.when(crowded, F.col("span") + _HOT_BIT).otherwise(F.col("span")).alias("span")).alias("mark"))
-    return materialise(kept.groupBy("row").agg(F.collect_list("mark").alias("marks")))
+    kept = kept.select("row", F.when(crowded, F.col("span") + _HOT_BIT).otherwise(F.col("span")).alias("mark"))
+    marks = materialise(kept.groupBy("row").agg(F.collect_list("mark").alias("marks")))
+    release(docs.sparkSession)
+    return marks
 
 
 @dataclass
@@ -134,23 +147,23 @@ class Units:
     content: list[bytes]
 
 
-def units(codes: np.ndarray, keys: np.ndarray, packed: np.ndarray, alphabet: Alphabet) -> Units:
-    hot = packed >= _HOT_BIT
-    packed = packed & (_HOT_BIT - 1)
-    start, anchor, n = packed >> 16, (packed >> 8) & 255, packed & 255
-    times = np.where(hot, n, 1)
-    step = ranges(times)
-    single = np.repeat(hot, times)
-    start, anchor = np.repeat(start, times) + step, np.repeat(anchor, times) - step
-    n, key = np.where(single, 1, np.repeat(n, times)), np.repeat(keys, times)
-    order = np.argsort(start, kind="stable")
-    start, anchor, n, key, single = (x[order] for x in (start, anchor, n, key, single))
-    raw, width = codes.tobytes(), codes.itemsize
-    content = [raw[a * width: b * width] for a, b in zip(start.tolist(), (start + n + alphabet.window - 1).tolist())]
-    if single.any():
-        own = np.fromiter((xxhash.xxh64_intdigest(c) if s else 0 for c, s in zip(content, single)), np.uint64, len(content))
-        key = np.where(single, own.view(np.int64), key)
-    return Units(start, n, anchor, key, content)
+def units(parsed: Parsed, marks: np.ndarray, alphabet: Alphabet) -> Iterator[Units]:
+    """Units of a document in order of their start (those of crowded anchors after the others), some thousands at a time."""
+    grams = gram_hashes(parsed.hashes, alphabet.gram).view(np.int64) if len(marks) else None
+    for at in range(0, len(marks), UNIT_MARKS):
+        packed = marks[at: at + UNIT_MARKS]
+        hot = packed >= _HOT_BIT
+        packed = packed & (_HOT_BIT - 1)
+        start, anchor, n = packed >> 16, (packed >> 8) & 255, packed & 255
+        key, times = grams[start + anchor], np.where(hot, n, 1)
+        step, single = ranges(times), np.repeat(hot, times)
+        start, anchor, key = np.repeat(start, times) + step, np.repeat(anchor, times) - step, np.repeat(key, times)
+        n = np.where(single, 1, np.repeat(n, times))
+        content = [parsed.content(a, b) for a, b in zip(start.tolist(), (start + n + alphabet.window - 1).tolist())]
+        if single.any():
+            own = np.fromiter((xxhash.xxh64_intdigest(c) if s else 0 for c, s in zip(content, single)), np.uint64, len(content))
+            key = np.where(single, own.view(np.int64), key)
+        yield Units(start, n, anchor, key, content)
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str, carry: list[str] | None = None) -> DataFrame:
@@ -164,14 +177,10 @@ def with_marks(docs: DataFrame, marks: DataFrame, how: str) -> DataFrame:
     return docs.join(marks.hint("shuffle_hash"), "row", how)
 
 
-def mark_arrays(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
+def marks_of(batch: pa.RecordBatch, i: int) -> np.ndarray:
+    """Sorted marks of a row; a repeated row has its marks twice."""
     column = batch.column("marks")
-    if not column[i].is_valid:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    values = column[i].values
-    key, span = (values.field(name).to_numpy(zero_copy_only=False) for name in ("key", "span"))
-    span, first = np.unique(span, return_index=True)  # a repeated row has its marks twice
-    return key[first], span
+    return np.unique(column[i].values.to_numpy(zero_copy_only=False)) if column[i].is_valid else np.zeros(0, np.int64)
 
 
 def distinct_contexts(docs: DataFrame, marks: DataFrame, alphabet: Alphabet) -> DataFrame:
@@ -184,14 +193,14 @@ def distinct_contexts(docs: DataFrame, marks: DataFrame, alphabet: Alphabet) ->
             out: list[list] = [[], [], [], [], [], [], []]
             ids = zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), texts_of(batch))
             for i, (doc, row, text) in enumerate(ids):
-                found = units(alphabet.codes(text), *mark_arrays(batch, i), alphabet)
                 seen: set[tuple[int, bytes]] = set()
-                pieces = zip(found.key.tolist(), found.content, found.windows.tolist(), found.anchor.tolist(), found.start.tolist())
-                for key, content, n, anchor, start in pieces:
-                    if (key, content) not in seen:
-                        seen.add((key, content))
-                        for column, value in zip(out, (key, content, n, anchor, doc, row, start)):
-                            column.append(value)
+                for found in units(alphabet.parse(text), marks_of(batch, i), alphabet):
+                    pieces = zip(found.key.tolist(), found.content, found.windows.tolist(), found.anchor.tolist(), found.start.tolist())
+                    for key, content, n, anchor, start in pieces:
+                        if (key, content) not in seen:
+                            seen.add((key, content))
+                            for column, value in zip(out, (key, content, n, anchor, doc, row, start)):
+                                column.append(value)
             types = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
             names = ["key", "content", "n_windows", "anchor", "doc_id", "row", "start"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names)
@@ -203,31 +212,36 @@ def distinct_contexts(docs: DataFrame, marks: DataFrame, alphabet: Alphabet) ->
     )
 
 
-def sharded(contexts: DataFrame) -> DataFrame:
-    """Adds `shard`: contexts of one key meet in one shard, and shards hold about SHARD_CONTEXTS each."""
-    contexts = materialise(contexts)
-    shards = max(1, contexts.count() // SHARD_CONTEXTS)
-    return contexts.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
+def sharded(contexts: DataFrame, marks: DataFrame) -> DataFrame:
+    """Adds `shard`: contexts of one key meet in one shard, and shards hold about SHARD_CONTEXTS each at most (there is a
+    mark for every context, but for crowded anchors, whose windows are dealt evenly)."""
+    total = marks.agg(F.sum(F.size("marks"))).first()[0] or 0
+    return contexts.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(max(1, total // SHARD_CONTEXTS))))
 
 
 def firsts(indexed: DataFrame) -> DataFrame:
-    """`(row, firsts array<struct<start, mask>>)` from `(row, start, mask)` rows, bounded by the document."""
-    return indexed.groupBy("row").agg(F.collect_list(F.struct("start", "mask")).alias("firsts"))
+    """`(row, firsts array<struct<start, mask>>)` from `(row, start, mask)` rows, bounded by the document; written."""
+    found = materialise(indexed.groupBy("row").agg(F.collect_list(F.struct("start", "mask")).alias("firsts")))
+    release(indexed.sparkSession)
+    return found
 
 
-def covered_windows(found: Units, known: dict[int, bytes], same_document: bool) -> np.ndarray:
+def covered_windows(parts: Iterator[Units], known: dict[int, bytes], same_document: bool) -> np.ndarray:
     """Starts of the windows that also occur earlier. A content's first unit has its own mask in `known` if this
     document is its first one; a unit that is not in `known` is covered whole. `same_document`: earlier places of the
     same document count, so later units of a content are covered whole; else they share the first unit's mask."""
     out, masks = [], {}
-    for key, content, n, start in zip(found.key.tolist(), found.content, found.windows.tolist(), found.start.tolist()):
-        mask = masks.get((key, content)) if not same_document else (None if (key, content) not in masks else b"")
-        if mask is None:
-            mask = masks[key, content] = known.get(start, b"")
-        if mask:
-            out.append(start + np.flatnonzero(np.unpackbits(np.frombuffer(mask, np.uint8), bitorder="little")[:n]))
-        else:
-            out.append(start + np.arange(n))
+    for found in parts:
+        for key, content, n, start in zip(found.key.tolist(), found.content, found.windows.tolist(), found.start.tolist()):
+            mask = masks.get((key, content))
+            if mask is None:
+                mask = masks[key, content] = known.get(start, b"")
+            elif same_document:
+                mask = b""
+            if mask:
+                out.append(start + np.flatnonzero(np.unpackbits(np.frombuffer(mask, np.uint8), bitorder="little")[:n]))
+            else:
+                out.append(np.arange(start, start + n))
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -24,15 +25,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Writes `df` to the shared checkpoint folder and continues from the files: lineage ends there, and the shuffle
-    files of the finished stages can go (Spark drops them when the driver's JVM collects its garbage)."""
+    """Writes `df` to the shared checkpoint folder and continues from the files: lineage ends there."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return out
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets the shuffle files of finished stages go: Spark deletes them when the driver's JVM has collected what refers to
+    them, which it would otherwise do at some later time (`spark.cleaner.periodicGC.interval`)."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
+#: Most rows of keys (some 16 bytes each) that are broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def bounded(keys: DataFrame) -> DataFrame:
+    """A table of keys for a semi or anti join against texts: written and counted, then broadcast if it has at most
+    BROADCAST_ROWS rows, so that the texts need no shuffle; beyond that left to a shuffled join."""
+    keys = materialise(keys)
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
 
 
 def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:

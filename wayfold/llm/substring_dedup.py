@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -12,18 +13,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wayfold.llm import anchored
-from wayfold.llm.common import materialise, slices, texts_of
+from wayfold.llm.common import slices, texts_of
 
-WINDOW, GRAM = 13, 3
+#: Words of a window, and of its anchor.
+WINDOW, GRAM = 13, 5
 
 
-def word_codes(text: str) -> np.ndarray:
-    words = text.encode().split()
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+def parse_words(words: list[bytes]) -> anchored.Parsed:
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    begins = ends - np.array([len(w) for w in words], dtype=np.int64)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    return anchored.Parsed(hashes, b" ".join(words), begins.tolist(), ends.tolist())
 
 
 def alphabet(window: int = WINDOW) -> anchored.Alphabet:
-    return anchored.Alphabet(word_codes, lambda codes: codes, window, min(GRAM, window))
+    return anchored.Alphabet(lambda text: parse_words(text.encode().split()), window, min(GRAM, window))
 
 
 class WaveletMatrix:
@@ -95,11 +99,12 @@ def interval_minimum(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> n
 def covered(contents: list[bytes], n_windows: np.ndarray, doc: np.ndarray, window: int) -> list[bytes]:
     """For every context a bit mask of its windows that also occur in a context of a smaller document. The windows'
     words are searched backwards together; a window whose interval narrows to its own place leaves the search."""
-    lengths = np.array([len(c) // 8 for c in contents], dtype=np.int64)
-    names, ids = np.unique(np.frombuffer(b"".join(contents), np.uint64), return_inverse=True)
+    names: dict[bytes, int] = {}
+    split = [[names.setdefault(w, len(names) + 1) for w in c.split(b" ")] for c in contents]
+    lengths = np.array([len(w) for w in split], dtype=np.int64)
     starts = np.cumsum(lengths + 1) - lengths - 1
     text = np.zeros(int(lengths.sum() + len(lengths)), np.int64)
-    text[np.repeat(starts, lengths) + anchored.ranges(lengths)] = ids + 1
+    text[np.repeat(starts, lengths) + anchored.ranges(lengths)] = np.fromiter(chain.from_iterable(split), np.int64, int(lengths.sum()))
     owner = np.repeat(np.arange(len(lengths)), lengths + 1)
     index = FmIndex(text, len(names) + 1, window)
     owner_rows = np.repeat(np.arange(len(contents)), n_windows)
@@ -141,8 +146,8 @@ def dedup(
     letters = alphabet(window)
     known = docs.where("doc_id is not null").drop("rest")
     marks = anchored.mark_spans(known, letters)
-    contexts = anchored.sharded(anchored.distinct_contexts(known, marks, letters))
-    masks = materialise(anchored.firsts(_indexed(contexts, window)))
+    contexts = anchored.sharded(anchored.distinct_contexts(known, marks, letters), marks)
+    masks = anchored.firsts(_indexed(contexts, window))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 128):
@@ -151,8 +156,7 @@ def dedup(
                 words = text.encode().split()
                 gone = np.zeros(0, np.int64)
                 if batch.column("marks")[i].is_valid:
-                    codes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-                    found = anchored.units(codes, *anchored.mark_arrays(batch, i), letters)
+                    found = anchored.units(parse_words(words), anchored.marks_of(batch, i), letters)
                     gone = anchored.covered_windows(found, anchored.first_masks(batch, i), False)
                 if len(gone):
                     removed = anchored.removed_symbols(len(words), gone, window)

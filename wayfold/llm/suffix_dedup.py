@@ -11,16 +11,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.llm import anchored
-from wayfold.llm.common import materialise, mix, slices, texts_of
+from wayfold.llm.common import mix, slices, texts_of
 
 WINDOW, GRAM = 100, 32
 _SPREAD = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+def parse_bytes(text: str) -> anchored.Parsed:
+    raw = text.encode()
+    return anchored.Parsed(_SPREAD[np.frombuffer(raw, np.uint8)], raw)
+
+
 def alphabet(window: int = WINDOW) -> anchored.Alphabet:
-    return anchored.Alphabet(
-        lambda text: np.frombuffer(text.encode(), np.uint8), lambda codes: _SPREAD[codes], window, min(GRAM, window)
-    )
+    return anchored.Alphabet(parse_bytes, window, min(GRAM, window))
 
 
 @dataclass
@@ -146,7 +149,8 @@ def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """`(group_id, n_bytes, doc_id, start)`: all occurrences of every maximal repeat of `window` bytes or more around an
     anchor, one row per distinct context (its first document). Repeats are followed as far as the contexts reach."""
     docs, letters = anchored.keyed(docs, id_col, text_col).where("doc_id is not null"), alphabet(window)
-    contexts = anchored.sharded(anchored.distinct_contexts(docs, anchored.mark_spans(docs, letters), letters))
+    marks = anchored.mark_spans(docs, letters)
+    contexts = anchored.sharded(anchored.distinct_contexts(docs, marks, letters), marks)
 
     def run(rows: pa.Table) -> pa.Table:
         key, content, _, anchor, doc, start = (rows.column(c).to_pylist() for c in _LISTS)
@@ -172,17 +176,17 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     docs, letters = anchored.keyed(docs, id_col, text_col), alphabet(window)
     known = docs.where("doc_id is not null")
     marks = anchored.mark_spans(known, letters)
-    contexts = anchored.sharded(anchored.distinct_contexts(known, marks, letters))
-    masks = materialise(anchored.firsts(_indexed(contexts, window)))
+    contexts = anchored.sharded(anchored.distinct_contexts(known, marks, letters), marks)
+    masks = anchored.firsts(_indexed(contexts, window))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 128):
             counts, kept, cut = [], [], []
             for i, text in enumerate(texts_of(batch)):
-                codes = letters.codes(text)
+                codes = np.frombuffer(text.encode(), np.uint8)
                 gone = np.zeros(0, np.int64)
                 if batch.column("marks")[i].is_valid:
-                    found = anchored.units(codes, *anchored.mark_arrays(batch, i), letters)
+                    found = anchored.units(parse_bytes(text), anchored.marks_of(batch, i), letters)
                     gone = anchored.covered_windows(found, anchored.first_masks(batch, i), True)
                 removed = anchored.removed_symbols(len(codes), gone, window) if len(gone) else np.zeros(len(codes), bool)
                 counts.append(len(codes))
