@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import materialise
+from wayfold.llm.common import bounded, materialise
 
 #: Tokens of a window, and how many of them must be plain words for the window to say anything.
 WINDOW, LITERALS = 10, 6
@@ -34,21 +34,28 @@ def marked(text: Column) -> Column:
 
 def template(tokens: Column) -> Column:
     """Tokens with the slots' values left out."""
-    return F.regexp_replace(tokens, rf"{_MARK}([ndu])[^ ]*", _MARK + "$1")
+    cut = F.regexp_replace(tokens, rf"{_MARK}([ndu])[^ ]*", _MARK + "$1")
+    return F.when(F.instr(tokens, _MARK) > 0, cut).otherwise(tokens)
 
 
 def _split(tokens: Column) -> Column:
-    return F.filter(F.split(F.trim(tokens), " "), lambda t: t != "")
+    inner = F.trim(tokens)
+    return F.when(inner != "", F.split(inner, " ")).otherwise(F.array().cast("array<string>"))
+
+
+def _token_hashes(words: Column) -> Column:
+    return F.transform(words, lambda t: F.xxhash64(t))
 
 
 def _windows(tokens: Column, size: int) -> Column:
-    """Hashes of all windows of `size` tokens. The token array is bound once, not evaluated again in each step."""
+    """Hashes of all windows of `size` tokens, made from the tokens' hashes. That array is bound once, as the one item of an
+    outer array, not evaluated again in each step."""
     def hashes(words: Column) -> Column:
         last = F.size(words) - size
         places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
         return F.transform(places, lambda i: F.xxhash64(F.slice(words, i + 1, size)))
 
-    return F.flatten(F.transform(F.array(_split(template(tokens))), hashes))
+    return F.flatten(F.transform(F.array(_token_hashes(_split(template(tokens)))), hashes))
 
 
 def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -60,7 +67,7 @@ def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col:
     rows = items.withColumn("item_at", F.explode(F.sequence(F.lit(0), F.size("item_words") - F.col("size"))))
     piece = F.slice("item_words", F.col("item_at") + 1, F.col("size"))
     slots = F.size(F.filter(piece, lambda t: t.startswith(_MARK)))
-    rows = rows.withColumn("hash", F.xxhash64(piece)).where((slots <= window - LITERALS) & (F.col("size") - slots >= min(LITERALS, window)))
+    rows = rows.withColumn("hash", F.xxhash64(_token_hashes(piece))).where((slots <= window - LITERALS) & (F.col("size") - slots >= min(LITERALS, window)))
     return rows.select("size", "hash", "item_id", "item_at", "item_words", "item_marked")
 
 
@@ -87,7 +94,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
         empty = "doc_id long, item_id long, shift int, n_windows long, n_slots long, changed boolean, consistent boolean"
         return docs.sparkSession.createDataFrame([], empty)
     found = materialise(found.distinct())
-    hit = found.select("doc_id", "row").distinct()
+    hit = bounded(found.select("doc_id", "row").distinct())
     tokens = marks.join(hit, ["doc_id", "row"], "left_semi").dropDuplicates(["doc_id", "row"])
     tokens = tokens.select("doc_id", "row", marked(F.col("text")).alias("tokens"))
     tokens = tokens.select("doc_id", "row", _split("tokens").alias("marked"), _split(template(F.col("tokens"))).alias("words"))
@@ -129,5 +136,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` without the contaminated ones. Rows with a null id stay."""
-    bad = contaminated(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias(id_col))
+    bad = bounded(contaminated(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias(id_col)))
     return docs.join(bad, id_col, "left_anti")
