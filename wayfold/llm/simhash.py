@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import local_components, materialise, skew_join, slices, texts_of
+from wayfold.llm.common import bounded, local_components, materialise, skew_join, slices, texts_of
 from wayfold.llm.components import components
 
 SHINGLE_WORDS, SEED, MAX_BITS = 4, 42, 4
@@ -142,6 +142,6 @@ def near_duplicates(
 
 
 def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of `docs` whose id is the smallest of its group."""
-    first = found.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(first, id_col, "left_semi")
+    """Rows of `docs` whose id is the smallest of its group. Rows with a null id stay; rows of one id are one document."""
+    gone = bounded(found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct())
+    return docs.join(gone, id_col, "left_anti")
