@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +21,7 @@ PARTITION_PIECES = 4000
 #: Exchange rounds at most, and the share of a bin that must be empty for its pieces to be exchanged.
 ROUNDS, LOOSE = 4, 0.005
 #: Encoded chunks and parts kept per worker and generation.
-CHUNK_MEMORY = 400_000
+CHUNK_MEMORY = 500_000
 _MARKS = b".,!?;:*#%&$)|"
 TOKENIZER = "word_bpe_49k.json"
 
@@ -59,6 +61,8 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        if array("I").itemsize != 4 or sys.byteorder != "little":
+            raise RuntimeError("ids are kept as little-endian 32-bit integers")
         self.tokenizer = Tokenizer.from_file(path)
         self.chunks, self.parts = Memory(CHUNK_MEMORY), Memory(CHUNK_MEMORY)
 
@@ -72,22 +76,28 @@ class Encoder:
     @staticmethod
     def cut(chunk: bytes) -> tuple[bytes, bytes]:
         """Body and closing marks; the whole chunk as body where cutting is not sure to be right."""
+        if b"<|" in chunk:
+            return chunk, b""
         body = chunk.rstrip(_MARKS)
-        if len(body) == len(chunk) or not body or b"<|" in chunk or not body.decode()[-1].isalnum() or body[-1] > 127:
-            return chunk.lower() if b"<|" not in chunk else chunk, b""
+        if len(body) == len(chunk) or not body[-1:].isalnum():
+            return chunk.lower(), b""
         return body.lower(), chunk[len(body):]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.encode().split() for t in texts]
-        new = {c: self.cut(c) for c in self.chunks.missing({c for chunks in split for c in chunks})}
-        wanted = list(self.parts.missing({p for cut in new.values() for p in cut if p}))
+        new = list(self.chunks.missing(set().union(*split)))
+        cuts = list(map(self.cut, new))
+        wanted = {body for body, _ in cuts}
+        wanted.update(marks for _, marks in cuts if marks)
+        wanted = list(self.parts.missing(wanted))
+        ids = self.parts.young
         for at in range(0, len(wanted), 8192):
             names = wanted[at: at + 8192]
             found = self.tokenizer.encode_batch_fast([n.decode() for n in names], add_special_tokens=False)
-            self.parts.young.update((n, np.array(e.ids, "<u4").tobytes()) for n, e in zip(names, found))
-        ids = self.parts.young
-        self.chunks.young.update((c, ids[body] + ids[marks] if marks else ids[body]) for c, (body, marks) in new.items())
-        return [b"".join(map(self.chunks.young.__getitem__, chunks)) for chunks in split]
+            ids.update(zip(names, [array("I", e.ids).tobytes() for e in found]))
+        self.chunks.young.update(zip(new, [ids[body] + ids[marks] if marks else ids[body] for body, marks in cuts]))
+        known = self.chunks.young.__getitem__
+        return [b"".join(map(known, chunks)) for chunks in split]
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str | None = None) -> DataFrame:
@@ -97,7 +107,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(path)
-        for batch in slices(batches):
+        for batch in slices(batches, 768):
             doc, piece, start, length, crc = [], [], [], [], []
             for name, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts_of(batch))):
                 ids += end
