@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import decontam, embed_dedup, langid, licenses, packing, quality, simhash, substring_dedup, suffix_dedup, token_counts
+from wayfold.llm import decontam, embed_dedup, langid, licenses, packing, quality, simhash, sql, substring_dedup, suffix_dedup, token_counts
 from wayfold.llm.common import crc_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,7 +46,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-@query("op7_fm_substrings")
+@query("op7_fm_substrings", sql.OP7)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.dedup(table(spark, sf_dir, "documents"))
     removed = F.aggregate("intervals", F.lit(0).cast("long"), lambda total, x: total + x.stop - x.start)
@@ -63,7 +63,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
-@query("op3_lattice_neighbours")
+@query("op3_lattice_neighbours", sql.OP3)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -81,7 +81,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-@query("op6_suffix_intervals")
+@query("op6_suffix_intervals", sql.OP6)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.dedup(table(spark, sf_dir, "documents"))
     return found.select(
