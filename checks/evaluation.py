@@ -504,6 +504,12 @@ def kitti_segments_legacy(spark, sf):
 # --- sections ------------------------------------------------------------------------------------------
 
 
+def both_pairs(e, g, ch):
+    """Pairs of the odometry (nearest, one to one) and of the filter (interpolated at the truth's stamps)."""
+    split = association.interpolate_split(e, g, SPLIT_GAP, chunks=ch).withColumn("stamp", F.col("gt_stamp"))
+    return (ODOM, association.associate_unique(e, g, GAP, chunks=ch)), (FILTER, split)
+
+
 def two_estimators(spark, sf):
     """Per-pose errors of both estimators after planar alignment, with route distance."""
     ch = V.time_chunks(spark, sf)
@@ -512,10 +518,7 @@ def two_estimators(spark, sf):
         "drive", F.col("stamp").alias("gt_stamp"), F.col("idx").alias("gt_idx"), "distance"
     )
     out = None
-    for name, pairs in (
-        (ODOM, association.associate_unique(e, g, GAP, chunks=ch)),
-        (FILTER, association.interpolate_split(e, g, SPLIT_GAP, chunks=ch).withColumn("stamp", F.col("gt_stamp"))),
-    ):
+    for name, pairs in both_pairs(e, g, ch):
         al = align.apply_se2(pairs, align.align_rigid_se2(pairs))
         err = metrics.pose_errors(al).join(route, ["drive", "gt_stamp", "gt_idx"])
         one = err.select(
@@ -677,13 +680,16 @@ def build_sections_runs(spark, sf):
     )
 
 
-def _sections(spark, sf, top_k: int = 3):
+def _sections(spark, sf):
+    """Runs and worst 100 m segments of both estimators, the segments in both spaces."""
     ch, e = two_estimators(spark, sf)
-    _, p = unique_pairs(spark, sf, planar=True)
-    segs = metrics.kitti_segments(p, "se2", (100.0,), chunks=ch).withColumn("estimator", F.lit(ODOM))
-    return evaluate.build_sections(
-        e.persist(), segs.persist(), signals(spark, sf), min_length_m=5.0, top_k=top_k, chunks=ch, bucket_s=3600.0
-    )
+    gt, est = V.planar_pair(spark, sf, ch)
+    segs = None
+    for name, pairs in both_pairs(est, gt, ch):
+        for space in metrics.SPACES:
+            one = metrics.kitti_segments(pairs, space, (100.0,), chunks=ch).withColumn("estimator", F.lit(name))
+            segs = one if segs is None else segs.unionByName(one)
+    return evaluate.build_sections(e.persist(), segs.persist(), signals(spark, sf), min_length_m=5.0, chunks=ch, bucket_s=3600.0)
 
 
 @query("section_table")
