@@ -6,8 +6,11 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import rigid
 from ..functions.staging import computed
@@ -176,27 +179,47 @@ def voxel_spaced(
 ) -> DataFrame:
     """Points kept in input order per voxel, at most `cap`, none nearer than size / sqrt(cap) to a kept one.
 
-    One reduction per kept rank: the first remaining point of every voxel is kept, then the points near it
-    drop out. That is the sequential rule, without gathering a voxel in one place.
+    One shuffle: points are dealt by voxel, sorted in input order, and a pass over the batches holds the kept points of
+    the current voxel only, however many points it has. A point without a position is kept if it is the first one.
     """
-    spacing2 = (size / math.sqrt(max(1, cap))) ** 2
-    names = points.columns
-    left = with_voxel(points, size)
+    spacing2, cap = (size / math.sqrt(max(1, cap))) ** 2, max(1, cap)
     group = [*keys, *VOXEL]
-    kept: list[DataFrame] = []
-    rank = F.col(order[0]) if len(order) == 1 else F.struct(*order)
-    for number in range(1, max(1, cap) + 1):
-        best = cut(left.groupBy(*group).agg(F.min_by(F.struct(*names), rank).alias("_k")))
-        if best.isEmpty():
-            break
-        kept.append(best.select(F.col("_k.*"), F.lit(number).alias("kept_rank"), *VOXEL))
-        if number == cap:
-            break
-        d2 = sum(((F.col(a) - F.col(f"_k.{a}")) ** 2 for a in "xyz"), F.lit(0.0))
-        left = left.join(best, group).filter(d2 >= spacing2).drop("_k")
-        if number % 4 == 0:
-            left = cut(left)
-    return reduce(DataFrame.unionByName, kept)
+    rows = with_voxel(points, size).withColumn("_group", F.xxhash64(*group))
+    placed = rows.repartition(*group).sortWithinPartitions(*group, *order)
+    schema = T.StructType([f for f in placed.schema.fields if f.name != "_group"]).add("kept_rank", T.IntegerType())
+
+    def choose(xyz: np.ndarray, kept: list[np.ndarray]) -> list[int]:
+        """Places of the points to keep after those in `kept`, which grows."""
+        alive, out = np.ones(len(xyz), bool), []
+        for k in kept:
+            alive &= ((xyz - k) ** 2).sum(axis=1) >= spacing2
+        while len(kept) < cap and alive.any():
+            out.append(int(alive.argmax()))
+            kept.append(xyz[out[-1]])
+            alive[: out[-1] + 1] = False
+            alive &= ((xyz - kept[-1]) ** 2).sum(axis=1) >= spacing2
+        return out
+
+    def run(batches):
+        current, kept = None, []
+        for batch in batches:
+            ids = batch.column("_group").to_numpy()
+            xyz = np.stack([batch.column(a).to_numpy(zero_copy_only=False).astype(float) for a in "xyz"], axis=1)
+            places, ranks = [], []
+            starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else []
+            for a, b in zip(starts, [*starts[1:], len(ids)]):
+                if ids[a] != current:
+                    current, kept = ids[a], []
+                before = len(kept)
+                if before < cap:
+                    new = choose(xyz[a:b], kept)
+                    places += [a + i for i in new]
+                    ranks += range(before + 1, before + 1 + len(new))
+            out = batch.take(pa.array(np.array(places, np.int64)))
+            columns = [out.column(f.name) for f in schema.fields[:-1]]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(ranks, pa.int32())], [f.name for f in schema.fields])
+
+    return placed.mapInArrow(run, schema).select(*points.columns, "kept_rank", *VOXEL)
 
 
 def stride_sample(
