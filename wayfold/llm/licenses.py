@@ -113,12 +113,12 @@ def rules() -> list[Rule]:
 
 
 def _gate() -> str:
-    """Any text with a base phrase or a rule's needle matches this; each alternative is a single word of theirs, or a
-    rarer pair of words where single words are common."""
+    """Any text with a base phrase or a rule's needle matches this; each alternative is the start of one of their words,
+    or a rarer pair of words where single words are common."""
+    alone = ("licen[cs]", "gpl", "spdx", "copyright", "creativecommons", "apache", "unlicense", "wtfpl", "proprietary", "bsd", "mpl", "epl", "cddl", "eupl", "osl", "afl", "bsl", "lppl", "odbl", "gfdl", "lgpl", "agpl", "cc0", "zlib", "simplified bsd", "creative commons", "mozilla org", "gnu org", "gnu gpl", "gnu lgpl", "gnu agpl")
+    pairs = ("cc by", "mit 0", "under mit", "permission is", "permission to", "redistribution and", "public domain", "rights reserved", "do what", "released into", "sil open", "open font")
     gap = f"[{_OTHER}]+"
-    alone = ("licen[cs]", "gpl", "spdx", "copyright", "creative", "apache", "unlicense", "wtfpl", "proprietary", "bsd", "mpl", "epl", "cddl", "eupl", "osl", "afl", "bsl", "lppl", "odbl", "gfdl", "cc0", "zlib", "attribution")
-    pairs = ("cc by", "mit 0", "under mit", "permission is", "permission to", "redistribution and", "public domain", "rights reserved", "do what", "open font")
-    return "(?i)" + "|".join([*alone, *(p.replace(" ", gap) for p in pairs)])
+    return f"(?i)(?<![^{_OTHER}])(?:" + "|".join(w.replace(" ", gap) for w in (*alone, *pairs)) + ")"
 
 
 def _words(text: Column) -> Column:
@@ -149,8 +149,9 @@ def detections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Matches of one rule do not overlap."""
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = texts.where(F.col("text").rlike(_gate())).select("doc_id", F.xxhash64("text").alias("row"), _words(F.col("text")).alias("words"))
-    literal = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in r.items()]) for r in rule_rows(extra)])
-    held = F.filter(literal, lambda r: F.instr("words", F.concat(F.lit(" "), r.needle)) > 0)
+    listed = [r | {"needle": f" {r['needle']}"} for r in rule_rows(extra)]
+    literal = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in r.items()]) for r in listed])
+    held = F.filter(literal, lambda r: F.instr("words", r.needle) > 0)
     rows = texts.select("doc_id", "row", "words", F.explode(held).alias("r")).select("doc_id", "row", "words", "r.*")
     marked = F.regexp_replace("words", F.concat(F.lit("(?<= )(?:"), F.col("pattern"), F.lit(")(?= )")), F.lit(_START + "$0" + _STOP))
     rows = rows.withColumn("cut", marked).where(F.instr("cut", _START) > 0)
