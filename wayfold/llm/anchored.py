@@ -230,7 +230,7 @@ def covered_windows(parts: Iterator[Units], known: dict[int, bytes], same_docume
     """Starts of the windows that also occur earlier. A content's first unit has its own mask in `known` if this
     document is its first one; a unit that is not in `known` is covered whole. `same_document`: earlier places of the
     same document count, so later units of a content are covered whole; else they share the first unit's mask."""
-    out, masks = [], {}
+    starts, counts, out, masks = [], [], [], {}
     for found in parts:
         for key, content, n, start in zip(found.key.tolist(), found.content, found.windows.tolist(), found.start.tolist()):
             mask = masks.get((key, content))
@@ -241,8 +241,10 @@ def covered_windows(parts: Iterator[Units], known: dict[int, bytes], same_docume
             if mask:
                 out.append(start + np.flatnonzero(np.unpackbits(np.frombuffer(mask, np.uint8), bitorder="little")[:n]))
             else:
-                out.append(np.arange(start, start + n))
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
+                starts.append(start)
+                counts.append(n)
+    out.append(np.repeat(np.array(starts, np.int64), counts) + ranges(counts))
+    return np.concatenate(out)
 
 
 def removed_symbols(n: int, windows: np.ndarray, width: int) -> np.ndarray:
