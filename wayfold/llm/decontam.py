@@ -39,23 +39,23 @@ def template(tokens: Column) -> Column:
 
 
 def _split(tokens: Column) -> Column:
-    inner = F.trim(tokens)
-    return F.when(inner != "", F.split(inner, " ")).otherwise(F.array().cast("array<string>"))
+    """Token array; an empty text is one empty token, too short for any window that counts."""
+    return F.split(F.trim(tokens), " ")
 
 
 def _token_hashes(words: Column) -> Column:
     return F.transform(words, lambda t: F.xxhash64(t))
 
 
-def _windows(tokens: Column, size: int) -> Column:
-    """Hashes of all windows of `size` tokens, made from the tokens' hashes. That array is bound once, as the one item of an
+def _windows(words: Column, size: int) -> Column:
+    """Hashes of all windows of `size` template tokens, made from the tokens' hashes. That array is bound once, as the one item of an
     outer array, not evaluated again in each step."""
     def hashes(words: Column) -> Column:
         last = F.size(words) - size
         places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
         return F.transform(places, lambda i: F.xxhash64(F.slice(words, i + 1, size)))
 
-    return F.flatten(F.transform(F.array(_token_hashes(_split(template(tokens)))), hashes))
+    return F.flatten(F.transform(F.array(_token_hashes(_split(words))), hashes))
 
 
 def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -84,10 +84,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     sizes = [r["size"] for r in known.select("size").distinct().orderBy("size").collect()]  # at most `window` values
     keys = known.groupBy("size", "hash").agg(F.lit(True).alias("hit"))
     small = known.count() <= BROADCAST_WINDOWS
+    # Each step is a column of its own, so that no expression is worked out again where it is used more than once.
+    texts = marks.withColumn("tokens", marked(F.col("text"))).withColumn("tokens", template(F.col("tokens")))
     found = None
     for size in sizes:
         own = keys.where(F.col("size") == size).select("hash")
-        rows = marks.select("doc_id", "row", F.posexplode(_windows(marked(F.col("text")), size)).alias("at", "hash"))
+        rows = texts.select("doc_id", "row", F.posexplode(_windows(F.col("tokens"), size)).alias("at", "hash"))
         part = rows.join(F.broadcast(own) if small else own, "hash").select("doc_id", "row", F.lit(size).alias("size"), "at", "hash")
         found = part if found is None else found.unionByName(part)
     if found is None:
