@@ -626,7 +626,9 @@ sg AS (SELECT drive, idx, stamp, 0.5e0*sin(idx) AS err_x, 0.5e0*cos(idx) AS err_
   CASE WHEN idx % 11 = 4 THEN NULL ELSE 0.001e0*(idx % 17) END AS bg_x, 0.001e0*(idx % 13) AS bg_y, 0.001e0*(idx % 7) AS bg_z,
   0.01e0*(idx % 5) AS ba_x, CASE WHEN idx % 11 = 5 THEN NULL ELSE 0.01e0*(idx % 19) END AS ba_y, 0.01e0*(idx % 3) AS ba_z,
   value*0.1e0 AS bvx, value*0.02e0 AS bvy, value*0.001e0 AS age FROM ev),
-hs AS (SELECT s.estimator, s.drive, s.t0, g.* EXCLUDE (drive) FROM spans s JOIN sg g ON g.drive = s.drive AND g.stamp BETWEEN s.t0 AND s.t1),
+hs AS (SELECT s.estimator, s.drive, s.t0, g.* EXCLUDE (drive, stamp), {'a': t.stamp, 'b': p.gt_idx} AS stamp
+  FROM spans s JOIN gt t ON t.drive = s.drive AND t.stamp BETWEEN s.t0 AND s.t1 JOIN split p ON p.drive = t.drive AND p.gt_idx = t.idx
+  JOIN sg g ON g.drive = p.drive AND g.idx = p.est_idx),
 st AS (SELECT estimator, drive, t0, avg(sqrt(err_x**2 + err_y**2)) AS residual_xy_mean_m, degrees(sqrt(avg(err_yaw**2))) AS filter_yaw_rmse_deg,
   quantile_cont(age, 0.95) AS odom_age_p95_s, avg(sqrt(bvx**2 + bvy**2)) AS speed_mean_mps,
   CASE WHEN count(bg_x) >= 2 THEN sqrt((arg_max(bg_x, stamp) FILTER (bg_x IS NOT NULL) - arg_min(bg_x, stamp) FILTER (bg_x IS NOT NULL))**2
@@ -641,8 +643,8 @@ _STATS = ("residual_xy_mean_m", "filter_yaw_rmse_deg", "odom_age_p95_s", "speed_
 
 @query("filter_stats", f"{_TWO}{_SIGNALS} SELECT estimator, drive, {r('t0', 'stamp_start', 3)}, {rs(*_STATS)} FROM st")
 def filter_stats(spark, sf):
-    ch, _, s = spans(spark, sf)
-    out = sections.filter_stats(s, signals(spark, sf), bucket_s=3600.0, chunks=ch)
+    ch, e, s = spans(spark, sf)
+    out = sections.filter_stats(s, signals(spark, sf), e.filter(F.col("estimator") == FILTER), bucket_s=3600.0, chunks=ch)
     out = out.join(s.select("drive", "section_id", "estimator", "stamp_start"), ["drive", "section_id"])
     return rounded(out.select("estimator", "drive", "stamp_start", *_STATS), 4, stamp_start=3)
 

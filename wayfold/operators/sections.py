@@ -121,19 +121,24 @@ def section_overlap(
 
 
 def filter_stats(
-    sections: DataFrame, signals: DataFrame, keys: Sequence[str] = DRIVE, bucket_s: float = 600.0,
+    sections: DataFrame, signals: DataFrame, sources: DataFrame, keys: Sequence[str] = DRIVE, bucket_s: float = 600.0,
     chunks: Chunks | None = None,
 ) -> DataFrame:
     """Filter health inside each section (`section_id`): residual, yaw, bias change, pose age, speed.
 
-    Signals: `stamp, err_x, err_y, err_yaw, bg_*, ba_*, odom_age, body_vx, body_vy`, null = missing.
+    Signals: `idx, err_x, err_y, err_yaw, bg_*, ba_*, odom_age, body_vx, body_vy`, null = missing. `sources`: the filter's
+    error rows, `stamp, idx, est_idx`. A section takes the signals of the rows that its errors were measured on, each as
+    often as it was used, not all that were recorded meanwhile.
     """
     sid = [*keys, "section_id"]
-    hit = section_overlap(sections.select(*sid, "stamp_start", "stamp_end"), signals, "stamp", keys, bucket_s)
+    used = section_overlap(
+        sections.select(*sid, "stamp_start", "stamp_end"), sources.select(*keys, "stamp", "idx", "est_idx"), "stamp", keys, bucket_s
+    ).select(*sid, F.struct("stamp", "idx").alias("_when"), "est_idx")
+    hit = used.join(signals.drop("stamp").withColumnRenamed("idx", "est_idx"), [*keys, "est_idx"])
 
     def change(names: Sequence[str]) -> Column:
         present = reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in names])
-        when = F.when(present, F.struct("stamp"))
+        when = F.when(present, F.col("_when"))
         first = F.min_by(F.struct(*names), when)
         last = F.max_by(F.struct(*names), when)
         total = sum(((last[n] - first[n]) ** 2 for n in names), F.lit(0.0))

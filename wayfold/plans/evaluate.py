@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..formats import FILTER
 from ..functions import rigid
 from ..operators import align, association, metrics, sections
 from ..operators.ordered import Chunks
@@ -129,8 +130,8 @@ def build_sections(
 ) -> DataFrame:
     """Sections of high error of both estimators with statistics and blame.
 
-    `errors`: `estimator, stamp, idx, horiz, vert, yaw_deg, distance`; `segments`: KITTI segments with
-    `estimator, space`; `signals`: filter signals on the filter's estimate stamps.
+    `errors`: `estimator, stamp, idx, est_idx, horiz, vert, yaw_deg, distance`; `segments`: KITTI segments with
+    `estimator, space`; `signals`: filter signals by the `idx` of the filter's estimates.
     """
     owner = [*keys, "estimator"]
     thresholds = sections.section_threshold(errors, "horiz", floor_m, percentile, owner, chunks)
@@ -149,7 +150,8 @@ def build_sections(
         F.concat_ws(":", "kind", "estimator", "space", F.format_string("%.6f", "stamp_start"), F.format_string("%.6f", "stamp_end")),
     )
     summary = sections.section_summary(found, errors, keys, bucket_s)
-    stats = sections.filter_stats(found, signals, keys, bucket_s, chunks)
+    of_filter = errors.filter(F.col("estimator") == FILTER)
+    stats = sections.filter_stats(found, signals, of_filter, keys, bucket_s, chunks)
     sid = [*keys, "section_id"]
     out = found.join(summary, sid, "left").join(stats, sid, "left")
     out = out.withColumn(
