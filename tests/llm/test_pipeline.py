@@ -54,3 +54,14 @@ def test_all_but_the_last_stage_return_documents(spark):
     frame = table(spark, SF, "documents")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, frame, SF).columns == frame.columns
+
+
+def test_stages_take_odd_rows(spark):
+    schema = table(spark, SF, "documents").schema
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (None, "some text without an id", None, "s", 3), (4, "word " * 30_000, "en", None, 9), (5, "a b", "en", "s", 3), (5, "a b", "en", "s", 3)]
+    for frame in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        for _, stage in corpus_pipeline.STAGES[1:]:
+            out = stage(spark, frame, SF)
+            assert out.count() >= (1 if frame.count() else 0)
+        docs_out = corpus_pipeline.quality_stage(spark, frame, SF)
+        assert docs_out.columns == frame.columns and docs_out.count() <= frame.count()
