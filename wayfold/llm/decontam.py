@@ -18,18 +18,24 @@ UNITS = (
     "v", "meters", "metres", "kilometers", "kilometres", "miles", "feet", "inches", "grams", "kilograms", "pounds", "seconds",
     "minutes", "hours", "days", "weeks", "months", "years", "dollars", "euros", "cents", "percent", "liters", "litres", "degrees",
 )
-_MARK = "\u0001"
+# Starts a slot; stands for a point inside a number. What separates tokens: ASCII and Latin-1 marks, general and
+# ideographic punctuation.
+_MARK, _POINT = "\u0001", "\u0002"
+_BETWEEN = r"\x00\x03-\x2F\x3A-\x40\x5B-\x60\x7B-\xBF\u2000-\u206F\u3000-\u303F"
 
 
 def marked(text: Column) -> Column:
     """The text as lower-case tokens with one space around each. A slot keeps its value behind a type mark: `n` name (a
     capitalised word inside a sentence), `d` number, `u` unit after a number. Null is empty."""
-    out = F.translate(F.coalesce(text, F.lit("")), _MARK, " ")
+    # Every pattern starts with the character it looks for; what stands before is looked at only there.
+    out = F.translate(F.coalesce(text, F.lit("")), _MARK + _POINT, "  ")
     out = F.regexp_replace(out, r"\p{Lu}(?<=[\p{L}\p{N},;:] \p{Lu})\p{Ll}+", _MARK + "n$0")
-    out = F.regexp_replace(F.lower(out), rf"(?:[^\p{{L}}\p{{M}}\p{{N}}{_MARK}.,:]|[.,:](?![0-9])|(?<![0-9])[.,:])+", " ")
+    out = F.regexp_replace(out, r"[.,:](?<=[0-9][.,:])(?=[0-9])", _POINT)
+    out = F.regexp_replace(F.lower(out), f"[{_BETWEEN}]+", " ")
     out = F.concat(F.lit(" "), F.trim(out), F.lit(" "))
-    out = F.regexp_replace(out, r"(?<= )[0-9][0-9.,:]*(?= )", _MARK + "d$0")
-    return F.regexp_replace(out, rf"(?<={_MARK}d[0-9.,:]{{1,40}} )(?:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?= )", _MARK + "u$0")
+    out = F.regexp_replace(out, f"[0-9](?<= [0-9])[0-9{_POINT}]*(?= )", _MARK + "d$0")
+    units = "|".join(sorted(UNITS, key=len, reverse=True))
+    return F.regexp_replace(out, f"({_MARK}d[0-9{_POINT}]+ )({units})(?= )", f"$1{_MARK}u$2")
 
 
 def template(tokens: Column) -> Column:
