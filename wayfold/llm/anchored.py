@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -137,14 +138,15 @@ def mark_spans(docs: DataFrame, alphabet: Alphabet) -> DataFrame:
 
 @dataclass
 class Units:
-    """The compared pieces of one document: a whole span, or a single window of a crowded anchor. `anchor` is the
-    anchor's offset in the content."""
+    """The compared pieces of one document: a whole span, or a single window of a crowded anchor (`single`). `anchor` is
+    the anchor's offset in the content."""
 
     start: np.ndarray
     windows: np.ndarray
     anchor: np.ndarray
     key: np.ndarray
     content: list[bytes]
+    single: np.ndarray
 
 
 def units(parsed: Parsed, marks: np.ndarray, alphabet: Alphabet) -> Iterator[Units]:
@@ -163,7 +165,7 @@ def units(parsed: Parsed, marks: np.ndarray, alphabet: Alphabet) -> Iterator[Uni
         if single.any():
             own = np.fromiter((xxhash.xxh64_intdigest(c) if s else 0 for c, s in zip(content, single)), np.uint64, len(content))
             key = np.where(single, own.view(np.int64), key)
-        yield Units(start, n, anchor, key, content)
+        yield Units(start, n, anchor, key, content, single)
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str, carry: list[str] | None = None) -> DataFrame:
@@ -186,7 +188,8 @@ def marks_of(batch: pa.RecordBatch, i: int) -> np.ndarray:
 def distinct_contexts(docs: DataFrame, marks: DataFrame, alphabet: Alphabet) -> DataFrame:
     """`(key, content binary, n_windows, anchor, doc_id, row, start)`: every distinct content of a unit with its first document and
     its first place there. The aggregate combines before the shuffle, so a passage in a third of all documents is a few
-    rows by then."""
+    rows by then. A single window of a crowded anchor has nothing to be searched in: a 128-bit digest stands for it, and
+    `n_windows` is 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 64):
@@ -195,10 +198,12 @@ def distinct_contexts(docs: DataFrame, marks: DataFrame, alphabet: Alphabet) ->
             for i, (doc, row, text) in enumerate(ids):
                 seen: set[tuple[int, bytes]] = set()
                 for found in units(alphabet.parse(text), marks_of(batch, i), alphabet):
-                    pieces = zip(found.key.tolist(), found.content, found.windows.tolist(), found.anchor.tolist(), found.start.tolist())
-                    for key, content, n, anchor, start in pieces:
+                    lists = (x.tolist() for x in (found.key, found.windows, found.anchor, found.start, found.single))
+                    for content, key, n, anchor, start, single in zip(found.content, *lists):
                         if (key, content) not in seen:
                             seen.add((key, content))
+                            if single:
+                                content, n, anchor = xxhash.xxh128_digest(content), 0, 0
                             for column, value in zip(out, (key, content, n, anchor, doc, row, start)):
                                 column.append(value)
             types = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
@@ -219,6 +224,23 @@ def sharded(contexts: DataFrame, marks: DataFrame) -> DataFrame:
     return contexts.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(max(1, total // SHARD_CONTEXTS))))
 
 
+#: Mask of a single window's first place: not covered.
+OPEN = b"\x00"
+
+
+def index_shards(contexts: DataFrame, covered: Callable[[pa.Table], list[bytes]]) -> DataFrame:
+    """`(row, start, mask)`: `covered` makes the masks of a shard's contexts; single windows need none."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        spans_ = pa.compute.greater(rows.column("n_windows"), 0)
+        searched, single = rows.filter(spans_), rows.filter(pa.compute.invert(spans_))
+        masks = (covered(searched) if searched.num_rows else []) + [OPEN] * single.num_rows
+        both = pa.concat_tables([searched.select(["row", "start"]), single.select(["row", "start"])])
+        return both.append_column("mask", pa.array(masks, pa.binary()))
+
+    return contexts.groupBy("shard").applyInArrow(run, "row long, start int, mask binary")
+
+
 def firsts(indexed: DataFrame) -> DataFrame:
     """`(row, firsts array<struct<start, mask>>)` from `(row, start, mask)` rows, bounded by the document; written."""
     found = materialise(indexed.groupBy("row").agg(F.collect_list(F.struct("start", "mask")).alias("firsts")))

@@ -124,12 +124,11 @@ def covered(contents: list[bytes], n_windows: np.ndarray, doc: np.ndarray, windo
 
 
 def _indexed(contexts: DataFrame, window: int) -> DataFrame:
-    def run(rows: pa.Table) -> pa.Table:
+    def masks(rows: pa.Table) -> list[bytes]:
         n, doc = (rows.column(c).to_numpy().astype(np.int64) for c in ("n_windows", "doc_id"))
-        masks = covered(rows.column("content").to_pylist(), n, doc, window)
-        return pa.table({"row": rows.column("row"), "start": rows.column("start"), "mask": pa.array(masks, pa.binary())})
+        return covered(rows.column("content").to_pylist(), n, doc, window)
 
-    return contexts.groupBy("shard").applyInArrow(run, "row long, start int, mask binary")
+    return anchored.index_shards(contexts, masks)
 
 
 def dedup(

@@ -137,17 +137,17 @@ _LISTS = ("key", "content", "n_windows", "anchor", "doc_id", "start")
 
 
 def _indexed(contexts: DataFrame, window: int) -> DataFrame:
-    def run(rows: pa.Table) -> pa.Table:
+    def masks(rows: pa.Table) -> list[bytes]:
         key, content, n, anchor, doc, start = (rows.column(c).to_pylist() for c in _LISTS)
-        masks = covered(key, content, n, anchor, [(d, s + a) for d, s, a in zip(doc, start, anchor)], window)
-        return pa.table({"row": rows.column("row"), "start": rows.column("start"), "mask": pa.array(masks, pa.binary())})
+        return covered(key, content, n, anchor, [(d, s + a) for d, s, a in zip(doc, start, anchor)], window)
 
-    return contexts.groupBy("shard").applyInArrow(run, "row long, start int, mask binary")
+    return anchored.index_shards(contexts, masks)
 
 
 def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """`(group_id, n_bytes, doc_id, start)`: all occurrences of every maximal repeat of `window` bytes or more around an
-    anchor, one row per distinct context (its first document). Repeats are followed as far as the contexts reach."""
+    anchor, one row per distinct context (its first document). Repeats are followed as far as the contexts reach; crowded
+    anchors, whose windows are compared one by one, are left to `dedup`."""
     docs, letters = anchored.keyed(docs, id_col, text_col).where("doc_id is not null"), alphabet(window)
     marks = anchored.mark_spans(docs, letters)
     contexts = anchored.sharded(anchored.distinct_contexts(docs, marks, letters), marks)
@@ -162,7 +162,7 @@ def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         columns = list(zip(*out)) or [()] * 4
         return pa.table([pa.array(c, t) for c, t in zip(columns, types)], ["group_id", "n_bytes", "doc_id", "start"])
 
-    return contexts.groupBy("shard").applyInArrow(run, "group_id string, n_bytes long, doc_id long, start long")
+    return contexts.where("n_windows > 0").groupBy("shard").applyInArrow(run, "group_id string, n_bytes long, doc_id long, start long")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -172,7 +172,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
 
     Null or empty text: no bytes. Repeated rows are one document and get the same result; of rows that share an id but
     not a text, one counts as the earlier. Rows with a null id are never changed and change nothing. Bytes are compared
-    themselves, not by hashes. Extra columns are ignored."""
+    themselves (windows of crowded anchors by 128-bit digests). Extra columns are ignored."""
     docs, letters = anchored.keyed(docs, id_col, text_col), alphabet(window)
     known = docs.where("doc_id is not null")
     marks = anchored.mark_spans(known, letters)
