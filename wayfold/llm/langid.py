@@ -23,7 +23,7 @@ MAX_FIT_DOCS = 4000
 #: Rounds of expectation-maximisation, pseudo-count of every piece, probability of a character outside the vocabulary.
 ROUNDS, PSEUDO_COUNT, UNKNOWN = 3, 0.05, 1e-7
 #: Scored words kept per worker; beyond it the table starts anew.
-WORD_MEMORY = 250_000
+WORD_MEMORY = 700_000
 UNDETERMINED = "und"
 # Probabilities are scaled by this factor per character, so that products over a part stay within doubles.
 _SCALE = 30.0
@@ -209,7 +209,7 @@ def predict(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(models)
-        for batch in slices(batches):
+        for batch in slices(batches, 768):
             found = scorer.score(texts_of(batch))
             columns = [batch.column("doc_id"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang_pred", "score"])
