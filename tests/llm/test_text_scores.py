@@ -144,6 +144,25 @@ def test_decontamination(spark):
     assert decontam.contaminated(docs.limit(0), bench).count() == 0 and decontam.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_one_changed_slot_does_not_hide_verbatim_windows(spark):
+    from wayfold.llm import queries
+
+    bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    one = ITEM.replace("while Maria", "while Peter")  # (Maria, Maria) and (Maria, Peter)
+    both = ITEM.replace("240", "77").replace("3 hours", "8 hours").replace("Maria counts", "Olga counts").replace("while Maria", "while Peter")
+    rows = [(1, "Text. " + one), (2, "Text. " + ITEM.replace("Maria", "Olga")), (3, "Text. " + both), (4, "Nothing of it.")]
+    got = {r.doc_id: r.n_windows for r in decontam.contaminated(docs_of(spark, rows), bench, per_window=True).collect()}
+    assert set(got) == {1, 2, 3} and 0 < got[1] < got[2]
+    assert [r.doc_id for r in decontam.clean(docs_of(spark, rows), bench, per_window=True).collect()] == [4]
+    seen = []
+    real, decontam.contaminated = decontam.contaminated, lambda *a, **b: seen.append(b)
+    try:
+        queries.QUERIES["op5_template_decontamination"](spark, "/root/testdata/sf0.001")
+    finally:
+        decontam.contaminated = real
+    assert seen == [{"per_window": True}]
+
+
 def test_decontamination_finds_every_shared_window(spark):
     rnd = random.Random(4)
     word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 8)))

@@ -77,11 +77,22 @@ def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col:
     return rows.select("size", "hash", "item_id", "item_at", "item_words", "item_marked")
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def _one_to_one(slots: Column) -> Column:
+    """Each item value of the distinct pairs stands for one document value and the reverse, within a slot type."""
+    values = F.transform(slots, lambda x: x.item_marked), F.transform(slots, lambda x: x.marked)
+    return (F.size(F.array_distinct(values[0])) == F.size(slots)) & (F.size(F.array_distinct(values[1])) == F.size(slots))
+
+
+def matches(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, per_window: bool = False
+) -> DataFrame:
     """`(doc_id, item_id, shift, n_windows, n_slots, changed, consistent)`: a row for every alignment of a document with an item
     that shares a template window. `changed`: a slot has another value than in the item. `consistent`: over all shared
     windows of the alignment each item value stands for one document value and the reverse, within a slot type.
 
+    `per_window`: each window is judged by its own slots, so that more shared text never takes a match away and a window with
+    the item's own values always counts; the counts and `changed` are those of the windows that pass, `consistent`: one does.
+
     Null ids of documents are left out, null texts are empty; repeated rows count once; extra columns are ignored."""
     marks = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     marks = marks.where("doc_id is not null")
@@ -120,21 +131,27 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     pairs = pairs.withColumn("shift", F.col("at") - F.col("item_at"))
     slots = F.filter(F.arrays_zip("item_marked", "marked"), lambda x: x.item_marked.startswith(_MARK))
     group = ["doc_id", "row", "item_id", "shift"]
+    pairs = pairs.select(*group, "at", F.array_distinct(slots).alias("slots"))
+    counts = _one_to_one(F.col("slots")) if per_window else F.lit(True)
     # One alignment is no longer than its item, so its slots fit in one row.
-    one = pairs.groupBy(*group).agg(F.count("*").alias("n_windows"), F.array_distinct(F.flatten(F.collect_list(slots))).alias("slots"))
-    values = F.transform("slots", lambda x: x.item_marked), F.transform("slots", lambda x: x.marked)
-    count = F.size("slots")
+    one = pairs.withColumn("counts", counts).groupBy(*group).agg(
+        F.size(F.collect_set(F.when(F.col("counts"), F.col("at")))).cast("long").alias("n_windows"),
+        F.array_distinct(F.flatten(F.collect_list(F.when(F.col("counts"), F.col("slots"))))).alias("slots"),
+    )
     return one.select(
-        "doc_id", "item_id", "shift", "n_windows", count.cast("long").alias("n_slots"),
+        "doc_id", "item_id", "shift", "n_windows", F.size("slots").cast("long").alias("n_slots"),
         F.exists("slots", lambda x: x.item_marked != x.marked).alias("changed"),
-        ((F.size(F.array_distinct(values[0])) == count) & (F.size(F.array_distinct(values[1])) == count)).alias("consistent"),
+        (F.col("n_windows") > 0 if per_window else _one_to_one(F.col("slots"))).alias("consistent"),
     )
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def contaminated(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, per_window: bool = False
+) -> DataFrame:
     """`(doc_id, n_items, items, n_windows, reparameterised)`: one row per document that holds template windows of an
-    item with consistent slots; `items` lists the item ids in order. `reparameterised`: only with other slot values."""
-    good = matches(docs, benchmark, id_col, text_col, window).where("consistent")
+    item with consistent slots; `items` lists the item ids in order. `reparameterised`: only with other slot values.
+    Without `per_window` one inconsistent slot rejects a whole alignment, its word-for-word windows included (see `matches`)."""
+    good = matches(docs, benchmark, id_col, text_col, window, per_window).where("consistent")
     per = good.groupBy("doc_id", "item_id").agg(F.sum("n_windows").alias("n"), F.min("changed").alias("changed"))
     return per.groupBy("doc_id").agg(
         F.count("*").alias("n_items"), F.array_join(F.array_sort(F.collect_list("item_id")).cast("array<string>"), ",").alias("items"),
@@ -142,7 +159,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_window: bool = False) -> DataFrame:
     """`docs` without the contaminated ones. Rows with a null id stay."""
-    bad = bounded(contaminated(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias(id_col)))
+    bad = bounded(contaminated(docs, benchmark, id_col, text_col, per_window=per_window).select(F.col("doc_id").alias(id_col)))
     return docs.join(bad, id_col, "left_anti")
