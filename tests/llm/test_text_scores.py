@@ -152,7 +152,7 @@ def test_one_changed_slot_does_not_hide_verbatim_windows(spark):
     both = ITEM.replace("240", "77").replace("3 hours", "8 hours").replace("Maria counts", "Olga counts").replace("while Maria", "while Peter")
     rows = [(1, "Text. " + one), (2, "Text. " + ITEM.replace("Maria", "Olga")), (3, "Text. " + both), (4, "Nothing of it.")]
     got = {r.doc_id: r.n_windows for r in decontam.contaminated(docs_of(spark, rows), bench, per_window=True).collect()}
-    assert set(got) == {1, 2, 3} and 0 < got[1] < got[2]
+    assert set(got) == {1, 2, 3} and got[1] >= 4
     assert [r.doc_id for r in decontam.clean(docs_of(spark, rows), bench, per_window=True).collect()] == [4]
     seen = []
     real, decontam.contaminated = decontam.contaminated, lambda *a, **b: seen.append(b)
@@ -163,6 +163,21 @@ def test_one_changed_slot_does_not_hide_verbatim_windows(spark):
     assert seen == [{"per_window": True}]
 
 
+def test_decontamination_finds_short_items_tables_and_names_anywhere(spark):
+    items = [
+        (1, "What is two plus two?"), (2, "12 7 3 55 Anna 9 km 8 Bob 14 2 31 7"), (3, "Name the capital of\n Norway\nAdd the number of people who live there"),
+        (4, "What is the sum of 5 and the largest of all"),
+    ]
+    rows = [
+        (1, "Question: WHAT is\n two plus two? Four."), (2, "see 12 7 3 55 anna 9 km 8 bob 14 2 31 7 end"), (3, "so name the Capital of Norway. add the number of people who live there"),
+        (4, "Question: What is the sum of 6 and the largest of all"), (5, "two plus three"), (6, None), (7, ""), (8, "12 7 3 55 Anna 9 km 9 Bob 14 2 31 8"),
+    ]
+    bench = spark.createDataFrame([*items, (9, ""), (10, None)], "item_id long, text string")
+    for per_window in (False, True):
+        got = {r.doc_id: (r["items"], r.reparameterised) for r in decontam.contaminated(docs_of(spark, rows), bench, per_window=per_window).collect()}
+        assert got == {1: ("1", False), 2: ("2", False), 3: ("3", False), 4: ("4", True)}
+
+
 def test_decontamination_finds_every_shared_window(spark):
     rnd = random.Random(4)
     word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 8)))

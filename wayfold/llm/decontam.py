@@ -1,4 +1,5 @@
-"""Benchmark decontamination by templates: typed placeholders, hash-joined windows, slot consistency.
+"""Benchmark decontamination by templates: typed placeholders, hash-joined windows, slot consistency; word-for-word windows
+by the same join.
 
 DataFrame functions only."""
 
@@ -26,10 +27,10 @@ _BETWEEN = r"\x00\x03-\x2F\x3A-\x40\x5B-\x60\x7B-\xBF\u2000-\u206F\u3000-\u303F"
 
 def marked(text: Column) -> Column:
     """The text as lower-case tokens with one space around each. A slot keeps its value behind a type mark: `n` name (a
-    capitalised word inside a sentence), `d` number, `u` unit after a number. Null is empty."""
+    capitalised word, wherever it stands), `d` number, `u` unit after a number. Null is empty."""
     # Every pattern starts with the character it looks for; what stands before is looked at only there.
     out = F.translate(F.coalesce(text, F.lit("")), _MARK + _POINT, "  ")
-    out = F.regexp_replace(out, r"\p{Lu}(?<=[\p{L}\p{N},;:] \p{Lu})\p{Ll}+", _MARK + "n$0")
+    out = F.regexp_replace(out, rf"\p{{Lu}}(?<=(?:^|[{_BETWEEN}])\p{{Lu}})\p{{Ll}}+", _MARK + "n$0")
     out = F.regexp_replace(out, r"[.,:](?<=[0-9][.,:])(?=[0-9])", _POINT)
     out = F.regexp_replace(F.lower(out), f"[{_BETWEEN}]+", " ")
     out = F.concat(F.lit(" "), F.trim(out), F.lit(" "))
@@ -44,6 +45,11 @@ def template(tokens: Column) -> Column:
     return F.when(F.instr(tokens, _MARK) > 0, cut).otherwise(tokens)
 
 
+def plain(tokens: Column) -> Column:
+    """Tokens with the type marks left out: the lower-case words themselves."""
+    return F.regexp_replace(tokens, f"{_MARK}[ndu]", "")
+
+
 def _split(tokens: Column) -> Column:
     """Token array; an empty text is one empty token, too short for any window that counts."""
     return F.split(F.trim(tokens), " ")
@@ -65,16 +71,21 @@ def _windows(words: Column, size: int) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """`(size, hash, item_id, item_at, item_words, item_marked)`: every window of every item with enough plain words. An item of
-    fewer than `window` tokens is one window of its own length, if all its tokens but `window - LITERALS` are words."""
+    """`(kind, size, hash, item_id, item_at, item_words, item_marked)`. Of every item all windows of words, kind 2 x size + 1;
+    an item of fewer than `window` tokens is one window of its own length. Besides, kind 2 x size, the windows of its template
+    with one slot or more, at most `window - LITERALS`, and at least LITERALS words (without slots, both are the same)."""
     items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item_id"), marked(F.col(text_col)).alias("tokens"))
-    items = items.select("item_id", _split("tokens").alias("item_marked"), _split(template(F.col("tokens"))).alias("item_words"))
-    items = items.withColumn("size", F.least(F.lit(window), F.size("item_words"))).where("size > 0")
+    items = items.where(F.trim("tokens") != "").withColumn("plain", plain(F.col("tokens")))
+    form = lambda verbatim, words, marked: F.struct(F.lit(verbatim).alias("verbatim"), words.alias("words"), marked.alias("marked"))
+    forms = [form(0, template(F.col("tokens")), F.col("tokens")), form(1, F.col("plain"), F.col("plain"))]
+    items = items.select("item_id", F.explode(F.array(*forms)).alias("f")).select("item_id", "f.verbatim", _split("f.marked").alias("item_marked"), _split("f.words").alias("item_words"))
+    items = items.withColumn("size", F.least(F.lit(window), F.size("item_words"))).withColumn("kind", 2 * F.col("size") + F.col("verbatim"))
     rows = items.withColumn("item_at", F.explode(F.sequence(F.lit(0), F.size("item_words") - F.col("size"))))
     piece = F.slice("item_words", F.col("item_at") + 1, F.col("size"))
     slots = F.size(F.filter(piece, lambda t: t.startswith(_MARK)))
-    rows = rows.withColumn("hash", F.xxhash64(_token_hashes(piece))).where((slots <= window - LITERALS) & (F.col("size") - slots >= min(LITERALS, window)))
-    return rows.select("size", "hash", "item_id", "item_at", "item_words", "item_marked")
+    says = (slots > 0) & (slots <= window - LITERALS) & (F.col("size") - slots >= min(LITERALS, window))
+    rows = rows.withColumn("hash", F.xxhash64(_token_hashes(piece))).where((F.col("verbatim") == 1) | says)
+    return rows.select("kind", "size", "hash", "item_id", "item_at", "item_words", "item_marked")
 
 
 def _one_to_one(slots: Column) -> Column:
@@ -87,7 +98,7 @@ def matches(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, per_window: bool = False
 ) -> DataFrame:
     """`(doc_id, item_id, shift, n_windows, n_slots, changed, consistent)`: a row for every alignment of a document with an item
-    that shares a template window. `changed`: a slot has another value than in the item. `consistent`: over all shared
+    that shares a window of words or of the template. `changed`: a slot has another value than in the item. `consistent`: over all shared
     windows of the alignment each item value stands for one document value and the reverse, within a slot type.
 
     `per_window`: each window is judged by its own slots, so that more shared text never takes a match away and a window with
@@ -98,17 +109,17 @@ def matches(
     marks = marks.where("doc_id is not null")
     marks = marks.select("doc_id", F.xxhash64("text").alias("row"), "text")
     known = materialise(benchmark_windows(benchmark, window=window))
-    sizes = [r["size"] for r in known.select("size").distinct().orderBy("size").collect()]  # at most `window` values
-    keys = known.groupBy("size", "hash").agg(F.lit(True).alias("hit"))
+    kinds = [r["kind"] for r in known.select("kind").distinct().orderBy("kind").collect()]  # at most 2 x `window` values
+    keys = known.select("hash").distinct()
     small = known.count() <= BROADCAST_WINDOWS
     # Each step is a column of its own, so that no expression is worked out again where it is used more than once.
-    texts = marks.withColumn("tokens", marked(F.col("text"))).withColumn("tokens", template(F.col("tokens")))
+    texts = marks.withColumn("tokens", marked(F.col("text"))).withColumn("words", template(F.col("tokens"))).withColumn("plain", plain(F.col("tokens")))
     found = None
-    for size in sizes:
-        own = keys.where(F.col("size") == size).select("hash")
-        rows = texts.select("doc_id", "row", F.posexplode(_windows(F.col("tokens"), size)).alias("at", "hash"))
-        part = rows.join(F.broadcast(own) if small else own, "hash").select("doc_id", "row", F.lit(size).alias("size"), "at", "hash")
-        found = part if found is None else found.unionByName(part)
+    if kinds:
+        lists = F.array(*[_windows(F.col("plain" if k % 2 else "words"), k // 2) for k in kinds])
+        rows = texts.select("doc_id", "row", F.posexplode(lists).alias("k", "hashes")).select("doc_id", "row", "k", F.posexplode("hashes").alias("at", "hash"))
+        found = rows.join(F.broadcast(keys) if small else keys, "hash")
+        found = found.select("doc_id", "row", F.element_at(F.array(*map(F.lit, kinds)), F.col("k") + 1).alias("kind"), "at", "hash")
     if found is None:
         empty = "doc_id long, item_id long, shift int, n_windows long, n_slots long, changed boolean, consistent boolean"
         return docs.sparkSession.createDataFrame([], empty)
@@ -116,18 +127,21 @@ def matches(
     hit = bounded(found.select("doc_id", "row").distinct())
     tokens = marks.join(hit, ["doc_id", "row"], "left_semi").dropDuplicates(["doc_id", "row"])
     tokens = tokens.select("doc_id", "row", marked(F.col("text")).alias("tokens"))
-    tokens = tokens.select("doc_id", "row", _split("tokens").alias("marked"), _split(template(F.col("tokens"))).alias("words"))
+    tokens = tokens.select(
+        "doc_id", "row", _split("tokens").alias("marked"), _split(template(F.col("tokens"))).alias("words"), _split(plain(F.col("tokens"))).alias("plain")
+    )
     # The windows' own tokens, one short array per hit, before the items are joined: a document is read once.
-    piece = lambda name: F.slice(name, F.col("at") + 1, F.col("size"))
+    verbatim, size = F.col("kind") % 2 == 1, F.floor(F.col("kind") / 2).cast("int")
+    piece = lambda name: F.when(verbatim, F.slice("plain", F.col("at") + 1, size)).otherwise(F.slice(name, F.col("at") + 1, size))
     pieces = found.join(tokens, ["doc_id", "row"]).select(
-        "doc_id", "row", "size", "hash", "at", piece("words").alias("words"), piece("marked").alias("marked")
+        "doc_id", "row", "kind", "hash", "at", piece("words").alias("words"), piece("marked").alias("marked")
     )
     cut = known.select(
-        "size", "hash", "item_id", "item_at",
+        "kind", "hash", "item_id", "item_at",
         F.slice("item_words", F.col("item_at") + 1, F.col("size")).alias("item_words"),
         F.slice("item_marked", F.col("item_at") + 1, F.col("size")).alias("item_marked"),
     )
-    pairs = pieces.join(F.broadcast(cut) if small else cut, ["size", "hash"]).where("words = item_words")
+    pairs = pieces.join(F.broadcast(cut) if small else cut, ["kind", "hash"]).where("words = item_words")
     pairs = pairs.withColumn("shift", F.col("at") - F.col("item_at"))
     slots = F.filter(F.arrays_zip("item_marked", "marked"), lambda x: x.item_marked.startswith(_MARK))
     group = ["doc_id", "row", "item_id", "shift"]
@@ -148,8 +162,8 @@ def matches(
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, per_window: bool = False
 ) -> DataFrame:
-    """`(doc_id, n_items, items, n_windows, reparameterised)`: one row per document that holds template windows of an
-    item with consistent slots; `items` lists the item ids in order. `reparameterised`: only with other slot values.
+    """`(doc_id, n_items, items, n_windows, reparameterised)`: one row per document that holds windows of an
+    item: its own words, or its template with consistent slots; `items` lists the item ids in order. `reparameterised`: only with other slot values.
     Without `per_window` one inconsistent slot rejects a whole alignment, its word-for-word windows included (see `matches`)."""
     good = matches(docs, benchmark, id_col, text_col, window, per_window).where("consistent")
     per = good.groupBy("doc_id", "item_id").agg(F.sum("n_windows").alias("n"), F.min("changed").alias("changed"))
