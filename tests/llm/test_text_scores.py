@@ -122,6 +122,43 @@ def test_every_rule_passes_the_gate():
     assert len(rows) > 300 and all(gate.search(r["needle"]) for r in rows)
 
 
+def some_match(rnd, parsed):
+    """A random string that a parsed pattern matches."""
+    out = ""
+    for op, arg in parsed:
+        match str(op):
+            case "LITERAL":
+                out += chr(arg)
+            case "IN":
+                kind, value = rnd.choice(arg)
+                out += chr(value if str(kind) == "LITERAL" else rnd.randint(*value))
+            case "BRANCH":
+                out += some_match(rnd, rnd.choice(arg[1]))
+            case "SUBPATTERN":
+                out += some_match(rnd, arg[-1])
+            case "MAX_REPEAT":
+                out += "".join(some_match(rnd, arg[2]) for _ in range(rnd.randint(arg[0], min(arg[1], 2))))
+            case _:
+                raise ValueError(op)
+    return out
+
+
+def test_license_prefilter_loses_no_match(spark):
+    rnd, extra = random.Random(10), [licenses.Rule("house", 30, 0.5, "house", "(?:our )?house rules"), licenses.Rule("any", 30, 0.5, "", "free for all")]
+    rows, gate = licenses.rule_rows(extra), re.compile(licenses._gate(extra))
+    made = [(r, some_match(rnd, re._parser.parse(r["pattern"]))) for r in rows for _ in range(8)]
+    assert all(f" {r['needle']}" in f" {t} " and gate.search(t.upper()) for r, t in made)
+    texts = ["A BSD-style license.", "licensed under the MIT", "Licenced under MIT terms", "our House-Rules", "free for all", "no match", *(f"x {t} y" for _, t in rnd.sample(made, 60))]
+    want = set()
+    for i, t in enumerate(texts):
+        words = " " + " ".join(re.findall("[a-z0-9]+", t.lower())) + " "
+        for r in rows:
+            for m in re.finditer(f"(?<= )(?:{r['pattern']})(?= )", words):
+                want.add((i, r["rule"], words[: m.start()].count(" ") - 1, words[: m.end()].count(" ") - 1))
+    got = {(r.doc_id, r.rule, r["first"], r["last"]) for r in licenses.detections(docs_of(spark, list(enumerate(texts))), extra=extra).collect()}
+    assert got == want and all(any(i == x[0] for x in got) for i in range(5))
+
+
 # decontamination
 
 ITEM = "A train leaves Paris with 240 people and after 3 hours Maria counts 120 km on the old map while Maria sleeps."

@@ -4,6 +4,7 @@ DataFrame functions only. All rules work on the text as lower-case words with on
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -18,7 +19,7 @@ _START, _STOP = "\u0001", "\u0002"
 
 @dataclass(frozen=True)
 class Rule:
-    """`needle` must occur in the text before `pattern` is tried. Lower `priority` wins between equal intervals."""
+    """`needle` must occur in the text, at a word's start, before `pattern` is tried: every match has to contain it. Lower `priority` wins between equal intervals."""
 
     label: str
     priority: int
@@ -59,14 +60,14 @@ _WORDED = (
     ("mit", 20, 1.0, "spdx license identifier mit", "spdx license identifier mit"),
     ("mit", 30, 0.9, "mit license", "(?:the )?mit license"),
     ("mit", 30, 0.95, "permission is hereby granted free of charge", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
-    ("mit", 35, 0.8, "under mit", "licen[cs]ed under (?:the )?mit"),
+    ("mit", 35, 0.8, "licen", "licen[cs]ed under (?:the )?mit"),
     ("mit-0", 19, 1.0, "mit 0", "spdx license identifier mit 0"),
     ("bsd-2-clause", 20, 1.0, "bsd 2 clause", "(?:spdx license identifier )?bsd 2 clause(?: license)?"),
     ("bsd-2-clause", 25, 0.9, "simplified bsd", "simplified bsd license"),
     ("bsd-3-clause", 20, 1.0, "bsd 3 clause", "(?:spdx license identifier )?bsd 3 clause(?: license)?"),
     ("bsd-3-clause", 25, 0.9, "bsd license", "(?:new|revised|modified) bsd license"),
     ("bsd-4-clause", 20, 1.0, "bsd 4 clause", "(?:spdx license identifier )?bsd 4 clause(?: license)?"),
-    ("bsd", 40, 0.8, "bsd license", "(?:the )?bsd (?:style )?license"),
+    ("bsd", 40, 0.8, "bsd", "(?:the )?bsd (?:style )?license"),
     ("bsd", 45, 0.9, "redistribution and use in source and binary forms", "redistribution and use in source and binary forms with or without modification are permitted"),
     ("isc", 25, 0.9, "isc license", "(?:the )?isc license"),
     ("isc", 25, 0.9, "permission to use copy modify", "permission to use copy modify and or distribute this software for any purpose"),
@@ -112,13 +113,14 @@ def rules() -> list[Rule]:
     return out + [Rule(*w) for w in _WORDED]
 
 
-def _gate() -> str:
-    """Any text with a base phrase or a rule's needle matches this; each alternative is the start of one of their words,
+def _gate(extra: list[Rule] | None = None) -> str:
+    """Any text with a base phrase or a rule's needle, those of `extra` included, matches this; each alternative is the start of one of their words,
     or a rarer pair of words where single words are common."""
-    alone = ("licen[cs]", "gpl", "spdx", "copyright", "creativecommons", "apache", "unlicense", "wtfpl", "proprietary", "bsd", "mpl", "epl", "cddl", "eupl", "osl", "afl", "bsl", "lppl", "odbl", "gfdl", "lgpl", "agpl", "cc0", "zlib", "simplified bsd", "creative commons", "mozilla org", "gnu org", "gnu gpl", "gnu lgpl", "gnu agpl")
-    pairs = ("cc by", "mit 0", "under mit", "permission is", "permission to", "redistribution and", "public domain", "rights reserved", "do what", "released into", "sil open", "open font")
+    alone = ("licen", "gpl", "spdx", "copyright", "creativecommons", "apache", "unlicense", "wtfpl", "proprietary", "bsd", "mpl", "epl", "cddl", "eupl", "osl", "afl", "bsl", "lppl", "odbl", "gfdl", "lgpl", "agpl", "cc0", "zlib", "simplified bsd", "creative commons", "mozilla org", "gnu org", "gnu gpl", "gnu lgpl", "gnu agpl")
+    pairs = ("cc by", "mit 0", "permission is", "permission to", "redistribution and", "public domain", "rights reserved", "do what", "released into", "sil open", "open font")
     gap = f"[{_OTHER}]+"
-    return f"(?i)(?<![^{_OTHER}])(?:" + "|".join(w.replace(" ", gap) for w in (*alone, *pairs)) + ")"
+    own = [" ".join(map(re.escape, r.needle.split())) or f"[^{_OTHER}]" for r in extra or []]
+    return f"(?i)(?<![^{_OTHER}])(?:" + "|".join(w.replace(" ", gap) for w in (*alone, *pairs, *own)) + ")"
 
 
 def _words(text: Column) -> Column:
@@ -148,7 +150,7 @@ def detections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rule table). A match is marked in the word string, and the marked words' numbers are its interval.
     Matches of one rule do not overlap."""
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    texts = texts.where(F.col("text").rlike(_gate())).select("doc_id", F.xxhash64("text").alias("row"), _words(F.col("text")).alias("words"))
+    texts = texts.where(F.col("text").rlike(_gate(extra))).select("doc_id", F.xxhash64("text").alias("row"), _words(F.col("text")).alias("words"))
     listed = [r | {"needle": f" {r['needle']}"} for r in rule_rows(extra)]
     literal = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in r.items()]) for r in listed])
     held = F.filter(literal, lambda r: F.instr("words", r.needle) > 0)
