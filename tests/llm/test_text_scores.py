@@ -78,6 +78,15 @@ def test_language_held_out_accuracy_and_odd_rows(spark):
     assert [r.lang_pred for r in langid.predict(docs.limit(2), empty).collect()] == ["und", "und"] and langid.predict(docs.limit(0), models).count() == 0
 
 
+def test_every_language_has_a_model_however_rare(spark):
+    rows = [(i, "the thing was thing", "aa") for i in range(400)] + [(1000 + i, "ung keit schung", f"r{i % 2}") for i in range(6)]
+    docs = docs_of(spark, rows + [(2000, "oui que eau", None)], ", lang string")
+    models = langid.fit(docs, max_docs=10)
+    assert models.languages == ["aa", "r0", "r1"]
+    got = {r.doc_id: r.lang_pred for r in langid.predict(docs, models).collect()}
+    assert all(got[i][0] == lang[0] for i, _, lang in rows)
+
+
 def test_forward_sums_all_segmentations():
     pieces = {"▁": 0, "▁a": 1, "a": 2, "ab": 3, "b": 4, "ba": 5}
     table = np.array([[0.1, 0.2], [0.2, 0.1], [0.3, 0.1], [0.1, 0.3], [0.2, 0.2], [0.1, 0.1], [0, 0], [1e-7, 1e-7]])

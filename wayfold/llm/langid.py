@@ -13,13 +13,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import slices, texts_of
+from wayfold.llm.common import materialise, slices, texts_of
 
 TOKENIZER = "piece_bpe_32k.model"
 #: Longest piece used, in characters; longer words are cut into parts of PART characters first.
 MAX_PIECE, PART = 10, 48
-#: The models are fitted on at most this many documents, those with the smallest hash of their id.
-MAX_FIT_DOCS = 4000
+#: The models are fitted on at most this many documents, those with the smallest hash of their id, and on up to
+#: RARE_FIT_DOCS more of each language that has fewer than that among them, so that every language has a model.
+MAX_FIT_DOCS, RARE_FIT_DOCS = 4000, 64
 #: Rounds of expectation-maximisation, pseudo-count of every piece, probability of a character outside the vocabulary.
 ROUNDS, PSEUDO_COUNT, UNKNOWN = 3, 0.05, 1e-7
 #: Scored words kept per worker; beyond it the table starts anew.
@@ -178,8 +179,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     pieces = vocabulary(path)
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
     rows = rows.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    picked = rows.select("_id").orderBy(F.xxhash64("_id"), "_id").limit(max_docs).distinct()
-    rows = rows.join(F.broadcast(picked), "_id")
+    picked = materialise(rows.select("_id", "lang").orderBy(F.xxhash64("_id"), "_id").limit(max_docs))
+    common = picked.groupBy("lang").count().where(F.col("count") >= RARE_FIT_DOCS).select("lang")
+    # One document of each of RARE_FIT_DOCS hash slices, an aggregate that combines before the shuffle.
+    rare = rows.join(F.broadcast(common), "lang", "left_anti").groupBy("lang", F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(RARE_FIT_DOCS)).alias("slice"))
+    rare = rare.agg(F.min(F.struct(F.xxhash64("_id").alias("hash"), "_id")).alias("first")).select("first._id")
+    rows = rows.join(F.broadcast(picked.select("_id").unionByName(rare).distinct()), "_id")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
