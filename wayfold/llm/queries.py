@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import decontam, embed_dedup, langid, licenses, packing, quality, simhash, sql, substring_dedup, suffix_dedup, token_counts
+from wayfold.llm import decontam, embed_dedup, langid, licenses, manifest, packing, quality, simhash, sql, substring_dedup, suffix_dedup, token_counts
 from wayfold.llm.common import crc_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,18 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents before and after their personal data is redacted."""
     counted = token_counts.update(token_counts.build(table(spark, sf_dir, "documents")), token_counts.redactions)
     return counted.select("doc_id", "n_tokens_before", "n_tokens", "n_edits", "n_encoded", F.length("text").cast("long").alias("n_chars"))
+
+
+TAMPER_FOLD = 7
+
+
+@query("op11_merkle_manifest", sql.OP11)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest of all documents, and what becomes of the proofs when some documents' `n_chars` is off by one."""
+    values = {c: F.col(c) for c in manifest.LEAF_FIELDS}
+    tampered = manifest.leaf(*(values | {"n_chars": F.col("n_chars") + 1}).values())
+    own = manifest.leaf(*values.values())
+    shown = F.when((crc_remainder("doc_id", TAMPER_FOLD) == 0) & F.col("n_chars").isNotNull(), tampered).otherwise(F.lit(None))
+    leaves = table(spark, sf_dir, "documents").select(manifest.group_key(F.col("lang")).alias("grp"), "doc_id", own.alias("leaf"), shown.alias("shown"))
+    found = manifest.manifest(leaves).withColumn("shown", F.coalesce("shown", "leaf"))
+    return manifest.verify(found, "shown").select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")

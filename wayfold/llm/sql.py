@@ -45,3 +45,51 @@ n AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed FROM span GROU
 SELECT t.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n.n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n.n_spans, 0) AS BIGINT) AS n_spans,
   sha256(unhex(coalesce(kept.s, h))) AS kept_sha256
 FROM t LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+#: CRC-32 of the texts `s` of a table `keyed (s)`, as `crc (s, v)`: the table of the 256 steps by its rule, then byte by byte.
+_CRC = """bits(b, k, v) AS (
+  SELECT b, 0, CAST(b AS BIGINT) FROM range(256) t(b) UNION ALL
+  SELECT b, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END FROM bits WHERE k < 8),
+step AS (SELECT b, v FROM bits WHERE k = 8),
+walk(s, i, c) AS (
+  SELECT DISTINCT s, 1, 4294967295::BIGINT FROM keyed WHERE s IS NOT NULL UNION ALL
+  SELECT s, i + 1, xor(c >> 8, v) FROM walk JOIN step ON b = xor(c, CAST(ascii(substr(s, i, 1)) AS BIGINT)) & 255 WHERE i <= length(s)),
+crc AS (SELECT s, xor(c, 4294967295::BIGINT) AS v FROM walk WHERE i = length(s) + 1)"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return f"sha256({' || '.join(map(_field, ('doc_id', 'source', 'lang', n_chars, 'text')))})"
+
+
+OP11 = f"""WITH RECURSIVE keyed AS (SELECT CAST(doc_id AS VARCHAR) AS s FROM documents), {_CRC},
+leaves AS (
+  SELECT doc_id, coalesce('1' || lang, '0') AS g, {_leaf('n_chars')} AS h, CASE WHEN v % 7 = 0 THEN {_leaf('n_chars + 1')} ELSE {_leaf('n_chars')} END AS t
+  FROM documents LEFT JOIN crc ON s = CAST(doc_id AS VARCHAR)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS p, count(*) OVER (PARTITION BY g) AS n FROM leaves),
+tree(g, lev, p, n, h) AS (
+  SELECT g, 0, p, n, h FROM placed UNION ALL
+  SELECT g, lev + 1, p // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY p)) FROM tree WHERE n > 1 GROUP BY g, lev, p // 2, n),
+subs AS (SELECT g, h, row_number() OVER (ORDER BY g) - 1 AS p, count(*) OVER () AS n FROM tree WHERE n = 1),
+top(lev, p, n, h) AS (
+  SELECT 0, p, n, h FROM subs UNION ALL
+  SELECT lev + 1, p // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY p)) FROM top WHERE n > 1 GROUP BY lev, p // 2, n),
+flank AS (
+  SELECT l.g, l.p, t.lev AS lev, (l.p >> t.lev) & 1 AS odd, coalesce(s.h, '') AS h
+  FROM placed l JOIN (SELECT DISTINCT g, lev FROM tree WHERE n > 1) t ON t.g = l.g
+  LEFT JOIN tree s ON s.g = l.g AND s.lev = t.lev AND s.p = xor(l.p >> t.lev, 1) UNION ALL
+  SELECT l.g, l.p, 1000 + t.lev, (u.p >> t.lev) & 1, coalesce(s.h, '')
+  FROM placed l JOIN subs u ON u.g = l.g JOIN (SELECT DISTINCT lev FROM top WHERE n > 1) t ON true
+  LEFT JOIN top s ON s.lev = t.lev AND s.p = xor(u.p >> t.lev, 1)),
+steps AS (SELECT *, row_number() OVER (PARTITION BY g, p ORDER BY lev) AS k, count(*) OVER (PARTITION BY g, p) AS m FROM flank),
+up(g, p, k, h) AS (
+  SELECT g, p, 1, t FROM placed UNION ALL
+  SELECT up.g, up.p, up.k + 1, sha256(CASE WHEN odd = 1 THEN s.h || up.h ELSE up.h || s.h END)
+  FROM up JOIN steps s ON s.g = up.g AND s.p = up.p AND s.k = up.k),
+proof AS (SELECT g, p, string_agg(h, '' ORDER BY k) AS h, max(m) AS m FROM steps GROUP BY g, p)
+SELECT l.doc_id, l.h AS leaf, u.h AS subroot, r.h AS root, sha256(coalesce(f.h, '')) AS proof_sha256, up.h AS folded_root, up.h = r.h AS verified
+FROM placed l JOIN subs u ON u.g = l.g JOIN (SELECT h FROM top WHERE n = 1) r ON true
+LEFT JOIN proof f ON f.g = l.g AND f.p = l.p JOIN up ON up.g = l.g AND up.p = l.p AND up.k = coalesce(f.m, 0) + 1"""
