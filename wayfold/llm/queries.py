@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import decontam, embed_dedup, langid, licenses, manifest, packing, quality, simhash, sql, substring_dedup, suffix_dedup, token_counts
+from wayfold.llm import conversations, decontam, embed_dedup, langid, licenses, manifest, packing, quality, simhash, sql, substring_dedup, suffix_dedup, token_counts
 from wayfold.llm.common import crc_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,22 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaves = table(spark, sf_dir, "documents").select(manifest.group_key(F.col("lang")).alias("grp"), "doc_id", own.alias("leaf"), shown.alias("shown"))
     found = manifest.manifest(leaves).withColumn("shown", F.coalesce("shown", "leaf"))
     return manifest.verify(found, "shown").select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+#: What a remainder of the damage does to a row.
+DROPPED, EMPTIED, UNSTOPPED, DOUBLED, MISNAMED = range(5)
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Turns with the contract's damage; `copies` is how often a row stands there afterwards. Nulls read as one space."""
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    case = F.crc32(F.concat(blank("conv_id"), F.lit(":"), blank("turn"))) % 20
+    text = F.when(case == EMPTIED, "").when(case == UNSTOPPED, F.regexp_replace(blank("text"), "[.!?]", "")).otherwise(blank("text"))
+    copies = F.when(case == DROPPED, 0).when(case == DOUBLED, 2).otherwise(1)
+    return rows.select("conv_id", "turn", F.when(case == MISNAMED, "user").otherwise(blank("role")).alias("role"), text.alias("text"), copies.alias("copies"))
+
+
+@query("op12_conversation_repair", sql.OP12)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repair of all conversations after damage."""
+    return conversations.report(conversations.repair(damaged(table(spark, sf_dir, "conversations")), copies_col="copies"))

@@ -93,3 +93,46 @@ proof AS (SELECT g, p, string_agg(h, '' ORDER BY k) AS h, max(m) AS m FROM steps
 SELECT l.doc_id, l.h AS leaf, u.h AS subroot, r.h AS root, sha256(coalesce(f.h, '')) AS proof_sha256, up.h AS folded_root, up.h = r.h AS verified
 FROM placed l JOIN subs u ON u.g = l.g JOIN (SELECT h FROM top WHERE n = 1) r ON true
 LEFT JOIN proof f ON f.g = l.g AND f.p = l.p JOIN up ON up.g = l.g AND up.p = l.p AND up.k = coalesce(f.m, 0) + 1"""
+
+
+#: States: 0 nothing yet, 1 after system, 2 after user, 3 after assistant. `hop`: insertions before a row.
+OP12 = rf"""WITH RECURSIVE keyed AS (SELECT coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS s FROM conversations), {_CRC},
+hop(p, mid, cost, ext, made) AS (VALUES
+  (0, 0, 0, '', ''), (0, 2, 5, 'I', chr(10) || 'user:'), (0, 3, 10, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'),
+  (1, 1, 0, '', ''), (1, 2, 5, 'I', chr(10) || 'user:'), (1, 3, 10, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'),
+  (2, 2, 0, '', ''), (2, 3, 5, 'I', chr(10) || 'assistant:'), (3, 3, 0, '', ''), (3, 2, 5, 'I', chr(10) || 'user:')),
+raw AS (
+  SELECT coalesce('1' || CAST(conv_id AS VARCHAR), '0') AS g, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, v % 20 AS m
+  FROM conversations JOIN crc ON s = coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')),
+harmed AS (
+  SELECT g, turn, CASE WHEN m = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN m = 1 THEN '' WHEN m = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM raw JOIN range(2) c(n) ON n < CASE WHEN m = 0 THEN 0 WHEN m = 3 THEN 2 ELSE 1 END),
+placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, md5(text)) AS i FROM harmed),
+judged AS (
+  SELECT *, regexp_extract(text, '([^ \t-\r])[ \t-\r]*$', 1) AS tail, row_number() OVER (PARTITION BY g, role, text ORDER BY i) > 1 AS again,
+    left(role, 1) AS c, lag(left(role, 1)) OVER (PARTITION BY g ORDER BY i) || left(role, 1) AS pair FROM placed),
+kinds AS (
+  SELECT *, CASE WHEN tail = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN tail IN ('.', '!', '?') THEN '' ELSE 'truncated' END AS fault FROM judged),
+rec(g, i, q, best) AS (
+  SELECT DISTINCT g, 1::BIGINT, 0, {{'cost': 0, 'audit': '', 'made': ''}} FROM raw UNION ALL
+  SELECT r.g, r.i + 1, o.q, min({{'cost': r.best.cost + h.cost + o.cost, 'audit': r.best.audit || h.ext || o.letter,
+    'made': r.best.made || h.made || CASE o.letter WHEN 'K' THEN chr(10) || k.role || ':' || k.text
+      WHEN 'R' THEN chr(10) || CASE WHEN o.q = 3 THEN 'assistant:' ELSE 'user:' END || k.text ELSE '' END}})
+  FROM rec r JOIN kinds k ON k.g = r.g AND k.i = r.i JOIN hop h ON h.p = r.q,
+  LATERAL (
+    SELECT 'D' AS letter, h.mid AS q, 2 AS cost UNION ALL
+    SELECT 'R', CASE WHEN h.mid = 2 THEN 3 ELSE 2 END, 1 + CASE WHEN k.fault = '' THEN 0 ELSE 5 END WHERE k.fault IN ('', 'truncated') UNION ALL
+    SELECT 'K', CASE k.c WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END, CASE WHEN k.fault = '' THEN 0 ELSE 5 END
+    WHERE k.fault IN ('', 'truncated') AND (k.c = 's' AND h.mid = 0 OR k.c = 'u' AND h.mid <> 2 OR k.c = 'a' AND h.mid = 2)) o
+  GROUP BY r.g, r.i, o.q),
+counts AS (
+  SELECT g, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM kinds GROUP BY g),
+ended AS (
+  SELECT r.g, min({{'cost': r.best.cost + h.cost, 'audit': r.best.audit || h.ext, 'made': r.best.made || h.made}}) AS best
+  FROM rec r LEFT JOIN counts c ON c.g = r.g JOIN hop h ON h.p = r.q WHERE r.i = coalesce(c.n, 0) + 1 AND h.mid IN (0, 3) GROUP BY r.g)
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, CAST(best.cost AS BIGINT) AS cost, best.audit AS audit, sha256(substr(best.made, 2)) AS repaired_sha256
+FROM (SELECT DISTINCT g, conv_id FROM raw) o JOIN ended USING (g) LEFT JOIN counts USING (g)"""
