@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import conversations, decontam, embed_dedup, langid, licenses, manifest, packing, quality, simhash, sql, substring_dedup, suffix_dedup, token_counts
+from wayfold.llm import conversations, decontam, embed_dedup, langid, licenses, manifest, neighbours, packing, quality, simhash, sql, substring_dedup, suffix_dedup, token_counts
 from wayfold.llm.common import crc_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,12 @@ def damaged(rows: DataFrame) -> DataFrame:
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repair of all conversations after damage."""
     return conversations.report(conversations.repair(damaged(table(spark, sf_dir, "conversations")), copies_col="copies"))
+
+
+QUERY_FOLD = 50
+
+
+@query("op13_dimension_scan", sql.OP13)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return neighbours.search(rows, rows.where(F.col("vec_id") % QUERY_FOLD == 0))
