@@ -1,247 +1,412 @@
-"""Structured Streaming twins: keyed state per drive, one call per drive and micro-batch.
+"""Structured Streaming operators with typed state per drive in the RocksDB state store.
 
-Every operator is a step function `step(rows, memory) -> (output rows, memory)` on the rows of one drive in one
-micro-batch, sorted by event time. `run_stateful` keeps the memory in Spark's state store. Rows older than
-what a drive has already passed are dropped, as a live run would.
+A `Worker` holds the state of one operator: it opens its state variables and handles the rows of one drive. Two processors drive
+workers. `Live` passes the rows of a micro-batch on in the order given, as a live run sees them. `InOrder` holds rows back
+until the watermark has passed them, so a worker sees all rows of a drive in event-time order whatever the order of arrival
+inside the watermark's delay. `BoundedWait` has event-time timers of its own.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from ..functions import scans
 from ..functions.rigid import POSE_FIELDS
 from ..operators.metrics import KITTI_LENGTHS, KITTI_STEP
 from ..operators.selection import match_ids, next_keyframe
 from ..plans.registration import pose_inverse_np, se3_exp_np, se3_log_np
-from ..schemas import columns
+from ..schemas import BODY_FRAME_ERROR, KITTI_ERROR, columns
 
 POSE = list(POSE_FIELDS)
 Step = Callable[[pd.DataFrame, dict], tuple[pd.DataFrame, dict]]
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Event time is compared in milliseconds by timers and watermarks.
+MS = 1000.0
 
 
-def run_stateful(
-    stream: DataFrame, step: Step, schema: T.StructType, keys: Sequence[str] = ("drive",),
-    order: Sequence[str] = ("stamp", "idx"),
-) -> DataFrame:
-    """Apply `step` per key with its memory in the state store (JSON; doubles survive exactly)."""
-    by, names, key_list = list(order), [f.name for f in schema.fields], list(keys)
-
-    def call(key, batches, state):
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(by, kind="stable").reset_index(drop=True)
-        memory = json.loads(state.get[0]) if state.exists else {}
-        out, memory = step(rows, memory)
-        state.update((json.dumps(memory),))
-        if len(out):
-            for name, value in zip(key_list, key, strict=True):
-                out[name] = value
-            yield out[names]
+def use_rocksdb(spark: SparkSession) -> None:
+    """Typed state needs the RocksDB provider; a session that names another RocksDB-like one keeps it."""
+    current = spark.conf.get("spark.sql.streaming.stateStore.providerClass", "")
+    if "RocksDB" not in current:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
 
-    return stream.groupBy(*keys).applyInPandasWithState(
-        call, schema, columns("memory string"), "append", GroupStateTimeout.NoTimeout
-    )
 
+class Worker:
+    """State and work of one operator for one drive at a time."""
 
-def _with_key(text: str, stream: DataFrame, keys: Sequence[str]) -> T.StructType:
-    return T.StructType([*[stream.schema[k] for k in keys], *columns(text).fields])
+    def open(self, handle) -> None:
+        """Declares the state variables."""
 
+    def step(self, rows: pd.DataFrame, clock: float) -> pd.DataFrame:
+        """Output for further rows, which come sorted; `clock`: the watermark in seconds (minus infinity without one)."""
+        raise NotImplementedError
 
-# --- estimate / truth pairs ----------------------------------------------------------------------------
 
+class Remembering(Worker):
+    """A worker from a step function whose memory is one typed row."""
 
-def _insert(tail: list[list[float]], stamp: float, row: list[float]) -> None:
-    """In-order insert: older rows are dropped, an equal stamp overwrites."""
-    if tail and stamp + 1.0e-9 < tail[-1][0]:
-        return
-    if tail and abs(stamp - tail[-1][0]) < 1.0e-9:
-        tail[-1] = [tail[-1][0], *row]
-    else:
-        tail.append([stamp, *row])
+    def __init__(self, step: Step, memory: str, ttl_s: float | None = None):
+        self.rule, self.schema, self.ttl = step, columns_of(memory), None if ttl_s is None else int(ttl_s * MS)
 
+    def open(self, handle) -> None:
+        self.memory = handle.getValueState("memory", self.schema, self.ttl)
 
-def sync_step(max_dt: float, keep_s: float) -> Step:
-    """Pairs for truth rows that the estimates have passed; others wait, early or uncovered ones drop."""
+    def step(self, rows: pd.DataFrame, clock: float) -> pd.DataFrame:
+        names = self.schema.names
+        before = {k: v for k, v in zip(names, self.memory.get()) if v is not None} if self.memory.exists() else {}
+        out, after = self.rule(rows, before)
+        self.memory.update(tuple(after.get(n) for n in names))
+        return out
 
-    def step(rows: pd.DataFrame, m: dict):
-        est, pending = m.get("est", []), m.get("pending", [])
-        for kind, stamp, *pose in rows[["kind", "stamp", *POSE]].itertuples(index=False):
-            if kind == "est":
-                _insert(est, stamp, pose)
-            elif not (pending and stamp + 1.0e-9 < pending[-1][0]):
-                pending.append([stamp, *pose])
-        if not est:
-            return _pairs([], []), {"est": est, "pending": pending, "cut": m.get("cut")}
-        e, last, cut = np.array(est), est[-1][0], m.get("cut")
-        ready, waiting = [], []
-        for row in pending:
-            late = cut is not None and row[0] < e[0, 0]
-            if row[0] < e[0, 0] - max_dt or late:
-                continue
-            (ready if row[0] <= last + 1.0e-9 and not waiting else waiting).append(row)
-        truth, found = [], []
-        if ready:
-            g = np.array(ready)
-            after = np.searchsorted(e[:, 0], g[:, 0], side="left")
-            a, b = np.clip(after - 1, 0, len(e) - 1), np.clip(after, 0, len(e) - 1)
-            gap = np.minimum(np.abs(g[:, 0] - e[a, 0]), np.abs(e[b, 0] - g[:, 0]))
-            ok = gap <= max_dt
-            g, a, b = g[ok], a[ok], b[ok]
-            span = e[b, 0] - e[a, 0]
-            alpha = np.where(span > 1.0e-9, (g[:, 0] - e[a, 0]) / np.where(span > 1.0e-9, span, 1.0), 0.0)
-            alpha = np.clip(alpha, 0.0, 1.0)[:, None]
-            start = e[a, 1:]
-            move = se3_log_np(scans.pose_mul(pose_inverse_np(start), e[b, 1:]))
-            found, truth = scans.pose_mul(start, se3_exp_np(alpha * move)), g
-        oldest = min([last - keep_s] + ([waiting[0][0]] if waiting else []))
-        first = max(int(np.searchsorted(e[:, 0], oldest, side="right")) - 1, 0)
-        first = min(first, max(len(est) - 2, 0))
-        memory = {"est": est[first:], "pending": waiting, "cut": cut if first == 0 else est[first][0]}
-        return _pairs(truth, found), memory
 
-    return step
+_ARRAYS = {"doubles": T.ArrayType(T.DoubleType()), "longs": T.ArrayType(T.LongType())}
 
 
-def _pairs(truth, found) -> pd.DataFrame:
-    g = np.asarray(truth, float).reshape(-1, 8)
-    e = np.asarray(found, float).reshape(-1, 7)
-    cols = {"stamp": g[:, 0]}
-    cols |= {f"gt_{c}": g[:, i + 1] for i, c in enumerate(POSE)} | {f"est_{c}": e[:, i] for i, c in enumerate(POSE)}
-    return pd.DataFrame(cols)
+def columns_of(text: str) -> T.StructType:
+    """As `columns`, with the types `doubles` and `longs` for arrays."""
+    parts = [p.split() for p in text.split(",")]
+    return T.StructType([T.StructField(n, _ARRAYS[t]) if t in _ARRAYS else columns(f"{n} {t}")[0] for n, t in parts])
 
 
-PAIRS = ", ".join(["stamp double"] + [f"{s}_{c} double" for s in ("gt", "est") for c in POSE])
+def tuples(rows: pd.DataFrame, schema: T.StructType) -> list[tuple]:
+    """Rows as the tuples of a state variable, nulls as None."""
+    out = []
+    for field in schema.fields:
+        values = rows[field.name]
+        whole = isinstance(field.dataType, T.IntegralType)
+        out.append([None if v is None or v != v else int(v) if whole else v for v in values.tolist()])
+    return list(zip(*out))
 
 
-def sync_estimate_gt(
-    stream: DataFrame, max_dt: float = 0.05, keep_s: float = 30.0, keys: Sequence[str] = ("drive",)
+def frame_of(rows: list[tuple], names: Sequence[str]) -> pd.DataFrame:
+    return pd.DataFrame.from_records(rows, columns=list(names))
+
+
+class Live(StatefulProcessor):
+    """Rows of a drive as they arrive, sorted inside a micro-batch."""
+
+    def __init__(self, worker: Worker, names: Sequence[str], keys: Sequence[str], order: Sequence[str]):
+        self.worker, self.names, self.keys, self.order = worker, list(names), list(keys), list(order)
+
+    def init(self, handle) -> None:
+        self.worker.open(handle)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        together = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="stable", ignore_index=True)
+        yield from self.keyed(key, self.worker.step(together, float("-inf")))
+
+    def keyed(self, key, out: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        if len(out):
+            out = out.assign(**dict(zip(self.keys, key, strict=True)))
+            yield out[self.names]
+
+    def close(self) -> None:
+        pass
+
+
+class InOrder(Live):
+    """Rows of a drive in event-time order, once the watermark has passed them. What waits is a list state with one typed entry a
+    row, as long as the watermark's delay; a timer stands at the first of them."""
+
+    def __init__(self, worker: Worker, names: Sequence[str], keys: Sequence[str], order: Sequence[str], fields: T.StructType):
+        super().__init__(worker, names, keys, order)
+        self.fields = fields
+
+    def init(self, handle) -> None:
+        super().init(handle)
+        self.handle, self.waiting = handle, handle.getListState("waiting", self.fields)
+
+    def _wake(self, stamps: np.ndarray) -> None:
+        if len(stamps):
+            self.handle.registerTimer(int(np.floor(stamps.min() * MS)) + 1)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        arrived = pd.concat(list(rows), ignore_index=True)
+        arrived = arrived[arrived["stamp"].notna()]
+        if len(arrived):
+            self.waiting.appendList(tuples(arrived, self.fields))
+            self._wake(arrived["stamp"].to_numpy(float))
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        clock = timerValues.getCurrentWatermarkInMs()
+        held = frame_of(list(self.waiting.get()), self.fields.names)
+        due = np.floor(held["stamp"].to_numpy(float) * MS) < clock
+        if not due.any():
+            return
+        rest = held[~due]
+        if len(rest):
+            self.waiting.put(tuples(rest, self.fields))
+            self._wake(rest["stamp"].to_numpy(float))
+        else:
+            self.waiting.clear()
+        ready = held[due].sort_values(self.order, kind="stable", ignore_index=True)
+        yield from self.keyed(key, self.worker.step(ready, clock / MS))
+
+
+def run_live(
+    stream: DataFrame, worker: Worker, schema: T.StructType, keys: Sequence[str] = ("drive",), order: Sequence[str] = ("stamp", "idx"),
+    ttl_s: float | None = None,
 ) -> DataFrame:
-    """Pairs from one stream of both sides (`kind` is est or gt)."""
-    return run_stateful(stream, sync_step(max_dt, keep_s), _with_key(PAIRS, stream, keys), keys, ("stamp", "kind"))
+    """`worker` over rows as they arrive. `ttl_s`: state that was not written for so long (wall clock) expires."""
+    use_rocksdb(stream.sparkSession)
+    processor = Live(worker, schema.names, keys, order)
+    return stream.groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "None" if ttl_s is None else "ProcessingTime")
 
 
-def kitti_step(lengths: Sequence[float] = KITTI_LENGTHS, stride: int = KITTI_STEP) -> Step:
-    """Running segment errors. Open starts are kept, closed segments only as sums: O(new pairs) per batch."""
+def timed(stream: DataFrame, delay_s: float) -> DataFrame:
+    """Adds the event time `_ts` of `stamp` with its watermark."""
+    micros = (F.col("stamp") * 1e6).cast("bigint")
+    return stream.withColumn("_ts", F.timestamp_micros(micros)).withWatermark("_ts", f"{int(delay_s * MS)} milliseconds")
 
-    def step(pairs: pd.DataFrame, m: dict):
-        count, distance = m.get("count", 0), m.get("distance", 0.0)
-        last, open_ = m.get("last"), m.get("open", [])
-        total, before = m.get("sum", [0.0, 0.0, 0]), m.get("sum", [0.0, 0.0, 0])[2]
-        total = list(total)
-        gt, est = (pairs[[f"{s}_{c}" for c in POSE]].to_numpy(float) for s in ("gt", "est"))
-        for g, e in zip(gt, est, strict=True):
-            if last is not None:
-                distance += float(np.linalg.norm(g[:3] - np.array(last)))
-            last = g[:3].tolist()
-            still = []
-            for start in open_:
-                if distance > start["end"]:
-                    dg = scans.pose_mul(pose_inverse_np(np.array([start["g"]])), g[None])
-                    de = scans.pose_mul(pose_inverse_np(np.array([start["e"]])), e[None])
-                    error = scans.pose_mul(pose_inverse_np(de), dg)[0]
-                    turn = 2.0 * np.arctan2(np.linalg.norm(error[4:]), abs(error[3]))
-                    total[0] += float(np.linalg.norm(error[:3])) / start["length"]
-                    total[1] += float(turn) / start["length"]
-                    total[2] += 1
-                else:
-                    still.append(start)
-            open_ = still
-            if count % stride == 0:
-                open_ += [
-                    {"g": g.tolist(), "e": e.tolist(), "end": distance + n, "length": n} for n in map(float, lengths)
-                ]
-            count += 1
-        memory = {"count": count, "distance": distance, "last": last, "open": open_, "sum": total}
-        if total[2] == 0 or total[2] == before or not len(pairs):
-            return pd.DataFrame(), memory
-        n = total[2]
+
+def run_in_order(
+    stream: DataFrame, worker: Worker, schema: T.StructType, delay_s: float, keys: Sequence[str] = ("drive",),
+    order: Sequence[str] = ("stamp", "idx"),
+) -> DataFrame:
+    """`worker` over rows in event-time order; rows later than `delay_s` behind the newest are dropped."""
+    use_rocksdb(stream.sparkSession)
+    fields = T.StructType([f for f in stream.schema.fields if f.name not in keys])
+    processor = InOrder(worker, schema.names, keys, order, fields)
+    return timed(stream, delay_s).groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "EventTime")
+
+
+def _with_key(text: str, stream: DataFrame, keys: Sequence[str]) -> T.StructType:
+    return T.StructType([*[stream.schema[k] for k in keys], *columns(text).fields])
+
+
+# --- estimate / truth pairs ----------------------------------------------------------------------------
+
+_SIDE = columns("stamp double, " + ", ".join(f"{c} double" for c in POSE))
+
+
+class Pairing(Worker):
+    """Truth rows with the estimate at their time, along the screw between its brackets, once an estimate has passed them.
+
+    State: estimates from the last one before the oldest waiting truth, and truth that waits. Truth without an estimate inside the
+    gate is dropped as soon as none can come any more, so both lists stay as short as the gate and the
+    estimates' spacing, however long the stream is."""
+
+    def __init__(self, max_dt: float, after: Worker | None = None):
+        self.max_dt, self.after = max_dt, after
+
+    def open(self, handle) -> None:
+        self.tail, self.pending = handle.getListState("tail", _SIDE), handle.getListState("pending", _SIDE)
+        if self.after is not None:
+            self.after.open(handle)
+
+    def step(self, rows: pd.DataFrame, clock: float) -> pd.DataFrame:
+        est, truth = (
+            np.array([*state.get(), *rows.loc[rows["kind"] == kind, _SIDE.names].itertuples(index=False, name=None)], float).reshape(-1, 8)
+            for state, kind in ((self.tail, "est"), (self.pending, "gt"))
+        )
+        after = np.searchsorted(est[:, 0], truth[:, 0] - 1.0e-9, side="left")
+        before = after - 1
+        left = np.where(before >= 0, truth[:, 0] - est[before.clip(0), 0] if len(est) else np.inf, np.inf)
+        passed = after < len(est)
+        right = np.where(passed, (est[after.clip(max=len(est) - 1), 0] if len(est) else 0.0) - truth[:, 0], np.inf)
+        found = passed & (np.minimum(left, right) <= self.max_dt)
+        out = self._paired(est, truth[found], before[found], after[found])
+        hopeless = (left > self.max_dt) & (truth[:, 0] + self.max_dt < clock - 2.0 / MS)
+        wait = ~passed & ~hopeless
+        self._keep(self.pending, truth[wait])
+        first = max(int(np.searchsorted(est[:, 0], min(clock, truth[wait, 0].min(initial=np.inf)), side="left")) - 1, 0)
+        self._keep(self.tail, est[first:])
+        return out if self.after is None else self.after.step(out, clock) if len(out) else out
+
+    @staticmethod
+    def _keep(state, rows: np.ndarray) -> None:
+        if len(rows):
+            state.put([tuple(r) for r in rows.tolist()])
+        else:
+            state.clear()
+
+    @staticmethod
+    def _paired(est: np.ndarray, truth: np.ndarray, before: np.ndarray, after: np.ndarray) -> pd.DataFrame:
+        a, b = est[np.where(before >= 0, before, after)], est[after]
+        span = b[:, 0] - a[:, 0]
+        share = np.where(span > 1.0e-9, (truth[:, 0] - a[:, 0]) / np.where(span > 1.0e-9, span, 1.0), 0.0)
+        move = se3_log_np(scans.pose_mul(pose_inverse_np(a[:, 1:]), b[:, 1:])) if len(a) else np.zeros((0, 6))
+        at = scans.pose_mul(a[:, 1:], se3_exp_np(share[:, None] * move)) if len(a) else np.zeros((0, 7))
+        values = np.concatenate([truth, at], axis=1)
+        return pd.DataFrame(values, columns=["stamp", *[f"{s}_{c}" for s in ("gt", "est") for c in POSE]])
+
+
+PAIRS = ", ".join(["stamp double"] + [f"{s}_{c} double" for s in ("gt", "est") for c in POSE])
+
+
+def sync_estimate_gt(
+    stream: DataFrame, max_dt: float = 0.05, delay_s: float = 30.0, keys: Sequence[str] = ("drive",)
+) -> DataFrame:
+    """Pairs from one stream of both sides (`kind` is est or gt)."""
+    return run_in_order(stream, Pairing(max_dt), _with_key(PAIRS, stream, keys), delay_s, keys)
+
+
+class RunningKitti(Worker):
+    """Running segment errors. Every start is open at a target distance until the route is beyond it. Targets of one length only grow,
+    so the open starts of a length are a queue: a map from its running number to the start, of which only the head is looked
+    at. A pair costs the starts that it opens and closes, whatever went before; closed segments live on as sums."""
+
+    def __init__(self, lengths: Sequence[float] = KITTI_LENGTHS, stride: int = KITTI_STEP):
+        self.lengths, self.stride = [float(n) for n in lengths], stride
+
+    def open(self, handle) -> None:
+        self.totals = handle.getValueState("totals", columns_of("count bigint, distance double, last doubles, sums doubles, n bigint, heads longs, tails longs"))
+        self.starts = handle.getMapState("starts", columns("length int, number bigint"), columns_of("target double, poses doubles"))
+
+    def step(self, pairs: pd.DataFrame, clock: float) -> pd.DataFrame:
+        zero = [0] * len(self.lengths)
+        count, distance, last, sums, n, heads, tails = self.totals.get() if self.totals.exists() else (0, 0.0, None, [0.0, 0.0], 0, zero, zero)
+        heads, tails = list(heads), list(tails)
+        poses = pairs[[f"{s}_{c}" for s in ("gt", "est") for c in POSE]].to_numpy(float)
+        places = np.vstack([poses[:1, :3] if last is None else [last], poses[:, :3]])
+        route = distance + np.cumsum(np.linalg.norm(np.diff(places, axis=0), axis=1))
+        fresh = np.flatnonzero((count + np.arange(len(poses))) % self.stride == 0)
+        first, final, nominal = [], [], []
+
+        def close(start: np.ndarray, end: np.ndarray, length: float) -> None:
+            first.append(start)
+            final.append(poses[end])
+            nominal.append(np.full(len(end), length))
+
+        for k, length in enumerate(self.lengths):
+            while heads[k] < tails[k]:
+                target, start = self.starts.getValue((k, heads[k]))
+                if not route[-1] > target:
+                    break
+                close(np.array([start]), np.searchsorted(route, [target], side="right"), length)
+                self.starts.removeKey((k, heads[k]))
+                heads[k] += 1
+            end = np.searchsorted(route, route[fresh] + length, side="right")
+            done = end < len(route)
+            close(poses[fresh[done]], end[done], length)
+            for i in fresh[~done].tolist():
+                self.starts.updateValue((k, tails[k]), (float(route[i] + length), poses[i].tolist()))
+                tails[k] += 1
+        a, b, length = np.concatenate(first), np.concatenate(final), np.concatenate(nominal)
+        if len(a):
+            moved = [scans.pose_mul(pose_inverse_np(a[:, s]), b[:, s]) for s in (slice(0, 7), slice(7, 14))]
+            error = scans.pose_mul(pose_inverse_np(moved[1]), moved[0])
+            turn = 2.0 * np.arctan2(np.linalg.norm(error[:, 4:], axis=1), np.abs(error[:, 3]))
+            sums = [sums[0] + float((np.linalg.norm(error[:, :3], axis=1) / length).sum()), sums[1] + float((turn / length).sum())]
+        n += len(a)
+        self.totals.update((count + len(poses), float(route[-1]), poses[-1, :3].tolist(), list(sums), n, heads, tails))
+        if not len(a):
+            return pd.DataFrame()
         return pd.DataFrame(
             {
-                "stamp": [pairs["stamp"].iloc[-1]], "translation_percent": [100.0 * total[0] / n],
-                "rotation_deg_per_100m": [np.degrees(total[1] / n) * 100.0], "num_segments": [n],
+                "stamp": [pairs["stamp"].iloc[-1]], "translation_percent": [100.0 * sums[0] / n],
+                "rotation_deg_per_100m": [np.degrees(sums[1] / n) * 100.0], "num_segments": [n],
             }
-        ), memory
-
-    return step
+        )
 
 
-def body_error_step() -> Step:
+class BodyError(Worker):
     """Body-frame residuals; the first pair fixes the alignment and emits nothing."""
 
-    def step(pairs: pd.DataFrame, m: dict):
-        if not len(pairs):
-            return pd.DataFrame(), m
+    def open(self, handle) -> None:
+        self.alignment = handle.getValueState("alignment", columns_of("pose doubles"))
+
+    def step(self, pairs: pd.DataFrame, clock: float) -> pd.DataFrame:
         gt, est = (pairs[[f"{s}_{c}" for c in POSE]].to_numpy(float) for s in ("gt", "est"))
-        stamps, tf = pairs["stamp"].to_numpy(float), m.get("tf")
-        if tf is None:
-            tf = scans.pose_mul(gt[:1], pose_inverse_np(est[:1]))[0].tolist()
+        stamps = pairs["stamp"].to_numpy(float)
+        if not self.alignment.exists():
+            self.alignment.update((scans.pose_mul(gt[:1], pose_inverse_np(est[:1]))[0].tolist(),))
             gt, est, stamps = gt[1:], est[1:], stamps[1:]
-        aligned = scans.pose_mul(np.repeat(np.array([tf]), len(est), 0), est)
+        aligned = scans.pose_mul(np.repeat(np.array([self.alignment.get()[0]]), len(est), 0), est)
         back = gt[:, 3:] * np.array([1.0, -1.0, -1.0, -1.0])
         local = scans.quat_rotate(back, aligned[:, :3] - gt[:, :3]).reshape(-1, 3)
-        return pd.DataFrame(
-            {"stamp": stamps, "longitudinal_m": local[:, 0], "lateral_m": local[:, 1], "vertical_m": local[:, 2]}
-        ), {"tf": tf}
+        return pd.DataFrame({"stamp": stamps, "longitudinal_m": local[:, 0], "lateral_m": local[:, 1], "vertical_m": local[:, 2]})
 
-    return step
 
-
-def chained(first: Step, second: Step) -> Step:
-    """Feed the output of one step to the next; both memories live in one state."""
-
-    def step(rows: pd.DataFrame, m: dict):
-        middle, a = first(rows, m.get("a", {}))
-        out, b = second(middle, m.get("b", {}))
-        return out, {"a": a, "b": b}
-
-    return step
+def _message(schema: T.StructType, stream: DataFrame, keys: Sequence[str]) -> T.StructType:
+    return T.StructType([*[stream.schema[k] for k in keys], *[f for f in schema.fields if f.name != "drive"]])
 
 
 def running_kitti(
-    stream: DataFrame, max_dt: float = 0.05, keep_s: float = 30.0, lengths: Sequence[float] = KITTI_LENGTHS,
-    keys: Sequence[str] = ("drive",),
+    stream: DataFrame, max_dt: float = 0.05, delay_s: float = 30.0, lengths: Sequence[float] = KITTI_LENGTHS, keys: Sequence[str] = ("drive",),
 ) -> DataFrame:
     """KITTI error so far, emitted when the number of closed segments changes."""
-    schema = _with_key(
-        "stamp double, translation_percent double, rotation_deg_per_100m double, num_segments bigint", stream, keys
-    )
-    return run_stateful(stream, chained(sync_step(max_dt, keep_s), kitti_step(lengths)), schema, keys, ("stamp", "kind"))
+    return run_in_order(stream, Pairing(max_dt, RunningKitti(lengths)), _message(KITTI_ERROR, stream, keys), delay_s, keys)
 
 
 def running_body_error(
-    stream: DataFrame, max_dt: float = 0.05, keep_s: float = 30.0, keys: Sequence[str] = ("drive",)
+    stream: DataFrame, max_dt: float = 0.05, delay_s: float = 30.0, keys: Sequence[str] = ("drive",)
 ) -> DataFrame:
-    schema = _with_key("stamp double, longitudinal_m double, lateral_m double, vertical_m double", stream, keys)
-    return run_stateful(stream, chained(sync_step(max_dt, keep_s), body_error_step()), schema, keys, ("stamp", "kind"))
+    return run_in_order(stream, Pairing(max_dt, BodyError()), _message(BODY_FRAME_ERROR, stream, keys), delay_s, keys)
+
+
+def kitti_of_pairs(
+    pairs: DataFrame, delay_s: float = 30.0, lengths: Sequence[float] = KITTI_LENGTHS, stride: int = KITTI_STEP, keys: Sequence[str] = ("drive",)
+) -> DataFrame:
+    """`running_kitti` over a stream of pairs (`stamp, idx, gt_*, est_*`)."""
+    return run_in_order(pairs, RunningKitti(lengths, stride), _message(KITTI_ERROR, pairs, keys), delay_s, keys)
+
+
+def body_error_of_pairs(pairs: DataFrame, delay_s: float = 30.0, keys: Sequence[str] = ("drive",)) -> DataFrame:
+    """`running_body_error` over a stream of pairs (`stamp, idx, gt_*, est_*`)."""
+    return run_in_order(pairs, BodyError(), _message(BODY_FRAME_ERROR, pairs, keys), delay_s, keys)
 
 
 # --- order, retention, selection -----------------------------------------------------------------------
 
 
-def in_order(stream: DataFrame, keys: Sequence[str] = ("drive",)) -> DataFrame:
-    """Rows in stamp order: older ones dropped, the last of equal stamps kept (emitted once passed)."""
-    schema = stream.schema
-    data = [f.name for f in schema.fields if f.name not in keys]
+class KeepLast(Worker):
+    """The last arrival (largest `idx`) of rows with equal stamps."""
 
-    def step(rows: pd.DataFrame, m: dict):
-        held = m.get("held")
-        out = []
-        for row in rows[data].to_dict("records"):
-            if held is not None and row["stamp"] + 1.0e-9 < held["stamp"]:
-                continue
-            if held is not None and abs(row["stamp"] - held["stamp"]) >= 1.0e-9:
-                out.append(held)
-            held = {k: (v.item() if hasattr(v, "item") else v) for k, v in row.items()}
-        return pd.DataFrame(out, columns=data), {"held": held}
+    def open(self, handle) -> None:
+        pass
+
+    def step(self, rows: pd.DataFrame, clock: float) -> pd.DataFrame:
+        same = rows["stamp"].diff().shift(-1).abs() < 1.0e-9
+        return rows[~same]
+
+
+def in_order(stream: DataFrame, delay_s: float = 30.0, keys: Sequence[str] = ("drive",)) -> DataFrame:
+    """Rows in stamp order, the last of equal stamps kept, each once the watermark has passed it."""
+    return run_in_order(stream, KeepLast(), stream.schema, delay_s, keys)
+
+
+class TwistBuffer(Worker):
+    """What the live twist buffer holds when a scan arrives: samples up to `horizon_s` before its newest; a sample from before the
+    newest one empties it first. The state is a list with one entry a sample, never longer than the horizon."""
+
+    def __init__(self, horizon_s: float):
+        self.horizon = horizon_s
+
+    def open(self, handle) -> None:
+        self.held = handle.getListState("held", columns("stamp double"))
 
-    return run_stateful(stream, step, schema, keys)
+    def step(self, rows: pd.DataFrame, clock: float) -> pd.DataFrame:
+        old = np.array([s for s, in self.held.get()], float)
+        twist = (rows["kind"] == "twist").to_numpy()
+        stamps = np.concatenate([old, rows.loc[twist, "stamp"].to_numpy(float)])
+        run = np.cumsum(np.concatenate([[False], np.diff(stamps) < 0.0])) if len(stamps) else np.zeros(0, int)
+        begin = np.searchsorted(run, run, side="left")  # where each sample's run of rising time begins
+        oldest = np.array([max(b, int(np.searchsorted(stamps[b: i + 1], stamps[i] - self.horizon, side="left")) + b) for i, b in enumerate(begin)], int)
+        if len(stamps):
+            self.held.put([(float(s),) for s in stamps[oldest[-1]:]])
+        last = len(old) + np.cumsum(twist) - 1  # newest sample when each row arrives
+        last = last[~twist]
+        have = last >= 0
+        out = rows.loc[~twist, ["idx", "stamp"]].copy()
+        out["held"] = np.where(have, last - oldest[last] + 1 if len(stamps) else 0, 0).astype("int64")
+        out["oldest"] = np.where(have, stamps[oldest[last]] if len(stamps) else np.nan, np.nan)
+        out["newest"] = np.where(have, stamps[last] if len(stamps) else np.nan, np.nan)
+        return out
+
+
+def twist_buffer(stream: DataFrame, horizon_s: float = 2.0, keys: Sequence[str] = ("drive",)) -> DataFrame:
+    """State of the twist buffer at every scan, in order of arrival (`idx`). `kind` is twist or scan."""
+    schema = _with_key("idx bigint, stamp double, held bigint, oldest double, newest double", stream, keys)
+    return run_live(stream, TwistBuffer(horizon_s), schema, keys, ("idx",))
 
 
 def stream_keyframes(
@@ -258,19 +423,22 @@ def stream_keyframes(
             last, at = poses[hit], hit + 1
         return rows.iloc[kept].copy(), {"last": last.tolist()}
 
-    return run_stateful(stream, step, stream.schema, keys)
+    return run_live(stream, Remembering(step, "last doubles"), stream.schema, keys)
 
 
-def stream_decimate(stream: DataFrame, min_dt: float, keys: Sequence[str] = ("drive",)) -> DataFrame:
+def stream_decimate(stream: DataFrame, min_dt: float, keys: Sequence[str] = ("drive",), order: Sequence[str] = ("idx",)) -> DataFrame:
     def step(rows: pd.DataFrame, m: dict):
-        last, kept = m.get("last"), []
-        for i, stamp in enumerate(rows["stamp"].to_numpy(float)):
-            if last is None or stamp - last >= min_dt or stamp < last:
-                kept.append(i)
-                last = float(stamp)
+        last, kept, t, at = m.get("last"), [], rows["stamp"].to_numpy(float), 0
+        while at < len(t):
+            fits = np.ones(1, bool) if last is None else (t[at: at + 4096] - last >= min_dt) | (t[at: at + 4096] < last)
+            if not fits.any():
+                at += 4096
+                continue
+            kept.append(at + int(fits.argmax()))
+            last, at = float(t[kept[-1]]), kept[-1] + 1
         return rows.iloc[kept].copy(), {"last": last}
 
-    return run_stateful(stream, step, stream.schema, keys, ("idx",))
+    return run_live(stream, Remembering(step, "last double"), stream.schema, keys, order)
 
 
 def stream_stable_ids(stream: DataFrame, reach: float, keys: Sequence[str] = ("drive",)) -> DataFrame:
@@ -279,8 +447,8 @@ def stream_stable_ids(stream: DataFrame, reach: float, keys: Sequence[str] = ("d
     dims = [f"c{i}" for i in range(5)]
 
     def step(rows: pd.DataFrame, m: dict):
-        rows["id"] = 0
-        frame, known, ids = m.get("frame"), np.array(m.get("known", [])).reshape(-1, 5), m.get("ids", [])
+        rows = rows.assign(id=0)
+        frame, known, ids = m.get("frame"), np.array(m.get("known", [])).reshape(-1, 5), list(m.get("ids", []))
         for number, part in rows.groupby("frame", sort=True):
             if frame is None or int(number) != frame + 1:
                 known, ids = np.zeros((0, 5)), []
@@ -289,9 +457,9 @@ def stream_stable_ids(stream: DataFrame, reach: float, keys: Sequence[str] = ("d
             rows.loc[part.index, "id"] = ids
             known, frame = centers, int(number)
         rows["id"] = rows["id"].astype("int32")
-        return rows, {"frame": frame, "known": known.tolist(), "ids": ids}
+        return rows, {"frame": frame, "known": known.reshape(-1).tolist(), "ids": [int(i) for i in ids]}
 
-    return run_stateful(stream, step, schema, keys, ("frame", "rank"))
+    return run_live(stream, Remembering(step, "frame bigint, known doubles, ids longs"), schema, keys, ("frame", "rank"))
 
 
 def once_only(stream: DataFrame, keys: Sequence[str] = ("drive",)) -> DataFrame:
@@ -299,7 +467,7 @@ def once_only(stream: DataFrame, keys: Sequence[str] = ("drive",)) -> DataFrame:
     def step(rows: pd.DataFrame, m: dict):
         return (rows.iloc[:0] if m.get("sent") else rows.iloc[:1]).copy(), {"sent": True}
 
-    return run_stateful(stream, step, stream.schema, keys)
+    return run_live(stream, Remembering(step, "sent boolean"), stream.schema, keys)
 
 
 def latest_only(batch: DataFrame, keys: Sequence[str] = ("drive",)) -> DataFrame:
@@ -310,40 +478,78 @@ def latest_only(batch: DataFrame, keys: Sequence[str] = ("drive",)) -> DataFrame
     ).select(*keys, "_r.*", "replaced")
 
 
+class BoundedWait(Live):
+    """Scans that wait for the IMU, each with a timer at the end of its patience.
+
+    A scan is `ready` when a sample covers its end and the buffer reaches back to its start. Both are facts that stay true, so it
+    leaves at once. Else its timer fires when the watermark passes scan end + `wait_s`: then all samples that could have come
+    in time are there, and it is `behind` (no cover of the end) or `skipped` (the buffer does not reach back)."""
+
+    def __init__(self, wait_s: float, max_pair_dt: float, horizon_s: float, delay_s: float, names: Sequence[str], keys: Sequence[str]):
+        super().__init__(Worker(), names, keys, ("stamp",))
+        self.wait, self.pair, self.horizon, self.delay = wait_s, max_pair_dt, horizon_s, delay_s
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.samples = handle.getListState("samples", columns("stamp double"))
+        self.scans = handle.getMapState("scans", columns("idx bigint"), columns("stamp double, scan_start double"))
+
+    def _deadline(self, end: float) -> int:
+        return int(np.floor((end + self.wait) * MS)) + 2
+
+    def _judged(self, imu: np.ndarray, waiting: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Whether the IMU covers each scan's end in time, and whether its buffer reaches back to the start."""
+        end, start = waiting["stamp"].to_numpy(float), waiting["scan_start"].to_numpy(float)
+        at = np.searchsorted(imu, end - 1.0e-3, side="left")
+        back = np.searchsorted(imu, start + self.pair, side="right") - 1
+        padded = np.append(imu, [np.inf, -np.inf])  # places -1 and len(imu)
+        return padded[at] <= end + self.wait, np.where(back >= 0, padded[back], -np.inf) >= end - self.horizon
+
+    def _waiting(self) -> pd.DataFrame:
+        return frame_of([(*k, *v) for k, v in self.scans.iterator()], ("idx", "stamp", "scan_start"))
+
+    def _out(self, key, scans_: pd.DataFrame, status: np.ndarray) -> Iterator[pd.DataFrame]:
+        for idx in scans_["idx"].tolist():
+            self.scans.removeKey((idx,))
+        yield from self.keyed(key, scans_.assign(status=status))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        arrived = pd.concat(list(rows), ignore_index=True)
+        fresh = arrived[arrived["kind"] == "scan"]
+        for idx, stamp, start in fresh[["idx", "stamp", "scan_start"]].itertuples(index=False, name=None):
+            self.scans.updateValue((int(idx),), (float(stamp), float(start)))
+            self.handle.registerTimer(self._deadline(float(stamp)))
+        new = arrived.loc[arrived["kind"] == "imu", "stamp"].to_numpy(float)
+        imu = np.unique(np.concatenate([np.array([s for s, in self.samples.get()], float), new]))
+        waiting = self._waiting()
+        covered, reaches = self._judged(imu, waiting)
+        ready = covered & reaches
+        if len(new):
+            oldest = min(imu[-1] - self.delay, waiting.loc[~ready, "stamp"].min() if (~ready).any() else np.inf) - self.horizon
+            self.samples.put([(s,) for s in imu[imu >= oldest].tolist()])
+        yield from self._out(key, waiting[ready], np.full(int(ready.sum()), "ready"))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        expired, waiting = expiredTimerInfo.getExpiryTimeInMs(), self._waiting()
+        over = waiting[np.array([self._deadline(s) <= expired for s in waiting["stamp"]], bool)]
+        imu = np.unique(np.array([s for s, in self.samples.get()], float))
+        covered, reaches = self._judged(imu, over)
+        yield from self._out(key, over, np.where(~reaches, "skipped", np.where(covered, "ready", "behind")))
+
+
 def bounded_wait(
-    stream: DataFrame, wait_s: float = 0.5, max_pair_dt: float = 0.05, horizon_s: float = 30.0,
-    keys: Sequence[str] = ("drive",),
+    stream: DataFrame, wait_s: float = 0.5, max_pair_dt: float = 0.05, horizon_s: float = 30.0, keys: Sequence[str] = ("drive",),
+    delay_s: float = 0.5,
 ) -> DataFrame:
-    """Scans released once the IMU covers their end, or after `wait_s` of event time with what is there.
+    """Scans released once the IMU covers them, or after `wait_s` of event time with what is there.
 
-    One stream: `kind` imu (`stamp`) or scan (`stamp` = scan end, `scan_start`). Status: `ready`, `behind`
-    (released without cover) or `skipped` (the IMU buffer starts after the scan).
+    One stream: `kind` imu (`stamp`) or scan (`stamp` = scan end, `scan_start`); rows of another kind only move the clock. Status:
+    `ready`, `behind` (released without cover) or `skipped` (the IMU buffer starts after the scan).
     """
+    use_rocksdb(stream.sparkSession)
     schema = _with_key("idx bigint, stamp double, scan_start double, status string", stream, keys)
-
-    def step(rows: pd.DataFrame, m: dict):
-        waiting, imu, front = m.get("waiting", []), m.get("imu"), m.get("front")
-        clock, out = m.get("clock", float("-inf")), []
-        for kind, stamp, start, idx in rows[["kind", "stamp", "scan_start", "idx"]].itertuples(index=False):
-            clock = max(clock, stamp)
-            if kind == "imu":
-                imu = stamp if imu is None else max(imu, stamp)
-                front = stamp if front is None else max(front, imu - horizon_s)
-            else:
-                waiting.append([int(idx), float(stamp), float(start)])
-            left = []
-            for scan in waiting:
-                covered = imu is not None and imu + 1.0e-3 >= scan[1]
-                if not covered and clock < scan[1] + wait_s:
-                    left.append(scan)
-                    continue
-                lost = imu is None or front > scan[2] + max_pair_dt
-                out.append([*scan, "skipped" if lost else ("ready" if covered else "behind")])
-            waiting = left
-        memory = {"waiting": waiting, "imu": imu, "front": front, "clock": clock}
-        return pd.DataFrame(out, columns=["idx", "stamp", "scan_start", "status"]), memory
-
-    return run_stateful(stream, step, schema, keys, ("stamp", "kind"))
+    processor = BoundedWait(wait_s, max_pair_dt, horizon_s, delay_s, schema.names, keys)
+    return timed(stream, delay_s).groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "EventTime")
 
 
 # --- IMU and health ------------------------------------------------------------------------------------
@@ -406,7 +612,7 @@ def stream_dead_reckon(
     def step(rows: pd.DataFrame, m: dict):
         parts, at = [], 0
         if "q" not in m:
-            window = m.get("window", [])
+            window = np.reshape(m.get("window", []), (-1, 6)).tolist()
             values = rows[acc + gyr].to_numpy(float)
             while at < len(rows) and "q" not in m:
                 window = [*window, values[at].tolist()][-samples:]
@@ -420,40 +626,38 @@ def stream_dead_reckon(
             if at:
                 parts.append(blank(rows.iloc[:at]))
             if "q" not in m:
-                m = {"window": window}
+                m = {"window": np.ravel(window).tolist()}
         if at < len(rows):
             parts.append(integrate(rows.iloc[at:], m))
         return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(), m
 
-    return run_stateful(stream, step, schema, keys)
+    return run_live(stream, Remembering(step, "window doubles, q doubles, bias doubles, g double, s doubles, p doubles, t double"), schema, keys)
+
+
+def _since(flag: np.ndarray, opens: np.ndarray, carried: int) -> np.ndarray:
+    """Running count of `flag` since the last row where `opens` holds, that row included; before the first, on top of `carried`."""
+    total = np.cumsum(flag)
+    base = np.maximum.accumulate(np.where(opens, total - flag, -1))
+    return np.where(base >= 0, total - base, total + carried)
 
 
 def health_step(max_rejects: int = 5) -> Step:
+    """Health as counts since the last accepted match, carried from batch to batch; the same closed form as `matchlog.health_states`."""
     limit = max(1, max_rejects)
 
     def step(rows: pd.DataFrame, m: dict):
-        health, rejects, timeouts = m.get("health", "healthy"), m.get("rejects", 0), m.get("timeouts", 0)
-        out = []
-        for event in rows["event"]:
-            stuck = health == "diverged"
-            if event in ("KinematicViolation", "SpeedClamped"):
-                health, rejects = "diverged", rejects + 1
-            elif event == "TimedOut":
-                timeouts += 1
-                health = "diverged" if stuck else "degraded"
-            elif event == "Rejected":
-                rejects, timeouts = rejects + 1, 0
-                health = "diverged" if stuck or rejects >= limit else "degraded"
-            elif event == "Saturated":
-                timeouts = 0
-                health = "diverged" if stuck else "degraded"
-            else:
-                health, rejects, timeouts = "healthy", 0, 0
-            out.append((health, rejects, timeouts))
-        res = rows[["idx", "stamp", "event"]].copy()
-        res[["health", "reject_streak", "timeout_streak"]] = out
-        res["level"] = res["health"].map({"healthy": "OK", "degraded": "WARN", "diverged": "ERROR"})
-        return res, {"health": health, "rejects": rejects, "timeouts": timeouts}
+        event = rows["event"]
+        violation = event.isin(["KinematicViolation", "SpeedClamped"]).to_numpy()
+        rejected, late, settled = ((event == n).to_numpy() for n in ("Rejected", "TimedOut", "Saturated"))
+        accepted = ~(violation | rejected | late | settled)
+        rejects = _since(violation | rejected, accepted, m.get("rejects", 0))
+        timeouts = _since(late, accepted | rejected | settled, m.get("timeouts", 0))
+        lost = _since(violation | (rejected & (rejects >= limit)), accepted, m.get("lost", 0))
+        res = rows[["idx", "stamp", "event"]].assign(
+            health=np.where(accepted, "healthy", np.where(lost > 0, "diverged", "degraded")),
+            level=np.where(accepted, "OK", np.where(lost > 0, "ERROR", "WARN")), reject_streak=rejects, timeout_streak=timeouts,
+        )
+        return res, {"rejects": int(rejects[-1]), "timeouts": int(timeouts[-1]), "lost": int(lost[-1])}
 
     return step
 
@@ -461,7 +665,8 @@ def health_step(max_rejects: int = 5) -> Step:
 def stream_health(stream: DataFrame, max_rejects: int = 5, keys: Sequence[str] = ("drive",)) -> DataFrame:
     """Live health with its diagnostic level."""
     text = "idx bigint, stamp double, event string, health string, level string, reject_streak bigint, timeout_streak bigint"
-    return run_stateful(stream, health_step(max_rejects), _with_key(text, stream, keys), keys)
+    worker = Remembering(health_step(max_rejects), "rejects bigint, timeouts bigint, lost bigint")
+    return run_live(stream, worker, _with_key(text, stream, keys), keys)
 
 
 def stream_skipped(stream: DataFrame, keys: Sequence[str] = ("drive",)) -> DataFrame:
@@ -473,7 +678,7 @@ def stream_skipped(stream: DataFrame, keys: Sequence[str] = ("drive",)) -> DataF
         total = lost.cumsum() + m.get("total", 0)
         return rows.assign(skipped_total=total.astype("int64")), {"total": int(total.iloc[-1])}
 
-    return run_stateful(stream, step, schema, keys)
+    return run_live(stream, Remembering(step, "total bigint"), schema, keys)
 
 
 def retain(rows: DataFrame, horizon_s: float = 30.0, max_rows: int = 20_000, keys: Sequence[str] = ("drive",)) -> DataFrame:
