@@ -699,7 +699,17 @@ def section_table(spark, sf):
     return rounded(sinks.null_non_finite(_sections(spark, sf)))
 
 
-@query("worst_segments")
+@query(
+    "worst_segments",
+    f"""WITH RECURSIVE {kitti_sql('se3')}, hundred AS (SELECT drive, first_rn, last_rn, 100 * translation / length_m AS bad FROM seg WHERE length_m = 100),
+greedy(drive, rank, kept, best) AS (
+  SELECT DISTINCT drive, 0, CAST([] AS STRUCT(f BIGINT, l BIGINT)[]), {{'bad': 0e0, 'f': 0::BIGINT, 'l': 0::BIGINT}} FROM hundred UNION ALL
+  SELECT p.drive, p.rank + 1, list_append(p.kept, {{'f': -max({{'bad': s.bad, 'f': -s.first_rn, 'l': -s.last_rn}}).f, 'l': -max({{'bad': s.bad, 'f': -s.first_rn, 'l': -s.last_rn}}).l}}),
+    max({{'bad': s.bad, 'f': -s.first_rn, 'l': -s.last_rn}})
+  FROM greedy p JOIN hundred s ON s.drive = p.drive AND len(list_filter(p.kept, lambda k: s.first_rn <= k.l AND k.f <= s.last_rn)) = 0
+  WHERE p.rank < 5 GROUP BY p.drive, p.rank, p.kept)
+SELECT drive, 'se3' AS space, rank, -best.f AS first_rn, -best.l AS last_rn, {r('best.bad', 'translation_percent')} FROM greedy WHERE rank > 0""",
+)
 def worst_segments(spark, sf):
     ch, p = unique_pairs(spark, sf)
     segs = metrics.kitti_segments(p, "se3", (100.0,), chunks=ch).persist()

@@ -11,7 +11,7 @@ from wayfold.operators.association import interpolate_clamped
 from wayfold.sources import trajectories
 from wayfold.streaming import stateful
 
-from .registry import GT, query, r, rounded, rs
+from .registry import GT, query, r, rot, rot_columns, rounded, rs
 
 LOG = """lg AS (SELECT user_id % 8 AS drive, event_id AS idx, epoch_us(ts) / 1e6 AS stamp, value,
   CASE event_type WHEN 'click' THEN 'Accepted' WHEN 'view' THEN 'Saturated' WHEN 'signup' THEN 'Rejected' WHEN 'purchase' THEN 'TimedOut' WHEN 'error' THEN 'KinematicViolation' END AS event,
@@ -306,7 +306,15 @@ def pair_scans(spark, sf):
 # --- greedy selections ---------------------------------------------------------------------------------
 
 
-@query("keyframes")
+_KEYFRAMES = f"""WITH RECURSIVE {GT}, n AS (SELECT *, row_number() OVER (PARTITION BY drive ORDER BY stamp, idx) AS rn FROM gt),
+m AS (SELECT drive, rn, idx, x, y, z, {rot_columns('', 'm')} FROM n),
+nx AS (SELECT a.drive, a.rn, a.idx, min(b.rn) AS next_rn FROM m a LEFT JOIN m b ON b.drive = a.drive AND b.rn > a.rn AND b.rn <= a.rn + 64
+  AND ((b.x - a.x)**2 + (b.y - a.y)**2 + (b.z - a.z)**2 >= 100e0 OR acos(least(1e0, greatest(-1e0, ({' + '.join(f'a.m{k}*b.m{k}' for k in rot('x'))} - 1) / 2))) >= 0.5e0) GROUP BY ALL),
+kept AS (SELECT * FROM nx WHERE rn = 1 UNION ALL SELECT n.* FROM kept k JOIN nx n ON n.drive = k.drive AND n.rn = k.next_rn)
+SELECT drive, idx FROM kept"""
+
+
+@query("keyframes", _KEYFRAMES)
 def keyframes(spark, sf):
     ch = V.time_chunks(spark, sf)
     return selection.keyframes(V.gt(spark, sf, ch), 10.0, 0.5, chunks=ch).select("drive", "idx")

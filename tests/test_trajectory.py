@@ -132,3 +132,25 @@ def test_worst_segments_against_brute_force(spark):
         if len(want) < 4 and all(row.last_rn < k.first_rn or k.last_rn < row.first_rn for k in want):
             want.append(row)
     assert got.first_rn.tolist() == [w.first_rn for w in want]
+
+
+def test_worst_segments_come_from_few_contenders(spark):
+    """Many segments, ties and missing errors: the same choice as over all rows, from a small part of them."""
+    rng = np.random.default_rng(7)
+    n = 20_000
+    first = np.sort(rng.integers(0, 10 * n, n))
+    bad = np.round(rng.uniform(0, 5, n), 2)
+    bad[::97] = np.nan
+    rows = pd.DataFrame({"drive": np.where(np.arange(n) % 3, "a", "b"), "space": "se3", "length_m": 100.0, "first_rn": first, "last_rn": first + rng.integers(5, 60, n), "translation_percent": bad})
+    table = spark.createDataFrame(rows).repartition(3)
+    got = sections.worst_segments(table, 6).toPandas().sort_values(["drive", "rank"])
+    want = []
+    for drive in ("a", "b"):
+        kept = []
+        for row in rows[(rows.drive == drive) & rows.translation_percent.notna()].sort_values(["translation_percent", "first_rn", "last_rn"], ascending=[False, True, True]).itertuples():
+            if len(kept) < 6 and all(row.last_rn < k.first_rn or k.last_rn < row.first_rn for k in kept):
+                kept.append(row)
+        want += [(drive, i + 1, k.first_rn, k.last_rn) for i, k in enumerate(kept)]
+    assert [tuple(r) for r in got[["drive", "rank", "first_rn", "last_rn"]].itertuples(index=False)] == want
+    assert sections._contenders(table.where("not isnan(translation_percent)"), 6, ("drive", "space")).count() < n / 20
+    assert sections.worst_segments(table.limit(0), 3).count() == 0

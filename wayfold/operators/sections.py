@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..formats import FILTER, ODOM, TAG_BOTH, TAG_FILTER, TAG_NONE, TAG_ODOM, TAG_UNKNOWN
-from ..session import cut
 from .metrics import exact_quantiles
-from .ordered import Chunks, running
+from .ordered import Chunks, join_equal, running
 
 DRIVE = ("drive",)
 
@@ -51,30 +53,54 @@ def error_spans(
     return spans.filter(F.col("distance_end") - F.col("distance_start") >= min_length_m).drop("_island")
 
 
+#: Shares of a key's segments above which a score is looked up, and the accuracy of the lookup (ranks are right to n / ACCURACY).
+_SHARES, ACCURACY = [1.0 - 0.5**i for i in range(1, 13)], 10_000
+
+
+def _contenders(segments: DataFrame, top_k: int, keys: Sequence[str]) -> DataFrame:
+    """Segments among which are the `top_k` that the greedy choice keeps.
+
+    Each kept segment takes at most those out that overlap it, and these start less than the longest segment away: in its own tile or a
+    neighbouring one, if tiles are as wide. So the choice looks at no more than (top_k - 1) * (3 * fullest tile) + top_k segments in
+    descending order, and a score that at least as many reach comes from a quantile sketch. Two aggregates, both combined map-side."""
+    scores = segments.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.max(F.col("last_rn") - F.col("first_rn") + 1).alias("_width"),
+        F.percentile_approx("translation_percent", _SHARES, ACCURACY).alias("_cuts"),
+    )
+    tiles = join_equal(segments.select(*keys, "first_rn"), scores.select(*keys, "_width"), keys)
+    full = tiles.groupBy(*keys, F.expr("first_rn div _width").alias("_tile")).count().groupBy(*keys).agg(F.max("count").alias("_most"))
+    wanted = (top_k - 1) * 3 * F.col("_most") + top_k
+    # The largest share whose score is surely reached by enough segments, the sketch's error taken off.
+    enough = F.array_max(F.filter(F.array(*[F.struct(F.lit(q).alias("q"), F.lit(i).alias("i")) for i, q in enumerate(_SHARES)]),
+                                  lambda x: F.col("_n") * (1.0 - x.q - 2.0 / ACCURACY) >= F.col("_wanted")))
+    cut = join_equal(scores, full, keys).withColumn("_wanted", wanted).withColumn("_e", enough)
+    cut = cut.select(*keys, F.when(F.col("_e").isNotNull(), F.element_at("_cuts", F.col("_e.i") + 1)).alias("_cut"))
+    return join_equal(segments, cut, keys).filter(F.col("_cut").isNull() | (F.col("translation_percent") >= F.col("_cut"))).drop("_cut")
+
+
 def worst_segments(
     segments: DataFrame, top_k: int, length_m: float = 100.0, keys: Sequence[str] = ("drive", "space")
 ) -> DataFrame:
-    """Worst segments of one length, greedily kept when their pose ranges do not overlap a kept one.
-
-    One reduction per kept rank: the worst remaining segment of every key, then its overlaps drop out.
-    Equal errors keep the earlier start.
-    """
-    left = segments.filter(F.col("length_m") == length_m)
-    kept: list[DataFrame] = []
-    order = F.struct("translation_percent", (-F.col("first_rn")).alias("_r"))
-    for rank in range(1, top_k + 1):
-        best = left.groupBy(*keys).agg(F.max_by(F.struct(*segments.columns), order).alias("b"))
-        best = cut(best.select(*keys, "b", F.lit(rank).alias("rank")))
-        if best.isEmpty():
-            break
-        kept.append(best)
-        bounds = best.select(*keys, F.col("b.first_rn").alias("_f"), F.col("b.last_rn").alias("_l"))
-        left = left.join(bounds, list(keys)).filter(
-            (F.col("last_rn") < F.col("_f")) | (F.col("_l") < F.col("first_rn"))
-        ).drop("_f", "_l")
-    if not kept:
-        return left.withColumn("rank", F.lit(0)).limit(0)
-    return reduce(DataFrame.unionByName, kept).select("b.*", "rank")
+    """Worst segments of one length, greedily kept when their pose ranges do not overlap a kept one (borders included).
+
+    Equal errors keep the earlier start, then the earlier end. Whatever `top_k`, the segments are aggregated and compared with one score per key,
+    and the few contenders of a key meet in one group. Segments without an error (null or NaN) are never worst."""
+    segments = segments.filter((F.col("length_m") == length_m) & F.col("translation_percent").isNotNull() & ~F.isnan("translation_percent"))
+    few = _contenders(segments, top_k, keys)
+    schema = T.StructType([*few.schema.fields, T.StructField("rank", T.IntegerType(), False)])
+
+    def chosen(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["translation_percent", "first_rn", "last_rn"], ascending=[False, True, True], kind="stable")
+        begins, ends = rows["first_rn"].to_numpy(), rows["last_rn"].to_numpy()
+        free, kept = np.ones(len(rows), bool), []
+        while len(kept) < top_k and free.any():
+            best = int(free.argmax())
+            kept.append(best)
+            free &= (ends < begins[best]) | (begins > ends[best])
+            free[best] = False
+        return rows.iloc[kept].assign(rank=np.arange(1, len(kept) + 1, dtype="int32"))
+
+    return few.groupBy(*keys).applyInPandas(chosen, schema)
 
 
 def classify_error_source(
