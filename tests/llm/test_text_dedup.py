@@ -219,3 +219,46 @@ def test_query_digest(spark, tmp_path):
     for r in QUERIES["op7_fm_substrings"](spark, str(tmp_path)).collect():
         n, gone, kept = want[r.doc_id]
         assert (r.n_words, r.n_removed, r.kept_sha256) == (n, gone, hashlib.sha256(kept.encode()).hexdigest())
+
+
+def test_rows_that_share_an_id(spark):
+    """Words: an equal id is no smaller id. Bytes: one row counts as the earlier, for all passages alike."""
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    rows, passages = [], []
+    for i in range(12):
+        passage = [" ".join(word() for _ in range(20)) for _ in range(3)]
+        passages.append(passage)
+        rows += [(i, " ".join([word(), passage[0], word(), passage[1], passage[2]])), (i, " ".join([passage[2], word(), passage[0], word(), passage[1]]))]
+    rows += [(20, " ".join(passages[3])), (20, " ".join([word(), *passages[3]])), (21, " ".join(passages[4]))]
+    got = {}
+    for r in substring_dedup.dedup(frame(spark, rows)).collect():
+        got.setdefault(r.doc_id, []).append((r.n_words, r.n_words - len(words(r.kept_text))))
+    want = {}
+    first = {}
+    for i, t in rows:
+        w = words(t)
+        for at in range(len(w) - 12):
+            first[tuple(w[at: at + 13])] = min(i, first.get(tuple(w[at: at + 13]), i))
+    for i, t in rows:
+        w, gone = words(t), set()
+        for at in range(len(w) - 12):
+            if first[tuple(w[at: at + 13])] < i:
+                gone.update(range(at, at + 13))
+        want.setdefault(i, []).append((len(w), len(gone)))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+    assert all(g == 0 for i in range(12) for _, g in got[i])
+    lost = {}
+    for r in suffix_dedup.dedup(frame(spark, rows)).collect():
+        lost.setdefault(r.doc_id, []).append(r.n_bytes - len(r.kept))
+    assert all(sorted(x > 0 for x in lost[i]) == [False, True] for i in range(12))
+
+
+def test_words_of_odd_texts():
+    for text in ("", " ", "a", " a  b\n", "\x0b\x1cé\tü", "a b", "a b ", "x" * 5000 + " y", "\n\n", "a\nb"):
+        parsed = substring_dedup.parse_words(text)
+        own = words(text)
+        assert parsed.raw == b" ".join(own) and len(parsed.hashes) == len(own)
+        assert parsed.contents(np.arange(len(own)), np.arange(1, len(own) + 1)) == own
+    many = [f"{a}{b}" for a in "abcxyz" for b in range(3000)] + ["a", "aa", "aaa", "\x00", "\x00\x00"]
+    assert len(set(substring_dedup.parse_words(" ".join(many)).hashes.tolist())) == len(set(many))

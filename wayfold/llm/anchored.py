@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wayfold.llm.common import materialise, mix, ranges, release, slices, texts_of
+from wayfold.llm.common import materialise, mix, ranges, release, skew_join, slices, texts_of
 
 #: Rows are known by a hash of id and text: a repeated row is the same document, and one id may have several texts.
 #: One document in HEAVY_SAMPLE is looked at to find anchors so common that they must not meet in one task; an anchor is
@@ -41,11 +41,13 @@ class Parsed:
 
     hashes: np.ndarray
     raw: bytes
-    begins: list[int] | None = None
-    ends: list[int] | None = None
+    begins: np.ndarray | None = None
+    ends: np.ndarray | None = None
 
-    def content(self, a: int, b: int) -> bytes:
-        return self.raw[a:b] if self.ends is None else self.raw[self.begins[a]: self.ends[b - 1]]
+    def contents(self, a: np.ndarray, b: np.ndarray) -> list[bytes]:
+        if self.ends is not None:
+            a, b = self.begins[a], self.ends[b - 1]
+        return [self.raw[x:y] for x, y in zip(a.tolist(), b.tolist())]
 
 
 @dataclass(frozen=True)
@@ -161,7 +163,7 @@ def units(parsed: Parsed, marks: np.ndarray, alphabet: Alphabet) -> Iterator[Uni
         step, single = ranges(times), np.repeat(hot, times)
         start, anchor, key = np.repeat(start, times) + step, np.repeat(anchor, times) - step, np.repeat(key, times)
         n = np.where(single, 1, np.repeat(n, times))
-        content = [parsed.content(a, b) for a, b in zip(start.tolist(), (start + n + alphabet.window - 1).tolist())]
+        content = parsed.contents(start, start + n + alphabet.window - 1)
         if single.any():
             own = np.fromiter((xxhash.xxh64_intdigest(c) if s else 0 for c, s in zip(content, single)), np.uint64, len(content))
             key = np.where(single, own.view(np.int64), key)
@@ -185,10 +187,13 @@ def marks_of(batch: pa.RecordBatch, i: int) -> np.ndarray:
     return np.unique(column[i].values.to_numpy(zero_copy_only=False)) if column[i].is_valid else np.zeros(0, np.int64)
 
 
-def distinct_contexts(docs: DataFrame, marks: DataFrame, alphabet: Alphabet) -> DataFrame:
-    """`(key, content binary, n_windows, anchor, doc_id, row, start)`: every distinct content of a unit with its first document and
-    its first place there. The aggregate combines before the shuffle, so a passage in a third of all documents is a few
-    rows by then. A single window of a crowded anchor has nothing to be searched in: a 128-bit digest stands for it, and
+#: What tells contents apart.
+CONTENT = ("key", "content", "n_windows", "anchor")
+
+
+def unit_rows(docs: DataFrame, marks: DataFrame, alphabet: Alphabet) -> DataFrame:
+    """`(key, content binary, n_windows, anchor, doc_id, row, start)`: every distinct content of a unit of each document with its
+    first place there. A single window of a crowded anchor has nothing to be searched in: a 128-bit digest stands for it, and
     `n_windows` is 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,10 +216,22 @@ def distinct_contexts(docs: DataFrame, marks: DataFrame, alphabet: Alphabet) ->
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names)
 
     rows = with_marks(docs, marks, "inner")
-    rows = rows.mapInArrow(run, "key long, content binary, n_windows int, anchor int, doc_id long, row long, start int")
-    return rows.groupBy("key", "content", "n_windows", "anchor").agg(
-        F.min("doc_id").alias("doc_id"), F.min_by("row", "doc_id").alias("row"), F.min_by("start", "doc_id").alias("start")
-    )
+    return rows.mapInArrow(run, "key long, content binary, n_windows int, anchor int, doc_id long, row long, start int")
+
+
+def distinct_contexts(units_: DataFrame) -> DataFrame:
+    """Every distinct content with its first document and place: by id, and for rows that share an id by their hash, the same
+    order for all contents. The aggregate combines before the shuffle, so a passage in a third of all documents is
+    a few rows by then."""
+    first = units_.groupBy(*CONTENT).agg(F.min(F.struct("doc_id", "row", "start")).alias("first"))
+    return first.select(*CONTENT, "first.*")
+
+
+def twins(docs: DataFrame) -> DataFrame:
+    """`(row)`: rows that share their id with another text; written."""
+    ids = docs.select("doc_id", "row").distinct()
+    shared = ids.groupBy("doc_id").count().where(F.col("count") > 1).select("doc_id")
+    return materialise(skew_join(ids, shared, ["doc_id"]).select("row"))
 
 
 def sharded(contexts: DataFrame, marks: DataFrame) -> DataFrame:

@@ -3,31 +3,60 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wayfold.llm import anchored
-from wayfold.llm.common import slices, texts_of
+from wayfold.llm.common import materialise, mix, slices, texts_of
 
 #: Words of a window, and of its anchor.
 WINDOW, GRAM = 13, 5
 
 
-def parse_words(words: list[bytes]) -> anchored.Parsed:
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    begins = ends - np.array([len(w) for w in words], dtype=np.int64)
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    return anchored.Parsed(hashes, b" ".join(words), begins.tolist(), ends.tolist())
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Base of the polynomial word hash; odd, so that it has an inverse.
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse for texts of up to `size` bytes; those of long texts are not kept."""
+    size = 1 << max(12, (size - 1).bit_length())
+    return _kept_powers(size) if size <= 1 << 20 else _kept_powers.__wrapped__(size)
+
+
+@cache
+def _kept_powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, both modulo 2 to the 64."""
+    inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
+    return tuple(np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(size - 1, b, np.uint64)])) for b in (_BASE, inverse))
+
+
+def parse_words(text: str) -> anchored.Parsed:
+    """Words cut at ASCII white space and hashed byte array-wise; `raw` has them joined by one space. A word's hash is that of
+    its bytes as a polynomial, from running sums over the text."""
+    raw = text.encode()
+    space = _SPACE[np.frombuffer(raw, np.uint8)]
+    if space.any() and (space[0] or space[-1] or raw.count(b" ") != int(space.sum()) or (space[1:] & space[:-1]).any()):
+        raw = b" ".join(raw.split())
+        space = np.frombuffer(raw, np.uint8) == 32
+    if not raw:
+        return anchored.Parsed(np.zeros(0, np.uint64), raw, np.zeros(0, np.int64), np.zeros(0, np.int64))
+    gaps = np.flatnonzero(space)
+    begins, ends = np.concatenate([[0], gaps + 1]), np.append(gaps, len(raw))
+    power, inverse = _powers(len(raw))
+    total = np.concatenate([[np.uint64(0)], np.cumsum((np.frombuffer(raw, np.uint8).astype(np.uint64) + np.uint64(1)) * power[: len(raw)])])
+    return anchored.Parsed(mix((total[ends] - total[begins]) * inverse[begins]), raw, begins, ends)
 
 
 def alphabet(window: int = WINDOW) -> anchored.Alphabet:
-    return anchored.Alphabet(lambda text: parse_words(text.encode().split()), window, min(GRAM, window))
+    return anchored.Alphabet(parse_words, window, min(GRAM, window))
 
 
 class WaveletMatrix:
@@ -131,6 +160,16 @@ def _indexed(contexts: DataFrame, window: int) -> DataFrame:
     return anchored.index_shards(contexts, masks)
 
 
+def _with_twins(found: DataFrame, contexts: DataFrame, docs: DataFrame, marks: DataFrame, letters: anchored.Alphabet) -> DataFrame:
+    """Also gives the mask of a content to rows that share the id, but not the text, of its first document: it was
+    found against smaller ids, which are the same for them."""
+    found = materialise(found)
+    held = contexts.select(*anchored.CONTENT, "doc_id", F.col("row").alias("first_row"), F.col("start").alias("first_start"))
+    own = anchored.unit_rows(docs, marks, letters).join(held, [*anchored.CONTENT, "doc_id"]).where("row <> first_row")
+    masks = found.select(F.col("row").alias("first_row"), F.col("start").alias("first_start"), "mask")
+    return found.unionByName(own.join(masks, ["first_row", "first_start"]).select("row", "start", "mask"))
+
+
 def dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, carry: list[str] | None = None
 ) -> DataFrame:
@@ -139,32 +178,34 @@ def dedup(
     out; `intervals` are their maximal runs, `kept_text` the other words joined by one space.
 
     All decisions are on the input. Null or empty text: no words. Repeated rows get the same
-    result; of rows that share an id but not a text, one counts as the earlier. Rows with a null id are never changed
+    result; so do rows that share an id but not a text: none of them is earlier than another. Rows with a null id are never changed
     and change nothing. Words are compared by 64-bit hashes, so windows by 13 of them. Extra columns are ignored but for those in `carry`, returned as the struct `rest`."""
     docs = anchored.keyed(docs, id_col, text_col, carry)
     letters = alphabet(window)
     known = docs.where("doc_id is not null").drop("rest")
     marks = anchored.mark_spans(known, letters)
-    contexts = anchored.sharded(anchored.distinct_contexts(known, marks, letters), marks)
-    masks = anchored.firsts(_indexed(contexts, window))
+    contexts = anchored.sharded(anchored.distinct_contexts(anchored.unit_rows(known, marks, letters)), marks)
+    found = _indexed(contexts, window)
+    same = anchored.twins(known)
+    if not same.isEmpty():
+        found = _with_twins(found, contexts, known.join(same, "row", "left_semi"), marks, letters)
+    masks = anchored.firsts(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 128):
             counts, kept, cut = [], [], []
             for i, text in enumerate(texts_of(batch)):
-                words = text.encode().split()
+                parsed = parse_words(text)
                 gone = np.zeros(0, np.int64)
                 if batch.column("marks")[i].is_valid:
-                    found = anchored.units(parse_words(words), anchored.marks_of(batch, i), letters)
+                    found = anchored.units(parsed, anchored.marks_of(batch, i), letters)
                     gone = anchored.covered_windows(found, anchored.first_masks(batch, i), False)
-                if len(gone):
-                    removed = anchored.removed_symbols(len(words), gone, window)
-                    cut.append([{"start": a, "stop": b} for a, b in anchored.runs(removed).tolist()])
-                    kept.append(b" ".join([w for w, r in zip(words, removed.tolist()) if not r]))
-                else:
-                    cut.append([])
-                    kept.append(b" ".join(words))
-                counts.append(len(words))
+                counts.append(len(parsed.hashes))
+                runs = anchored.runs(anchored.removed_symbols(len(parsed.hashes), gone, window)) if len(gone) else np.zeros((0, 2), np.int64)
+                cut.append([{"start": a, "stop": b} for a, b in runs.tolist()])
+                left = np.concatenate([[0], runs.reshape(-1), [len(parsed.hashes)]]).reshape(-1, 2)
+                left = left[left[:, 0] < left[:, 1]]
+                kept.append(b" ".join(parsed.contents(left[:, 0], left[:, 1])) if len(runs) else parsed.raw)
             columns = [
                 batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array([k.decode() for k in kept], pa.string()),
                 pa.array(cut, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))),

@@ -76,8 +76,8 @@ def left_classes(members: list[int], contents: list[bytes], anchor: list[int], r
     return [c for c in classes.values() if len(c) > 1]
 
 
-def covered(keys: list[int], contents: list[bytes], n_windows: list[int], anchor: list[int], place: list[tuple[int, int]], window: int) -> list[bytes]:
-    """For every context a bit mask of its windows that also start at an earlier place (document, byte of the anchor).
+def covered(keys: list[int], contents: list[bytes], n_windows: list[int], anchor: list[int], place: list[tuple[int, int, int]], window: int) -> list[bytes]:
+    """For every context a bit mask of its windows that also start at an earlier place (document, row, byte of the anchor).
 
     A window reaches `reach` bytes before the anchor and needs a common prefix of `window - reach` after it: it belongs to
     the tree node whose depth allows that and whose parent's does not. Inside a node, the left-extension test decides:
@@ -133,13 +133,13 @@ def repeats(keys: list[int], contents: list[bytes], anchor: list[int], window: i
             classes, reach = longer, reach + 1
 
 
-_LISTS = ("key", "content", "n_windows", "anchor", "doc_id", "start")
+_LISTS = ("key", "content", "n_windows", "anchor", "doc_id", "row", "start")
 
 
 def _indexed(contexts: DataFrame, window: int) -> DataFrame:
     def masks(rows: pa.Table) -> list[bytes]:
-        key, content, n, anchor, doc, start = (rows.column(c).to_pylist() for c in _LISTS)
-        return covered(key, content, n, anchor, [(d, s + a) for d, s, a in zip(doc, start, anchor)], window)
+        key, content, n, anchor, doc, row, start = (rows.column(c).to_pylist() for c in _LISTS)
+        return covered(key, content, n, anchor, [(d, r, s + a) for d, r, s, a in zip(doc, row, start, anchor)], window)
 
     return anchored.index_shards(contexts, masks)
 
@@ -150,10 +150,10 @@ def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     anchors, whose windows are compared one by one, are left to `dedup`."""
     docs, letters = anchored.keyed(docs, id_col, text_col).where("doc_id is not null"), alphabet(window)
     marks = anchored.mark_spans(docs, letters)
-    contexts = anchored.sharded(anchored.distinct_contexts(docs, marks, letters), marks)
+    contexts = anchored.sharded(anchored.distinct_contexts(anchored.unit_rows(docs, marks, letters)), marks)
 
     def run(rows: pa.Table) -> pa.Table:
-        key, content, _, anchor, doc, start = (rows.column(c).to_pylist() for c in _LISTS)
+        key, content, _, anchor, doc, _, start = (rows.column(c).to_pylist() for c in _LISTS)
         out: list[tuple[str, int, int, int]] = []
         for i, (reach, depth, members) in enumerate(repeats(key, content, anchor, window)):
             name = f"{key[members[0]]}-{i}"
@@ -170,13 +170,13 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     of `window` bytes that also starts earlier (smaller id, or same document and earlier) are taken out; overlaps count,
     and all is judged on the input. `spans` are the maximal removed runs.
 
-    Null or empty text: no bytes. Repeated rows are one document and get the same result; of rows that share an id but
-    not a text, one counts as the earlier. Rows with a null id are never changed and change nothing. Bytes are compared
+    Null or empty text: no bytes. Repeated rows are one document and get the same result; rows that share an id but not a text
+    are documents in the order of a hash of their texts. Rows with a null id are never changed and change nothing. Bytes are compared
     themselves (windows of crowded anchors by 128-bit digests). Extra columns are ignored."""
     docs, letters = anchored.keyed(docs, id_col, text_col), alphabet(window)
     known = docs.where("doc_id is not null")
     marks = anchored.mark_spans(known, letters)
-    contexts = anchored.sharded(anchored.distinct_contexts(known, marks, letters), marks)
+    contexts = anchored.sharded(anchored.distinct_contexts(anchored.unit_rows(known, marks, letters)), marks)
     masks = anchored.firsts(_indexed(contexts, window))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
