@@ -171,3 +171,31 @@ def test_blend_ramps_and_holds(spark):
     delta = F.struct(*[F.lit(v).alias(n) for n, v in zip(POSE, (0.4, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0), strict=True)])
     out = imu.blend_corrections(spark.createDataFrame(poses), spark.createDataFrame(c).withColumn("delta", delta)).toPandas().sort_values("idx")
     assert np.allclose(out.x - np.arange(8.0), [0, 0, 0.2, 0.4, 0.4, 0.4, 0, 0])
+
+
+def test_selection_hops_over_chunks_without_a_kept_row(spark):
+    """A vehicle that stands still for many chunks, stamps that go back, and rows of which nothing is ever kept again."""
+    rng = np.random.default_rng(4)
+    parts = [walk("a", 150, 3), walk("b", 90, 4)]
+    still = pd.concat([parts[0].iloc[[-1]]] * 200, ignore_index=True)
+    parts.insert(1, still.assign(stamp=still.stamp.iloc[0] + 0.1 * np.arange(1, 201), x=still.x + 0.01 * rng.uniform(size=200)))
+    tail = parts[0].assign(stamp=parts[0].stamp + parts[1].stamp.max())
+    route = pd.concat([*parts[:2], tail, parts[1].assign(stamp=parts[1].stamp + 1000.0), parts[2]], ignore_index=True)
+    route["idx"] = np.arange(len(route))
+    df = spark.createDataFrame(route)
+    ch = Chunks.plan(df, ("drive",), "stamp", 20)
+    got = selection.keyframes(df, 3.0, 0.3, chunks=ch).toPandas()
+    back = route.assign(stamp=np.where(route.idx % 131 > 100, route.stamp - 40.0, route.stamp))
+    thin = selection.decimate(spark.createDataFrame(back), 2.0, chunks=Chunks.plan(spark.createDataFrame(back), ("drive",), "idx", 20)).toPandas()
+    assert not ch.whole
+    for drive in ("a", "b"):
+        kept, spaced = [], []
+        for r in route[route.drive == drive].sort_values(["stamp", "idx"]).itertuples():
+            pose = np.array([r.x, r.y, r.z, r.qw, r.qx, r.qy, r.qz])
+            if not kept or selection._far(pose[None], kept[-1][1], 3.0, 0.3)[0]:
+                kept.append((r.idx, pose))
+        for r in back[back.drive == drive].sort_values("idx").itertuples():
+            if not spaced or r.stamp - spaced[-1][1] >= 2.0 or r.stamp < spaced[-1][1]:
+                spaced.append((r.idx, r.stamp))
+        assert sorted(got[got.drive == drive].idx) == [k[0] for k in kept]
+        assert sorted(thin[thin.drive == drive].idx) == [k[0] for k in spaced]

@@ -154,3 +154,12 @@ def test_worst_segments_come_from_few_contenders(spark):
     assert [tuple(r) for r in got[["drive", "rank", "first_rn", "last_rn"]].itertuples(index=False)] == want
     assert sections._contenders(table.where("not isnan(translation_percent)"), 6, ("drive", "space")).count() < n / 20
     assert sections.worst_segments(table.limit(0), 3).count() == 0
+
+
+def test_quantiles_of_equal_values(spark):
+    """Ten million rows of one value among others: counts per task meet, not the rows; small value chunks."""
+    same = spark.range(0, 10_000_000, 1, 64).selectExpr("'a' AS drive", "2.5D AS e")
+    other = spark.range(2_000_000).selectExpr("'a' AS drive", "(id % 2000) / 100.0D AS e")
+    row = metrics.exact_quantiles(same.unionByName(other), ("drive",), "e", {"low": 0.01, "p50": 0.5, "p90": 0.9, "p99": 0.99}, rows=100).first()
+    values = np.concatenate([np.full(10_000_000, 2.5), np.arange(2_000_000) % 2000 / 100.0])
+    assert [row.low, row.p50, row.p90, row.p99] == pytest.approx(np.quantile(values, [0.01, 0.5, 0.9, 0.99]))

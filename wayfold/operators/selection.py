@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.rigid import POSE_FIELDS
-from ..schemas import columns
+from .hops import Rule, select_kept
 from .ordered import Chunks, row_numbers
 from .scan import FOLD_ROWS, chunked_fold
 
@@ -42,22 +42,27 @@ def keyframes(
 ) -> DataFrame:
     """First pose of a key, then each pose that moved or turned enough from the last kept one."""
     chunks = chunks or Chunks.plan(poses, keys, "stamp", FOLD_ROWS)
-    names = list(POSE_FIELDS)
+    return select_kept(poses, keys, ("stamp", "idx"), _pose_rule(min_translation, min_rotation), chunks)
 
-    def fold(pdf: pd.DataFrame, state: dict | None):
-        rows = pdf[names].to_numpy(float)
-        kept, at = [], 0
-        if state is None:
-            kept, last, at = [0], rows[0], 1
-        else:
-            last = np.array([state[n] for n in names], dtype=float)
-        while (hit := next_keyframe(rows, at, last, min_translation, min_rotation)) < len(rows):
-            kept.append(hit)
-            last, at = rows[hit], hit + 1
-        return pdf.iloc[kept], dict(zip(names, map(float, last), strict=True))
 
-    state = T.StructType([T.StructField(n, T.DoubleType()) for n in names])
-    return chunked_fold(poses, keys, ("stamp", "idx"), fold, state, poses.schema, chunks)
+def _pose_rule(min_t: float, min_r: float) -> Rule:
+    """Poses far from the last kept one. Bounds: the box of the positions, a middle attitude and the largest turn from it."""
+
+    def turn(q: np.ndarray, of: np.ndarray) -> np.ndarray:
+        return 2.0 * np.arccos(np.clip(np.abs(q @ of), 0.0, 1.0))
+
+    def bound(rows: np.ndarray) -> np.ndarray:
+        middle = rows[len(rows) // 2, 3:]
+        return np.concatenate([rows[:, :3].min(axis=0), rows[:, :3].max(axis=0), middle, [turn(rows[:, 3:], middle).max()]])
+
+    def may(bounds: np.ndarray, last: np.ndarray) -> np.ndarray:
+        if not len(bounds):
+            return np.zeros(0, bool)
+        reach = np.linalg.norm(np.maximum(np.abs(last[:3] - bounds[:, :3]), np.abs(last[:3] - bounds[:, 3:6])), axis=1)
+        near = (reach < min_t * (1 - 1e-12)) & (turn(bounds[:, 6:10], last[3:]) + bounds[:, 10] < min_r - 1e-6)
+        return ~near  # a bound that is not a number excludes nothing
+
+    return Rule(tuple(POSE_FIELDS), lambda rows, last: _far(rows, last, min_t, min_r), bound, may)
 
 
 def decimate(
@@ -67,25 +72,7 @@ def decimate(
     """Rows at least `min_dt` after the last kept one, or earlier than it; then the newest `cap` rows."""
     chunks = chunks or Chunks.plan(rows, keys, order, FOLD_ROWS)
 
-    def fold(pdf: pd.DataFrame, state: dict | None):
-        t = pdf["stamp"].to_numpy(float)
-        kept = []
-        last = None if state is None else float(state["stamp"])
-        at = 0
-        while at < len(t):
-            if last is None:
-                hit = at
-            else:
-                ok = (t[at:at + 4096] - last >= min_dt) | (t[at:at + 4096] < last)
-                if not ok.any():
-                    at += 4096
-                    continue
-                hit = at + int(ok.argmax())
-            kept.append(hit)
-            last, at = t[hit], hit + 1
-        return pdf.iloc[kept], {"stamp": last}
-
-    out = chunked_fold(rows, keys, (order,), fold, columns("stamp double"), rows.schema, chunks)
+    out = select_kept(rows, keys, (order,), _stamp_rule(min_dt), chunks)
     if cap is None:
         return out
     numbered = row_numbers(out, keys, (order,), "_rn", chunks)
@@ -93,6 +80,18 @@ def decimate(
     return numbered.join(total, list(keys)).filter(F.col("_rn") > F.col("_total") - cap).drop("_rn", "_total")
 
 
+def _stamp_rule(min_dt: float) -> Rule:
+    """Stamps at least `min_dt` after the last kept one, or before it. Bounds: the smallest and the largest stamp."""
+
+    def may(bounds: np.ndarray, last: np.ndarray) -> np.ndarray:
+        return (bounds[:, 0] < last[0]) | (bounds[:, 1] - last[0] >= min_dt) if len(bounds) else np.zeros(0, bool)
+
+    def far(rows: np.ndarray, last: np.ndarray) -> np.ndarray:
+        return (rows[:, 0] - last[0] >= min_dt) | (rows[:, 0] < last[0])
+
+    return Rule(("stamp",), far, lambda rows: np.array([rows[:, 0].min(), rows[:, 0].max()]), may)
+
+
 def match_ids(centers: np.ndarray, known: np.ndarray, known_ids: Sequence[int], reach: float) -> list[int]:
     """Ids for one frame's peaks in vote order: nearest free known peak within `reach`, else the lowest free id."""
     ids, owners = np.zeros(len(centers), np.int64), np.asarray(known_ids, np.int64)
