@@ -219,12 +219,22 @@ def unit_rows(docs: DataFrame, marks: DataFrame, alphabet: Alphabet) -> DataFram
     return rows.mapInArrow(run, "key long, content binary, n_windows int, anchor int, doc_id long, row long, start int")
 
 
-def distinct_contexts(units_: DataFrame) -> DataFrame:
+def distinct_contexts(docs: DataFrame, marks: DataFrame, alphabet: Alphabet) -> tuple[DataFrame, DataFrame | None]:
     """Every distinct content with its first document and place: by id, and for rows that share an id by their hash, the same
-    order for all contents. The aggregate combines before the shuffle, so a passage in a third of all documents is
-    a few rows by then."""
-    first = units_.groupBy(*CONTENT).agg(F.min(F.struct("doc_id", "row", "start")).alias("first"))
-    return first.select(*CONTENT, "first.*")
+    order for all contents; and those rows of `docs`, if there are any. The aggregate combines before the shuffle, so a passage in
+    a third of all documents is a few rows by then. Rows that share an id are reduced to one per content and id before, so that the
+    aggregate of all is over numbers and meets no ties but between equal rows."""
+    same = twins(docs)
+    if same.isEmpty():
+        every, shared = unit_rows(docs, marks, alphabet), None
+    else:
+        shared = docs.join(same, "row", "left_semi")
+        first = unit_rows(shared, marks, alphabet).groupBy(*CONTENT, "doc_id").agg(F.min(F.struct("row", "start")).alias("first"))
+        every = unit_rows(docs.join(same, "row", "left_anti"), marks, alphabet).unionByName(first.select(*CONTENT, "doc_id", "first.*"))
+    found = every.groupBy(*CONTENT).agg(
+        F.min("doc_id").alias("doc_id"), F.min_by("row", "doc_id").alias("row"), F.min_by("start", "doc_id").alias("start")
+    )
+    return found, shared
 
 
 def twins(docs: DataFrame) -> DataFrame:

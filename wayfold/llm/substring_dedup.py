@@ -184,11 +184,11 @@ def dedup(
     letters = alphabet(window)
     known = docs.where("doc_id is not null").drop("rest")
     marks = anchored.mark_spans(known, letters)
-    contexts = anchored.sharded(anchored.distinct_contexts(anchored.unit_rows(known, marks, letters)), marks)
+    contexts, shared = anchored.distinct_contexts(known, marks, letters)
+    contexts = anchored.sharded(contexts, marks)
     found = _indexed(contexts, window)
-    same = anchored.twins(known)
-    if not same.isEmpty():
-        found = _with_twins(found, contexts, known.join(same, "row", "left_semi"), marks, letters)
+    if shared is not None:
+        found = _with_twins(found, contexts, shared, marks, letters)
     masks = anchored.firsts(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -150,7 +150,7 @@ def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     anchors, whose windows are compared one by one, are left to `dedup`."""
     docs, letters = anchored.keyed(docs, id_col, text_col).where("doc_id is not null"), alphabet(window)
     marks = anchored.mark_spans(docs, letters)
-    contexts = anchored.sharded(anchored.distinct_contexts(anchored.unit_rows(docs, marks, letters)), marks)
+    contexts = anchored.sharded(anchored.distinct_contexts(docs, marks, letters)[0], marks)
 
     def run(rows: pa.Table) -> pa.Table:
         key, content, _, anchor, doc, _, start = (rows.column(c).to_pylist() for c in _LISTS)
@@ -176,7 +176,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     docs, letters = anchored.keyed(docs, id_col, text_col), alphabet(window)
     known = docs.where("doc_id is not null")
     marks = anchored.mark_spans(known, letters)
-    contexts = anchored.sharded(anchored.distinct_contexts(anchored.unit_rows(known, marks, letters)), marks)
+    contexts = anchored.sharded(anchored.distinct_contexts(known, marks, letters)[0], marks)
     masks = anchored.firsts(_indexed(contexts, window))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
