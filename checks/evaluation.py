@@ -250,12 +250,6 @@ def align_first_se3(spark, sf):
     )
 
 
-@query("align_rigid_se3")
-def align_rigid_se3(spark, sf):
-    _, p = near_pairs(spark, sf)
-    return rounded(align.rigid_summary_se3(align.align_rigid_se3(p)))
-
-
 @query(
     "rigid_summary",
     f"WITH {PAIRS}, {FIT2} SELECT drive, {r('tx', 'translation_x')}, {r('ty', 'translation_y')}, "
@@ -355,12 +349,6 @@ def rpe_planar(spark, sf):
     )
 
 
-@query("rpe_spatial")
-def rpe_spatial(spark, sf):
-    ch, p = near_pairs(spark, sf)
-    return rounded(metrics.rpe(p, DELTA, chunks=ch))
-
-
 # --- KITTI ---------------------------------------------------------------------------------------------
 
 
@@ -760,36 +748,6 @@ def evaluate_planar_kitti(spark, sf):
     return rounded(kitti, 3)
 
 
-def _compared(spark, sf):
-    ch, g, e = data(spark, sf)
-    pairs = association.associate_unique(e, g, GAP, chunks=ch).persist()
-    route = metrics.cumulative_distance(g, chunks=ch).select(
-        "drive", F.col("stamp").alias("gt_stamp"), F.col("idx").alias("gt_idx"), "distance"
-    )
-    return evaluate.compare_pairs(pairs, route, DELTA, chunks=ch)
-
-
-@query("compare_ate")
-def compare_ate(spark, sf):
-    return rounded(_compared(spark, sf)["ate"])
-
-
-@query("compare_kitti")
-def compare_kitti(spark, sf):
-    return rounded(_compared(spark, sf)["kitti"])
-
-
-@query("compare_transforms")
-def compare_transforms(spark, sf):
-    return rounded(_compared(spark, sf)["transforms"])
-
-
-@query("metrics_document")
-def metrics_document(spark, sf):
-    c = _compared(spark, sf)
-    return sinks.metrics_document(c["ate"], c["rpe"], c["kitti"]).select("drive", F.to_json(F.struct("ate", "rpe", "kitti")).alias("document"))
-
-
 _POSE_SQL = (
     f"WITH {UNIQUE}, {FIT2.replace('FROM pairs', 'FROM uniq')}, rt AS (SELECT drive, gt_idx, sum(coalesce(s, 0e0)) OVER (PARTITION BY drive ORDER BY stamp, gt_idx ROWS UNBOUNDED PRECEDING) AS distance FROM ("
     "SELECT drive, idx AS gt_idx, stamp, sqrt((x - lag(x) OVER w)**2 + (y - lag(y) OVER w)**2 + (z - lag(z) OVER w)**2) AS s FROM gt WINDOW w AS (PARTITION BY drive ORDER BY stamp, idx))), "
@@ -800,15 +758,6 @@ _POSE_SQL = (
 )
 
 
-def _pose_table(spark, sf):
-    return sinks.pose_table(_compared(spark, sf)["errors"].withColumn("estimator", F.lit(ODOM)), signals(spark, sf), 1000.0)
-
-
-@query("pose_table")
-def pose_table(spark, sf):
-    return rounded(_pose_table(spark, sf))
-
-
 @query("pose_table_columns", _POSE_SQL)
 def pose_table_columns(spark, sf):
     ch = V.time_chunks(spark, sf)
@@ -855,11 +804,6 @@ def plot_kitti(spark, sf):
     return rounded(sinks.kitti_plot(k))
 
 
-@query("plot_path")
-def plot_path(spark, sf):
-    return rounded(sinks.path_plot(_pose_table(spark, sf)))
-
-
 @query(
     "lock_map_alignment",
     GT.join(["WITH ", ""]) + f""", c AS (SELECT g.drive, g.idx, g.stamp, g.x AS gx, g.y AS gy, g.z AS gz, g.yaw AS gyaw, l.stamp AS ls, l.idx AS li, n.stamp AS ns, n.idx AS ni

@@ -4,8 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.helpers import circle, moved, walk, yaw_poses
+from wayfold.formats import FILTER, ODOM
 from wayfold.operators import align, association, metrics, sections
 from wayfold.operators.ordered import Chunks, lag_row, row_numbers, running
+from wayfold.plans import evaluate
+from wayfold.sources import sinks
 
 
 def pairs_of(spark, gt, est, max_dt=0.05, chunks=None):
@@ -163,3 +166,35 @@ def test_quantiles_of_equal_values(spark):
     row = metrics.exact_quantiles(same.unionByName(other), ("drive",), "e", {"low": 0.01, "p50": 0.5, "p90": 0.9, "p99": 0.99}, rows=100).first()
     values = np.concatenate([np.full(10_000_000, 2.5), np.arange(2_000_000) % 2000 / 100.0])
     assert [row.low, row.p50, row.p90, row.p99] == pytest.approx(np.quantile(values, [0.01, 0.5, 0.9, 0.99]))
+
+
+def test_two_estimators_compare_as_each_alone(spark):
+    """Odometry and filter in one job give what each gives alone; signals stand on the filter's rows only."""
+    gt = pd.concat([walk("a", 300, 1), walk("b", 260, 2)])
+    near, far = moved(gt, 0.2, 3.0, 1.0), moved(gt, -0.1, -2.0, 5.0)
+    truth = spark.createDataFrame(gt)
+    pairs = {
+        ODOM: association.associate_unique(spark.createDataFrame(near), truth),
+        FILTER: association.interpolate_split(spark.createDataFrame(far.assign(stamp=far.stamp + 0.01)), truth),
+    }
+    route = metrics.cumulative_distance(truth).select(
+        "drive", F.col("stamp").alias("gt_stamp"), F.col("idx").alias("gt_idx"), "distance"
+    )
+    both = evaluate.compare_estimators(pairs, route)
+    alone = evaluate.compare_pairs(pairs[FILTER], route)
+    order = ["drive", "alignment"]
+    got = both["ate"].filter(F.col("estimator") == FILTER).toPandas().sort_values(order).reset_index(drop=True)
+    want = alone["ate"].toPandas().sort_values(order).reset_index(drop=True)
+    pd.testing.assert_frame_equal(got[want.columns], want, atol=1e-6)
+    signals = spark.createDataFrame(gt[["drive", "idx"]].assign(**{
+        c: 1.5 for c in ("err_yaw", *evaluate.SIGNALS) if c != "err_yaw_filter"
+    }))
+    table = sinks.pose_table(both["errors"], signals).toPandas()
+    assert len(table.columns) == 56 and table.distance_m.notna().all()
+    of_filter = table.estimator == FILTER
+    assert (table[of_filter].bg_x == 1.5).all() and table[~of_filter].bg_x.isna().all() and 0 < of_filter.sum() < len(table)
+
+
+def test_no_estimator_is_an_error():
+    with pytest.raises(ValueError):
+        evaluate.compare_estimators({})

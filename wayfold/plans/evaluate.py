@@ -11,6 +11,7 @@ from ..formats import FILTER
 from ..functions import rigid
 from ..operators import align, association, metrics, sections
 from ..operators.ordered import Chunks
+from ..session import cut
 
 DRIVE = ("drive",)
 
@@ -53,7 +54,8 @@ def compare_pairs(
     """Spatial comparison of associated pairs.
 
     Returns `ate` (raw / first / se2 / se3), `rpe`, `segments` (both spaces), `kitti`, `transforms` and
-    `errors` per pose. `route` (`gt_stamp, gt_idx, distance`) is the distance along the full truth route.
+    `errors` per pose. `route` (`gt_stamp, gt_idx, distance`) is the distance along the full truth route; it may have
+    fewer keys than the pairs (one truth for several estimators).
     """
     chunks = chunks or Chunks.plan(pairs, keys, "stamp")
     se2, se3 = align.align_rigid_se2(pairs, keys), align.align_rigid_se3(pairs, keys)
@@ -80,6 +82,27 @@ def compare_pairs(
     }
 
 
+PAIR = ("stamp", "idx", "gt_stamp", "gt_idx", "est_idx", "est", "gt")
+
+
+def compare_estimators(
+    pairs: dict[str, DataFrame], route: DataFrame | None = None, delta_s: float = 1.0,
+    lengths: Sequence[float] = metrics.KITTI_LENGTHS, keys: Sequence[str] = DRIVE, chunks: Chunks | None = None,
+) -> dict[str, DataFrame]:
+    """`compare_pairs` of several estimators at once; its tables have the column `estimator` besides the keys.
+
+    The estimator is one more key of every reduction, so that two estimators cost one job of twice the rows. `errors` keep
+    `est_idx`, the estimate's source row, by which the signals of that row can be joined.
+    """
+    tagged = None
+    for name, df in pairs.items():
+        one = df.select(*keys, F.lit(name).alias("estimator"), *PAIR)
+        tagged = one if tagged is None else tagged.unionByName(one)
+    if tagged is None:
+        raise ValueError("no estimator to compare")
+    return compare_pairs(cut(tagged), route, delta_s, lengths, [*keys, "estimator"], chunks)
+
+
 def per_pose_errors(
     pairs: DataFrame, se2: DataFrame, se3: DataFrame, route: DataFrame | None = None, keys: Sequence[str] = DRIVE
 ) -> DataFrame:
@@ -113,7 +136,8 @@ def per_pose_errors(
     ).drop("_raw", "_se2", "_se3")
     if route is None:
         return out
-    return out.join(route.select(*on, "gt_stamp", "gt_idx", F.col("distance").alias("distance_m")), [*on, "gt_stamp", "gt_idx"])
+    shared = [*[k for k in on if k in route.columns], "gt_stamp", "gt_idx"]
+    return out.join(route.select(*shared, F.col("distance").alias("distance_m")), shared)
 
 
 SIGNALS = (
