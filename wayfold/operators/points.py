@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import rigid
-from ..functions.staging import computed
+from ..functions.staging import pinned
 from ..session import cut
 from .association import SAMPLE, clamp_bracketed, interpolate_clamped
 from .ordered import Chunks, asof, row_numbers
@@ -309,9 +309,9 @@ def deskew(
     moved = moved.withColumn("_rel", rigid.pose("_end.").between(rigid.pose("_at.")).struct())
     body = rigid.vec() if extrinsic is None else extrinsic.apply(rigid.vec())
     out = rigid.pose("_rel.").apply(body)
-    return moved.select(
-        *[c for c in points.columns if c not in ("x", "y", "z")], *[computed(c).alias(a) for a, c in zip("xyz", out, strict=True)]
-    )
+    kept = [c for c in points.columns if c not in ("x", "y", "z")]
+    moved = moved.select(*kept, *[c.alias(f"_new_{a}") for a, c in zip("xyz", out, strict=True)])
+    return pinned(moved, {a: F.col(f"_new_{a}") for a in "xyz"}).drop(*[f"_new_{a}" for a in "xyz"])
 
 
 def merge_scan_points(points: DataFrame, scan_poses: DataFrame, keys: Sequence[str] = SCAN) -> DataFrame:
@@ -357,7 +357,7 @@ def accumulate_in_view(
     hit = p.join(boxes, [*keys, "_tx", "_ty"])
     hit = hit.filter(F.col("_fn") == F.col("_own")) if not accumulate else hit.filter(F.col("_fn") >= F.col("_own"))
     local = rigid.pose("_p").inverse().apply(rigid.vec())
-    hit = hit.withColumns({f"b{a}": computed(c) for a, c in zip("xyz", local, strict=True)})
+    hit = pinned(hit, {f"b{a}": c for a, c in zip("xyz", local, strict=True)})
     hit = hit.filter(below_box(rigid.vec("b"), longitudinal, lateral, z_below))
     run = Window.partitionBy(*keys, "frame", "idx").orderBy("_fn")
     hit = hit.withColumn("_k", F.row_number().over(run)).filter(F.col("_fn") - F.col("_own") == F.col("_k") - 1)
