@@ -897,3 +897,46 @@ def planar_projection(spark, sf):
     ch, g, _ = data(spark, sf)
     p = trajectories.planar(g)
     return rounded(p.select("drive", "idx", "x", "y", F.sin("yaw").alias("yaw_sin")), 3)
+
+
+_LOCAL = "10e0 + cos(0.3e0)*x - sin(0.3e0)*y"
+
+
+@query(
+    "fn_limit_forward",
+    f"WITH {PAIRS}, m AS (SELECT *, {rot_columns('g', 'r')} FROM pairs), s AS (SELECT *, "
+    + ", ".join(f"{' + '.join(f'r{i}{k}*(e{a} - g{a})' for i, a in enumerate('xyz'))} AS u{k}" for k in range(3))
+    + " FROM m), h AS (SELECT *, greatest(-2e0, least(2e0, u0)) AS v FROM s) SELECT drive, idx, "
+    + ", ".join(r(f"g{a} + r{i}0*v + r{i}1*u1 + r{i}2*u2", a, 3) for i, a in enumerate("xyz"))
+    + f", abs(u0) > 2 AS held, {r('sin(eyaw)', 'yaw_sin', 3)} FROM h",
+)
+def fn_limit_forward(spark, sf):
+    """Estimates whose correction of the truth along the vehicle is held within 2 m."""
+    _, p = near_pairs(spark, sf)
+    g, e = rigid.pose("gt."), rigid.pose("est.")
+    p = p.withColumn("out", rigid.limit_forward(g, e, 2.0).struct())
+    out = p.select(
+        "drive", "idx", "out.x", "out.y", "out.z", (F.abs(g.between(e).t.x) > 2.0).alias("held"),
+        F.sin(rigid.yaw_of(rigid.pose("out.").q)).alias("yaw_sin"),
+    )
+    return rounded(out, 3)
+
+
+@query(
+    "fn_reframe",
+    f"WITH {GT} SELECT drive, idx, {r('floor(stamp) + (stamp - floor(stamp))', 'stamp', 3)}, {r(_LOCAL, 'x', 3)}, "
+    f"{r('-5e0 + sin(0.3e0)*x + cos(0.3e0)*y', 'y', 3)}, {r('z + 1e0', 'z', 3)}, {r('sin(yaw + 0.3e0)', 'yaw_sin', 3)}, {r('pitch', 'pitch')} FROM gt",
+)
+def fn_reframe(spark, sf):
+    """Poses of the local frame in the map frame, with stamps put together from seconds and nanoseconds."""
+    _, g, _ = data(spark, sf)
+    turn = rigid.yaw_quat(F.lit(0.3))
+    p = g.withColumn("out", rigid.reframe(rigid.pose(), rigid.Pose(rigid.lit_vec(10.0, -5.0, 1.0), turn)).struct())
+    whole = F.floor("stamp")
+    nanos = F.round((F.col("stamp") - whole) * 1.0e9).cast("long")
+    q = rigid.pose("out.").q
+    out = p.select(
+        "drive", "idx", trajectories.ros_seconds(whole, nanos).alias("stamp"), "out.x", "out.y", "out.z",
+        F.sin(rigid.yaw_of(q)).alias("yaw_sin"), rigid.rpy_of(q)[1].alias("pitch"),
+    )
+    return rounded(out, 3, pitch=4)

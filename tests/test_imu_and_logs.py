@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.helpers import POSE, walk, yaw_poses
-from wayfold.functions import scans
+from wayfold.functions import rigid, scans
 from wayfold.operators import imu, matchlog, selection
 from wayfold.operators.ordered import Chunks
 from wayfold.plans.registration import se3_exp_np
@@ -199,3 +199,26 @@ def test_selection_hops_over_chunks_without_a_kept_row(spark):
                 spaced.append((r.idx, r.stamp))
         assert sorted(got[got.drive == drive].idx) == [k[0] for k in kept]
         assert sorted(thin[thin.drive == drive].idx) == [k[0] for k in spaced]
+
+
+def test_corrections_are_limited(spark):
+    """Along the vehicle only, and to a length in both parts of the tangent."""
+    rows = pd.concat([
+        yaw_poses("p", [0.0], 1.0, 2.0, np.pi / 2).add_prefix("p_"), yaw_poses("f", [0.0], 0.5, 5.0, np.pi / 2 + 0.4, 0.1).add_prefix("f_"),
+    ], axis=1)
+    rows = spark.createDataFrame(rows)
+    df = rows.select(*[F.struct(*[F.col(f"{s}_{n}").alias(n) for n in POSE]).alias(s) for s in "pf"])
+    p, f = rigid.pose("p."), rigid.pose("f.")
+    df = df.withColumn("held", rigid.limit_forward(p, f, 1.0).struct())
+    df = df.withColumns({"back": p.between(rigid.pose("held.")).struct(), "free": rigid.limit_forward(p, f, -1.0).struct()})
+    row = df.first()
+    assert np.allclose([row.back.x, row.back.y, row.back.z], [1.0, 0.5, 0.1]) and np.isclose(2 * np.arcsin(row.back.qz), 0.4)
+    assert np.allclose(list(row.free), list(row.f))
+    for most, turn in ((9.0, 9.0), (0.5, 0.1)):
+        out = rigid.stage_clamp(df.select("p", "f"), f, p, most, turn, "out")
+        out = rigid.stage_se3_log(out.withColumn("d", p.between(rigid.pose("out.")).struct()), rigid.pose("d."), "xi").first()
+        moved, turned = np.linalg.norm(list(out.xi)[:3]), np.linalg.norm(list(out.xi)[3:])
+        if most > 1:
+            assert np.allclose(list(out.out), list(row.f)) and np.isclose(turned, 0.4)
+        else:
+            assert np.isclose(moved, 0.5) and np.isclose(turned, 0.1)

@@ -175,6 +175,23 @@ def rpy_of(q: Quat) -> tuple[Column, Column, Column]:
     return F.atan2(r21, r22), F.atan2(-r20, F.hypot(r00, r10)), F.atan2(r10, r00)
 
 
+def limit_forward(predicted: Pose, found: Pose, most: float) -> Pose:
+    """`found` with its correction along the vehicle (body x of `predicted`) held within `most` metres.
+
+    A negative or non-finite limit means none. The correction's other parts stay.
+    """
+    if not 0.0 <= most < float("inf"):
+        return found
+    step = predicted.between(found)
+    held = F.greatest(F.least(step.t.x, F.lit(float(most))), F.lit(-float(most)))
+    return predicted.mul(Pose(Vec(held, step.t.y, step.t.z), step.q))
+
+
+def reframe(p: Pose, transform: Pose) -> Pose:
+    """A pose of a local frame in the frame that `transform` leads to (map from local)."""
+    return transform.mul(p)
+
+
 def rotation_angle(q: Quat) -> Column:
     """In [0, pi]; stays accurate near zero."""
     return F.lit(2.0) * F.atan2(q.vec.norm(), F.abs(q.w))
@@ -276,6 +293,23 @@ def stage_se3_log(df: DataFrame, p: Pose, into: str) -> DataFrame:
     return let(df, steps, [n for n in steps if n != into])
 
 
+def stage_clamp(df: DataFrame, value: Pose, prior: Pose, translation: float, rotation: float, into: str) -> DataFrame:
+    """Pose struct `into`: `value`, with both parts of its tangent seen from `prior` shortened to the given lengths."""
+    p = f"_{into}_"
+    xi = twist(p + "x.")
+
+    def held(part: Vec, most: float) -> Vec:
+        n = part.norm()
+        return part.scale(F.when((n > most) & (n > 1.0e-12), F.lit(float(most)) / n).otherwise(1.0))
+
+    steps = {
+        p + "m": prior.between(value).struct(), **_se3_log_steps(pose(p + "m."), p + "l", p + "x"),
+        p + "y": Twist(held(xi.v, translation), held(xi.w, rotation)).struct(),
+        **_se3_exp_steps(twist(p + "y."), p + "g", p + "e"), into: prior.mul(pose(p + "e.")).struct(),
+    }
+    return let(df, steps, [n for n in steps if n != into])
+
+
 def stage_slerp(df: DataFrame, q0: Quat, q1: Quat, alpha: Column, into: str) -> DataFrame:
     """Quaternion columns `<into>qw ... <into>qz` at fraction `alpha` of the turn from q0 to q1."""
     p = f"_{into}_"
