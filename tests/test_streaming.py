@@ -152,3 +152,67 @@ def test_message_sink_takes_a_batch_again(spark, tmp_path):
     assert sink.read(spark, "pose_refine").count() == 2
     with pytest.raises(ValueError):
         message_sinks.MessageSink(str(tmp_path), {"other": message_sinks.pose_refine})
+
+
+class _Handle:
+    """State in memory that counts how often it is read."""
+
+    def __init__(self):
+        self.reads, self.timers, self.states = 0, set(), {}
+
+    def _state(self, name, *schemas):
+        handle = self
+
+        class State:
+            rows, entries = [], {}
+
+            def get(self):
+                handle.reads += 1
+                return iter(list(self.rows))
+
+            def put(self, rows):
+                self.rows = list(rows)
+
+            def iterator(self):
+                handle.reads += 1
+                return iter(list(self.entries.items()))
+
+            def updateValue(self, key, value):
+                self.entries = {**self.entries, key: value}
+
+            def removeKey(self, key):
+                self.entries = {k: v for k, v in self.entries.items() if k != key}
+
+            def clear(self):
+                self.rows, self.entries = [], {}
+
+        return State()
+
+    getListState = getMapState = _state
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+
+class _At:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getExpiryTimeInMs(self):
+        return self.ms
+
+    getCurrentWatermarkInMs = getExpiryTimeInMs
+
+
+def test_waiting_scans_are_judged_together(spark):
+    """However many scans the watermark passes, the state is read a few times."""
+    handle, n = _Handle(), 300
+    scans = pd.DataFrame({"idx": np.arange(n), "kind": "scan", "stamp": 1.0 + np.arange(n), "scan_start": 0.9 + np.arange(n)})
+    samples = pd.DataFrame({"idx": n, "kind": "imu", "stamp": 0.5 + np.arange(0, n, 3.0), "scan_start": np.nan})
+    wait = stateful.BoundedWait(0.5, 0.05, 3.0, 0.5, ["drive", "idx", "stamp", "scan_start", "status"], ["drive"])
+    wait.init(handle)
+    out = list(wait.handleInputRows(("a",), iter([scans, samples]), _At(0)))
+    clock = int((n + 100) * 1000)
+    for at in sorted(handle.timers):
+        out += wait.handleExpiredTimer(("a",), _At(clock), _At(at))
+    assert sorted(pd.concat(out).idx) == list(range(n)) and handle.reads < 20

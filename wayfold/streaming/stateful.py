@@ -478,12 +478,17 @@ def latest_only(batch: DataFrame, keys: Sequence[str] = ("drive",)) -> DataFrame
     ).select(*keys, "_r.*", "replaced")
 
 
+#: A scan that waits.
+_SCAN = columns("idx bigint, stamp double, scan_start double")
+
+
 class BoundedWait(Live):
-    """Scans that wait for the IMU, each with a timer at the end of its patience.
+    """Scans that wait for the IMU, with a timer at the end of the first one's patience.
 
     A scan is `ready` when a sample covers its end and the buffer reaches back to its start. Both are facts that stay true, so it
-    leaves at once. Else its timer fires when the watermark passes scan end + `wait_s`: then all samples that could have come
-    in time are there, and it is `behind` (no cover of the end) or `skipped` (the buffer does not reach back)."""
+    leaves at once and never enters the state. Else it leaves when the watermark passes scan end + `wait_s`: then all samples that
+    could have come in time are there, and it is `behind` (no cover of the end) or `skipped` (the buffer does not reach back).
+    A timer judges all scans that the watermark has passed together, so the state is read once a batch, not once a scan."""
 
     def __init__(self, wait_s: float, max_pair_dt: float, horizon_s: float, delay_s: float, names: Sequence[str], keys: Sequence[str]):
         super().__init__(Worker(), names, keys, ("stamp",))
@@ -492,10 +497,10 @@ class BoundedWait(Live):
     def init(self, handle) -> None:
         self.handle = handle
         self.samples = handle.getListState("samples", columns("stamp double"))
-        self.scans = handle.getMapState("scans", columns("idx bigint"), columns("stamp double, scan_start double"))
+        self.scans = handle.getListState("scans", _SCAN)
 
-    def _deadline(self, end: float) -> int:
-        return int(np.floor((end + self.wait) * MS)) + 2
+    def _deadline(self, waiting: pd.DataFrame) -> np.ndarray:
+        return np.floor((waiting["stamp"].to_numpy(float) + self.wait) * MS).astype("int64") + 2
 
     def _judged(self, imu: np.ndarray, waiting: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         """Whether the IMU covers each scan's end in time, and whether its buffer reaches back to the start."""
@@ -506,35 +511,45 @@ class BoundedWait(Live):
         return padded[at] <= end + self.wait, np.where(back >= 0, padded[back], -np.inf) >= end - self.horizon
 
     def _waiting(self) -> pd.DataFrame:
-        return frame_of([(*k, *v) for k, v in self.scans.iterator()], ("idx", "stamp", "scan_start"))
+        return frame_of(list(self.scans.get()), _SCAN.names)
 
-    def _out(self, key, scans_: pd.DataFrame, status: np.ndarray) -> Iterator[pd.DataFrame]:
-        for idx in scans_["idx"].tolist():
-            self.scans.removeKey((idx,))
-        yield from self.keyed(key, scans_.assign(status=status))
+    def _keep(self, waiting: pd.DataFrame) -> None:
+        if len(waiting):
+            self.scans.put(tuples(waiting, _SCAN))
+            self.handle.registerTimer(int(self._deadline(waiting).min()))
+        else:
+            self.scans.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         arrived = pd.concat(list(rows), ignore_index=True)
-        fresh = arrived[arrived["kind"] == "scan"]
-        for idx, stamp, start in fresh[["idx", "stamp", "scan_start"]].itertuples(index=False, name=None):
-            self.scans.updateValue((int(idx),), (float(stamp), float(start)))
-            self.handle.registerTimer(self._deadline(float(stamp)))
+        fresh = arrived.loc[arrived["kind"] == "scan", _SCAN.names]
+        before = self._waiting()
+        # A scan that comes again replaces the one that waits.
+        waiting = (pd.concat([before, fresh], ignore_index=True) if len(before) else fresh).drop_duplicates("idx", keep="last")
         new = arrived.loc[arrived["kind"] == "imu", "stamp"].to_numpy(float)
         imu = np.unique(np.concatenate([np.array([s for s, in self.samples.get()], float), new]))
-        waiting = self._waiting()
         covered, reaches = self._judged(imu, waiting)
         ready = covered & reaches
         if len(new):
             oldest = min(imu[-1] - self.delay, waiting.loc[~ready, "stamp"].min() if (~ready).any() else np.inf) - self.horizon
             self.samples.put([(s,) for s in imu[imu >= oldest].tolist()])
-        yield from self._out(key, waiting[ready], np.full(int(ready.sum()), "ready"))
+        if len(waiting):
+            self._keep(waiting[~ready])
+        yield from self.keyed(key, waiting[ready].assign(status="ready"))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        expired, waiting = expiredTimerInfo.getExpiryTimeInMs(), self._waiting()
-        over = waiting[np.array([self._deadline(s) <= expired for s in waiting["stamp"]], bool)]
+        waiting = self._waiting()
+        if not len(waiting):
+            return
+        clock = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        due = self._deadline(waiting) <= clock
+        if not due.any():
+            return
+        over = waiting[due]
         imu = np.unique(np.array([s for s, in self.samples.get()], float))
         covered, reaches = self._judged(imu, over)
-        yield from self._out(key, over, np.where(~reaches, "skipped", np.where(covered, "ready", "behind")))
+        self._keep(waiting[~due])
+        yield from self.keyed(key, over.assign(status=np.where(~reaches, "skipped", np.where(covered, "ready", "behind"))))
 
 
 def bounded_wait(
