@@ -141,3 +141,27 @@ def test_accumulated_points_leave_for_good(spark):
     out = P.accumulate_in_view(spark.createDataFrame(pts), spark.createDataFrame(frames), 5.0, 5.0, 2.0).toPandas()
     assert out.view_frame.tolist() == [0]
     assert pytest.approx(out.bx[0]) == 1.0
+
+
+def test_trajectory_window_bounds_of_long_overlapping_ranges(spark):
+    """Bounds are one row per range; the rows are those between the bounds, equal stamps and ranges without a row included."""
+    rng = np.random.default_rng(2)
+    traj = yaw_poses("a", np.sort(rng.integers(0, 300, 900)).astype(float), np.arange(900.0), 0.0, 0.0)
+    start = rng.uniform(-20, 320, 60)
+    ranges = pd.DataFrame({"drive": "a", "range_id": np.arange(60), "from_stamp": start, "to_stamp": start + rng.choice([0.0, 0.5, 40.0, 400.0], 60)})
+    stamps, want = traj.stamp.to_numpy(), {}
+    for r in ranges.itertuples():
+        before, after = np.searchsorted(stamps, r.from_stamp), np.searchsorted(stamps, r.to_stamp) + 1
+        first, last = max(before, 1), min(after, 900)
+        first, last = min(first, 900), max(last, min(first, 900))
+        if first == last:
+            first, last = (first, last + 1) if last < 900 else (first - 1, last)
+        want[r.range_id] = (first, last)
+    t, q = spark.createDataFrame(traj), spark.createDataFrame(ranges)
+    bounds = P.window_bounds(t, q).toPandas()
+    rows = P.trajectory_window(t, q).toPandas()
+    assert {b.range_id: (b.first_rn, b.last_rn) for b in bounds.itertuples()} == want
+    found = rows.groupby("range_id").rn.agg(["min", "max", "count", "nunique"])
+    assert {i: (r["min"], r["max"]) for i, r in found.iterrows()} == want
+    assert (found["count"] == found["max"] - found["min"] + 1).all() and (found["nunique"] == found["count"]).all()
+    assert (rows.x == rows.rn - 1).all()
