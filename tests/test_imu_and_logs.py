@@ -7,6 +7,7 @@ from tests.helpers import POSE, walk, yaw_poses
 from wayfold.functions import rigid, scans
 from wayfold.operators import imu, matchlog, selection
 from wayfold.operators.ordered import Chunks
+from wayfold.plans import registration
 from wayfold.plans.registration import se3_exp_np
 
 
@@ -222,3 +223,27 @@ def test_corrections_are_limited(spark):
             assert np.allclose(list(out.out), list(row.f)) and np.isclose(turned, 0.4)
         else:
             assert np.isclose(moved, 0.5) and np.isclose(turned, 0.1)
+
+
+def test_blend_in_order_without_pairs(spark):
+    """Many overlapping corrections, in `seq` order whatever their times, and no table of pose-correction pairs."""
+    rng = np.random.default_rng(6)
+    poses = walk("a", 60, 2).assign(label="as it was", count=np.arange(60))
+    n, last = 40, poses.stamp.max()
+    since = rng.uniform(-1, last, n)
+    c = pd.DataFrame({"drive": "a", "seq": rng.permutation(n), "since": since, "scan": since + rng.choice([0.0, 1.0, 3.0], n), "angle": rng.normal(0, 0.4, n), "step": rng.normal(0, 1.0, n)})
+    c["tip"] = c.scan + rng.uniform(0, 3, n)
+    zero = F.lit(0.0)
+    delta = rigid.Pose(rigid.Vec(F.col("step"), zero, F.col("step") / 2), rigid.yaw_quat(F.col("angle")))
+    frame = imu.blend_corrections(spark.createDataFrame(poses), spark.createDataFrame(c).withColumn("delta", delta.struct()).drop("angle", "step"), bucket_s=1.5)
+    assert "collect_list" not in frame._jdf.queryExecution().toString()
+    got = frame.toPandas().sort_values("idx")
+    want = poses[POSE].to_numpy(float)
+    for r in c.sort_values("seq").itertuples():
+        pose = np.array([[r.step, 0.0, r.step / 2, np.cos(r.angle / 2), 0.0, 0.0, np.sin(r.angle / 2)]])
+        xi = registration.se3_log_np(pose)
+        for k, t in enumerate(poses.stamp):
+            if r.since < t <= r.tip:
+                alpha = (t - r.since) / (r.scan - r.since) if t < r.scan else 1.0
+                want[k] = scans.pose_mul(want[k: k + 1], registration.se3_exp_np(alpha * xi))[0]
+    assert np.allclose(got[POSE].to_numpy(float), want) and (got.label == "as it was").all() and got["count"].tolist() == list(range(60))

@@ -8,8 +8,11 @@ drive is cut into chunks and the result is still that of the sequential filter.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -353,6 +356,42 @@ def pair_scans(
     ).drop("t0", "t1", "motion")
 
 
+def _moved(p: np.ndarray, t: Sequence, q: Sequence) -> None:
+    """Poses (rows x, y, z, qw, qx, qy, qz; one column each) times a motion of which every part is a number or one per pose."""
+    (x, y, z, w, a, b, c), (tx, ty, tz), (qw, qa, qb, qc) = p, t, q
+    ux, uy, uz = 2.0 * (b * tz - c * ty), 2.0 * (c * tx - a * tz), 2.0 * (a * ty - b * tx)
+    p[:] = (
+        x + tx + w * ux + b * uz - c * uy, y + ty + w * uy + c * ux - a * uz, z + tz + w * uz + a * uy - b * ux,
+        w * qw - a * qa - b * qb - c * qc, w * qa + a * qw + b * qc - c * qb,
+        w * qb - a * qc + b * qw + c * qa, w * qc + a * qb - b * qa + c * qw,
+    )
+
+
+def _blended(p: np.ndarray, stamps: np.ndarray, c: dict[str, np.ndarray]) -> None:
+    """Poses, columns in order of `stamps`, with the corrections applied one after another, each to the stretch that it covers."""
+    first = np.searchsorted(stamps, c["since"], side="right")
+    last = np.searchsorted(stamps, c["tip"], side="right")
+    ramp = np.where(c["scan"] - c["since"] > 1.0e-9, np.searchsorted(stamps, c["scan"], side="left"), first).clip(first, last)
+    xi = c["xi"]
+    v, w, angle = xi[:, :3], xi[:, 3:], np.linalg.norm(xi[:, 3:], axis=1)
+    u = np.cross(w, v)
+    uu, whole = np.cross(w, u), scans.se3_exp(xi)
+    for i in np.flatnonzero(last > first).tolist():
+        a, m, b = first[i], ramp[i], last[i]
+        if m > a:  # exp of the scaled tangent: its directions stay, only three lengths and the angle change
+            alpha = ((stamps[a:m] - c["since"][i]) / (c["scan"][i] - c["since"][i])).clip(0.0, 1.0)
+            t = alpha * angle[i]
+            small, half, square = t < 1.0e-3, 0.5 * t, t * t
+            safe = np.where(small, 1.0, t)
+            sine = np.sin(half)
+            k2 = alpha * alpha * np.where(small, 0.5 - square / 24.0, (1.0 - np.cos(safe)) / (safe * safe))
+            k3 = alpha**3 * np.where(small, 1.0 / 6.0 - square / 120.0, (safe - np.sin(safe)) / (safe * safe * safe))
+            turn = alpha * np.where(t < 1.0e-8, 0.5, sine / np.where(t < 1.0e-8, 1.0, t))
+            _moved(p[:, a:m], [alpha * v[i, k] + k2 * u[i, k] + k3 * uu[i, k] for k in range(3)], [np.cos(half), *[turn * w[i, k] for k in range(3)]])
+        if b > m:
+            _moved(p[:, m:b], whole[i, :3].tolist(), whole[i, 3:].tolist())
+
+
 def blend_corrections(
     poses: DataFrame, corrections: DataFrame, keys: Sequence[str] = DRIVE, bucket_s: float = 5.0
 ) -> DataFrame:
@@ -360,38 +399,36 @@ def blend_corrections(
 
     `corrections`: `seq, since, scan, tip, delta` (pose struct). A correction touches poses with
     since < stamp <= tip; alpha ramps from 0 to 1 over (since, scan] and stays 1 up to the tip. Corrections
-    apply in `seq` order; only those that overlap a pose are gathered for it.
+    apply in `seq` order. Poses of a time bucket meet the corrections that reach into it in one group; the pairs of both
+    exist only there, one correction at a time, so memory and shuffle are those of the rows and not of the pairs.
     """
     c = rigid.stage_se3_log(corrections, rigid.pose("delta."), "xi").withColumn(
         "_bucket",
         F.explode(F.sequence(F.floor(F.col("since") / bucket_s).cast("bigint"),
                              F.floor(F.col("tip") / bucket_s).cast("bigint"))),
     )
+    xi = [F.col(f"xi.{n}").alias(f"xi_{n}") for n in rigid.TWIST_FIELDS]
     size = F.sqrt(sum((F.col(f"xi.{n}") ** 2 for n in rigid.TWIST_FIELDS), F.lit(0.0)))
-    c = c.filter(size > 1.0e-8).select(*keys, "_bucket", "seq", "since", "scan", "tip", "xi")
+    known = reduce(and_, [F.col(k).isNotNull() for k in keys])  # a pose without a key has no corrections
+    c = c.filter((size > 1.0e-8) & known).select(*keys, "_bucket", "seq", "since", "scan", "tip", *xi)
     p = poses.withColumn("_bucket", F.floor(F.col("stamp") / bucket_s).cast("bigint"))
-    hit = p.select(*keys, "idx", "stamp", "_bucket").join(c, [*keys, "_bucket"]).filter(
-        (F.col("stamp") > F.col("since")) & (F.col("stamp") <= F.col("tip"))
-    )
-    span = F.col("scan") - F.col("since")
-    alpha = F.when(
-        (F.col("stamp") < F.col("scan")) & (span > 1.0e-9), rigid.clamp((F.col("stamp") - F.col("since")) / span, 0, 1)
-    ).otherwise(1.0)
-    hit = hit.withColumn("_xi", rigid.twist("xi.").scale(alpha).struct())
-    steps = rigid.stage_se3_exp(hit, rigid.twist("_xi."), "_step").groupBy(*keys, "idx", "stamp").agg(
-        F.array_sort(F.collect_list(F.struct("seq", F.col("_step").alias("step")))).alias("_steps")
-    )
-
-    def as_pose(c: Column) -> rigid.Pose:
-        f = [c.getField(n) for n in rigid.POSE_FIELDS]
-        return rigid.Pose(rigid.Vec(*f[:3]), rigid.Quat(*f[3:]))
-
-    out = poses.join(steps, [*keys, "idx", "stamp"], "left")
-    folded = F.aggregate(
-        F.coalesce("_steps", F.array().cast(steps.schema["_steps"].dataType)), rigid.pose().struct(),
-        lambda acc, s: as_pose(acc).mul(as_pose(s.getField("step"))).struct(),
-    )
-    out = out.withColumn("_p", folded)
-    return out.withColumns({n: F.col(f"_p.{n}") for n in rigid.POSE_FIELDS}).drop("_p", "_steps")
-
-
+    schema, fields = poses.schema, list(rigid.POSE_FIELDS)
+
+    def together(rows: pa.Table, fixes: pa.Table) -> pa.Table:
+        rows = rows.select(schema.names)
+        if not rows.num_rows or not fixes.num_rows:
+            return rows
+        rows = rows.sort_by("stamp")  # nulls and NaN last: no correction reaches them
+        order = ["seq", "since", "scan", "tip"]
+        fixes = fixes.sort_by([(n, "ascending") for n in [*order, *[f"xi_{n}" for n in rigid.TWIST_FIELDS]]])
+        col = lambda table, name: table.column(name).to_numpy(zero_copy_only=False).astype(float)
+        fix = {n: col(fixes, n) for n in order[1:]} | {"xi": np.stack([col(fixes, f"xi_{n}") for n in rigid.TWIST_FIELDS], axis=1)}
+        out = np.stack([col(rows, n) for n in fields])
+        _blended(out, col(rows, "stamp"), fix)
+        for k, n in enumerate(fields):
+            at = rows.schema.get_field_index(n)
+            rows = rows.set_column(at, rows.schema.field(at), pa.array(out[k], rows.schema.field(at).type, from_pandas=True))
+        return rows
+
+    parts = [*keys, "_bucket"]
+    return p.groupBy(*parts).cogroup(c.groupBy(*parts)).applyInArrow(together, schema)
