@@ -17,8 +17,8 @@ from .evaluation import BRACKET, GAP, _SCREW_OUT, kitti_sql, screw_sql, unique_p
 from .logs import _DECIMATE, _HEALTH, _SKIP, LOG
 from .registry import ERR2, FIRST2, UNIQUE, query, r, rounded, rs
 
-#: Steps in which a table arrives, and files of each step.
-STEPS, FILES = 3, 4
+#: Steps in which a table arrives (at least), files of each step, and most rows of one, as a micro-batch is held by Python workers.
+STEPS, FILES, STEP_ROWS = 3, 4, 1_000_000
 POSE = list(POSE_FIELDS)
 #: Drive of the last row of a stream, which only moves the watermark.
 CLOCK = -1
@@ -29,11 +29,17 @@ def _folder(spark: SparkSession) -> str:
 
 
 def replay(rows: DataFrame, by: str = "stamp", tick: bool = True) -> DataFrame:
-    """`rows` as a file stream that arrives in STEPS steps of `by`; after them, with `tick`, one row of the drive CLOCK far in the future."""
+    """`rows` as a file stream that arrives in steps of `by`, the more the more rows; after them, with `tick`, one row of the drive CLOCK
+    far in the future."""
     spark, folder, files = rows.sparkSession, _folder(rows.sparkSession), _folder(rows.sparkSession)
     rows.write.parquet(folder)
     rows = spark.read.schema(rows.schema).parquet(folder)
-    edges = rows.agg(F.percentile_approx(by, [i / STEPS for i in range(1, STEPS)]).alias("e"), F.max("stamp").alias("last")).first()
+    steps = max(STEPS, -(-rows.count() // STEP_ROWS))
+    if steps > STEPS:  # sorted once, so that a step reads its own rows only
+        ordered = _folder(spark)
+        rows.repartitionByRange(steps, by).sortWithinPartitions(by).write.parquet(ordered)
+        rows = spark.read.schema(rows.schema).parquet(ordered)
+    edges = rows.agg(F.percentile_approx(by, [i / steps for i in range(1, steps)]).alias("e"), F.max("stamp").alias("last")).first()
     bounds = [None, *(edges["e"] or []), None]
     for low, high in zip(bounds, bounds[1:]):
         part = rows if low is None else rows.where(F.col(by) >= low)

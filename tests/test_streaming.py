@@ -216,3 +216,15 @@ def test_waiting_scans_are_judged_together(spark):
     for at in sorted(handle.timers):
         out += wait.handleExpiredTimer(("a",), _At(clock), _At(at))
     assert sorted(pd.concat(out).idx) == list(range(n)) and handle.reads < 20
+
+
+def test_a_replayed_step_is_bounded(spark, monkeypatch):
+    """The steps of a replayed table grow in number, not in size, and lose no row."""
+    from checks import streams
+
+    monkeypatch.setattr(streams, "STEP_ROWS", 100)
+    rows = spark.range(1000).selectExpr("id % 3 as drive", "id as idx", "cast((id * 7) % 1000 as double) as stamp")
+    stream, sizes = streams.replay(rows, tick=False), []
+    query = stream.writeStream.foreachBatch(lambda batch, _: sizes.append(batch.count())).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sum(sizes) == 1000 and max(sizes) <= 150
