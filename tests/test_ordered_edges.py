@@ -88,3 +88,11 @@ def test_deskew_of_a_scan_across_a_hole(spark):
         for i in range(s * 20, s * 20 + 20):
             here = world(poses[i], np.array([1.0, 2.0, 0.5]))
             assert np.allclose(world(end, got[["x", "y", "z"]].to_numpy()[i]), here, atol=1e-6)
+
+
+def test_a_chunk_bounds_what_one_task_sorts(spark):
+    """A key of 750,000 rows is cut into chunks of about 100,000."""
+    rows = spark.range(750_000).selectExpr("0 as drive", "id * 0.5D as stamp")
+    ch = Chunks.plan(rows, ("drive",), "stamp")
+    sizes = ch.label(rows, ("drive",), "stamp").groupBy("drive", "_chunk").count().toPandas()["count"]
+    assert not ch.whole and sizes.max() <= 110_000 and sizes.sum() == 750_000
