@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.helpers import walk
-from wayfold.operators import association, cells, points
+from wayfold.operators import association, cells, metrics, points, scan
 from wayfold.operators.ordered import Chunks, asof, lag_row, row_numbers, running
 from wayfold.plans import evaluate
 
@@ -96,3 +96,35 @@ def test_a_chunk_bounds_what_one_task_sorts(spark):
     ch = Chunks.plan(rows, ("drive",), "stamp")
     sizes = ch.label(rows, ("drive",), "stamp").groupBy("drive", "_chunk").count().toPandas()["count"]
     assert not ch.whole and sizes.max() <= 110_000 and sizes.sum() == 750_000
+
+
+def shown(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_chunk_tables_are_broadcast_and_shared_inputs_derived_once(spark):
+    df = spark.range(2_000).selectExpr("'a' AS drive", "id * 0.1D AS stamp", "id AS idx", "id % 7 * 1.0D AS x")
+    chunks = Chunks.plan(df, KEYS, "stamp", 100)
+    assert chunks.pieces == 21  # the last row begins one
+    for one in (row_numbers(df, KEYS, ORDER, "rn", chunks), lag_row(df, KEYS, ORDER, ("x",), chunks), running(df, KEYS, ORDER, {"s": ("sum", F.col("x"))}, chunks)):
+        assert "BroadcastHashJoin" in shown(one) and "SortMergeJoin" not in shown(one)
+    pose = "named_struct('x', x, 'y', x * 2, 'z', 0D, 'qw', 1D, 'qx', 0D, 'qy', 0D, 'qz', 0D)"
+    pairs = df.selectExpr("drive", "stamp", "idx", f"{pose} AS est", f"{pose} AS gt")
+    for fn in (metrics.kitti_segments, metrics.kitti_segments_legacy):
+        assert "_step" not in shown(fn(pairs, lengths=(50.0,), chunks=chunks))
+    scanned = scan.prefix_scan(df, KEYS, ORDER, ["x"], ["p"], np.add, chunks)
+    assert shown(scanned).count("FlatMapGroupsInPandas") == 1  # the links only
+    want = scan.prefix_scan(df, KEYS, ORDER, ["x"], ["p"], np.add, Chunks())
+    assert same(scanned, want) == 2_000
+
+
+def test_tables_not_asked_for_cost_nothing(spark, monkeypatch):
+    def unwanted(*_, **__):
+        raise AssertionError("made without being asked for")
+
+    for name in ("ate_split", "rpe", "kitti_segments", "kitti_segments_legacy", "ate_planar"):
+        monkeypatch.setattr(metrics, name, unwanted)
+    poses = spark.createDataFrame(walk("a", 40, 1))
+    pairs = association.associate_unique(poses, poses, 0.1)
+    assert list(evaluate.compare_pairs(pairs, parts=("errors",))) == ["errors"]
+    assert evaluate.evaluate_planar(poses, poses, parts=()) == (None, None)

@@ -41,6 +41,7 @@ def prefix_scan(
     done = labelled.groupBy(*parts).applyInPandas(local, schema)
     if chunks.whole:
         return done.drop(CHUNK)
+    done = cut(done)  # read for the totals and for the rows; Python would run for each, and again for each scan on top
     tail = F.max_by(F.struct(*outs), F.struct(*by)).alias("_tail")
     totals = done.groupBy(*parts).agg(tail).select(*parts, *[F.col(f"_tail.{o}").alias(o) for o in outs])
     carry_schema = T.StructType(
@@ -56,7 +57,7 @@ def prefix_scan(
         return pdf[key_names + carry_names]
 
     carried = totals.groupBy(*keys).applyInPandas(link, carry_schema)
-    joined = join_equal(done, carried, parts)
+    joined = chunks.join(done, carried, keys)
 
     def attach(batches):
         for pdf in batches:
