@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.helpers import walk
+from wayfold.functions import rigid
 from wayfold.operators import association, cells, metrics, points, scan
 from wayfold.operators.ordered import Chunks, asof, lag_row, row_numbers, running
 from wayfold.plans import evaluate
@@ -128,3 +129,23 @@ def test_tables_not_asked_for_cost_nothing(spark, monkeypatch):
     pairs = association.associate_unique(poses, poses, 0.1)
     assert list(evaluate.compare_pairs(pairs, parts=("errors",))) == ["errors"]
     assert evaluate.evaluate_planar(poses, poses, parts=()) == (None, None)
+
+
+def test_deskew_looks_points_up_in_their_scans_path(spark):
+    """Paths in pieces of any size, rows of one stamp, points on a stamp, ahead of the path, behind it and without a time."""
+    traj = walk("a", 60, 5)
+    traj.loc[20:24, "stamp"] = traj.stamp[20]
+    t = np.concatenate([np.linspace(-1, 12, 80), traj.stamp[15:30], [np.nan]])
+    pts = pd.DataFrame({"drive": "a", "scan_id": np.arange(len(t)) % 2, "idx": np.arange(len(t)), "t": t, "x": 1.0, "y": 2.0, "z": 0.5})
+    rows = spark.createDataFrame(pts).withColumn("t", F.nullif(F.nanvl("t", F.lit(-99.0)), F.lit(-99.0)))
+    route = spark.createDataFrame(traj)
+    ends = rows.groupBy("drive", "scan_id").agg(F.max("t").alias("t"))
+    end = association.interpolate_clamped(ends, route, "t", chunks=Chunks(), into="end").select("drive", "scan_id", "end")
+    at = association.interpolate_clamped(rows, route, "t", chunks=Chunks()).join(end, ["drive", "scan_id"])
+    want = rigid.pose("end.").between(rigid.pose("at.")).apply(rigid.vec())
+    want = at.select("idx", *[c.alias(a) for a, c in zip("xyz", want)]).toPandas().sort_values("idx")[["x", "y", "z"]]
+    for size in (1, 3, 7, 64):
+        out = points.deskew(rows, route, piece_rows=size)
+        assert "Window" not in shown(out)
+        got = out.toPandas().sort_values("idx")
+        assert list(got.idx) == list(range(len(t))) and np.allclose(got[["x", "y", "z"]], want, atol=1e-9)
