@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayfold.llm import decontam, embed_dedup, langid, licenses, packing, quality, token_counts
-from wayfold.llm.common import crc_remainder, local_components
+from wayfold.llm.common import crc_remainder, local_components, worker_memory
 
 
 def docs_of(spark, rows, more=""):
@@ -52,6 +52,24 @@ def test_factorisation_identity():
     assert np.isclose(model.margin(at, x), 0.3 + model.weights[at] @ x + pairs)
 
 
+def test_quality_sends_a_text_to_the_workers_once(spark):
+    docs = docs_of(spark, [(1, "one two"), (2, None)])
+    scored = quality.score(docs, quality.fit(docs, spark.createDataFrame([], "doc_id long, quality int")), text_col="TEXT")
+    node = scored._jdf.queryExecution().analyzed()
+    while "MapInArrow" not in node.nodeName():
+        node = node.children().head()
+    output = node.children().head().output()
+    assert [output.apply(i).name() for i in range(output.size())] == ["row"]
+    assert [(r.doc_id, r.text, r.score) for r in scored.orderBy("doc_id").collect()] == [(1, "one two", 0.5), (2, None, 0.5)]
+
+
+def test_workers_let_go_of_what_other_operators_keep():
+    path = packing.tokenizer_path()
+    first = packing.Encoder.of(path)
+    assert packing.Encoder.of(path) is first and worker_memory("packing")[path] is first
+    assert worker_memory("quality") == {} and packing.Encoder.of(path) is not first
+
+
 def test_quality_without_labels_and_with_metadata(spark):
     docs = docs_of(spark, [(1, "a b", 3.0, "x"), (2, None, None, "x")], ", weight double, y string")
     none = spark.createDataFrame([], "doc_id long, quality int")

@@ -16,7 +16,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import materialise, ranges, slices
+from wayfold.llm.common import materialise, ranges, slices, worker_memory
 
 CAPACITY, END_ID = 4096, 1
 #: Pieces of one partition; small enough for one task, large enough that best-fit decreasing wastes next to nothing.
@@ -87,8 +87,6 @@ class Encoder:
     remembered. Python sees the distinct parts of a batch only; all else is done column-wise. Plain words are encoded many at a time: a word of letters is one pre-token, and only the last token of a pre-token has the ending
     mark, so the ids of joined words are cut behind those tokens."""
 
-    _shared: dict[str, Encoder] = {}
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -102,10 +100,11 @@ class Encoder:
 
     @classmethod
     def of(cls, path: str) -> Encoder:
-        """One per worker process and file."""
-        if path not in cls._shared:
-            cls._shared[path] = cls(path)
-        return cls._shared[path]
+        """One per worker process and file, until another operator's tasks run there."""
+        kept = worker_memory("packing")
+        if path not in kept:
+            kept[path] = cls(path)
+        return kept[path]
 
     def _one_by_one(self, names: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([n.decode() for n in names], add_special_tokens=False)

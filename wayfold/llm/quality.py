@@ -8,10 +8,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import slices, texts_of
+from wayfold.llm.common import slices, texts_of, worker_memory
 
 WORD_BUCKETS = 1 << 15
 BINS = 12
@@ -86,6 +87,7 @@ class Machine:
 
 def _feature_rows(rows: DataFrame, metadata: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memory("quality")
         for batch in slices(batches):
             more = list(zip(*[batch.column(f"m{i}").to_pylist() for i in range(len(metadata))])) or [()] * batch.num_rows
             found = [features(t, list(m)) for t, m in zip(texts_of(batch), more)]
@@ -164,17 +166,19 @@ def score(docs: DataFrame, model: Machine, text_col: str = "text", metadata: lis
     metadata that is null falls into a bin of its own. Repeated rows stay; an own column named `score` is replaced."""
     metadata = metadata or []
     docs = docs.drop("score")
-    kept = docs.select(
-        F.struct("*").alias("row"), F.col(text_col).alias("text"), *[F.col(m).cast("double").alias(f"m{i}") for i, m in enumerate(metadata)]
-    )
-    return _scored(kept, model, len(metadata)).select("row.*", "score")
+    # Texts go to the workers once, inside their rows.
+    kept = docs.select(F.struct("*").alias("row"), *[F.col(m).cast("double").alias(f"m{i}") for i, m in enumerate(metadata)])
+    place = [c.lower() for c in docs.columns].index(text_col.lower())
+    return _scored(kept, model, place, len(metadata)).select("row.*", "score")
 
 
-def _scored(kept: DataFrame, model: Machine, n: int) -> DataFrame:
+def _scored(kept: DataFrame, model: Machine, place: int, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memory("quality")
         for batch in slices(batches):
             more = list(zip(*[batch.column(f"m{i}").to_pylist() for i in range(n)])) or [()] * batch.num_rows
-            found = pa.array([model.score(t, list(m)) for t, m in zip(texts_of(batch), more)], pa.float64())
+            texts = pa.compute.struct_field(batch.column("row"), [place]).to_pylist()
+            found = pa.array([model.score(t or "", list(m)) for t, m in zip(texts, more)], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column("row"), found], ["row", "score"])
 
     schema = kept.select("row").schema.add("score", "double")
