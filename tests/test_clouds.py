@@ -1,4 +1,5 @@
 import math
+import re
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,7 @@ from wayfold.operators import surface as S
 from wayfold.operators.selection import stable_ids
 from wayfold.plans import cells as cell_plans
 from wayfold.plans import registration
+from wayfold.session import cut
 
 
 def cloud(xyz, drive="a", scan=0, intensity=1.0):
@@ -79,6 +81,26 @@ def test_registration_recovers_a_shift(spark):
     assert np.allclose([out.x, out.y, out.z], 0.0, atol=5e-3) and out.converged and not out.saturated
 
 
+def test_few_poses_are_broadcast_around_the_search(spark):
+    """The same residuals, and points are dealt by voxel only, not by scan."""
+    pts = pd.concat([cloud(corner(), scan=s) for s in (0, 1)])
+    df = spark.createDataFrame(pts)
+    index = S.plane_index(df, S.surface_map(df, 1.0), 1.0).persist()
+    poses = pd.concat([yaw_poses("a", [0.0], 0.1, -0.05, 0.2, 0.1).assign(scan_id=s) for s in (0, 1, 7)])
+    poses = cut(spark.createDataFrame(poses))
+    made = {few: S.plane_residuals(df, poses, index, 1.0, 2.0, few_poses=few) for few in (False, True)}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        dealt = {few: out._jdf.queryExecution().executedPlan().toString() for few, out in made.items()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    by_scan = {few: len(re.findall(r"hashpartitioning\(drive#\d+, scan_id", plan)) for few, plan in dealt.items()}
+    assert by_scan[False] and not by_scan[True]
+    a, b = (made[few].toPandas().sort_values(["scan_id", "idx"], ignore_index=True) for few in (False, True))
+    assert len(a) == len(pts) and a.usable.equals(b.usable) and a.usable.any()
+    assert np.allclose(a[["residual", *S.JAC]], b[["residual", *S.JAC]], atol=1e-9, equal_nan=True)
+
+
 def test_refine_keeps_fixed_scans_and_clamps(spark):
     pts = pd.concat([cloud(corner(), scan=i) for i in range(4)])
     poses = yaw_poses("a", np.arange(4.0), [0.0, 0.0, 0.05, 0.0], 0.0, 0.0).assign(scan_id=np.arange(4))
