@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from checks import evaluation
 from tests.helpers import circle, moved, walk, yaw_poses
 from wayfold.formats import FILTER, ODOM
 from wayfold.operators import align, association, metrics, sections
@@ -198,3 +199,12 @@ def test_two_estimators_compare_as_each_alone(spark):
 def test_no_estimator_is_an_error():
     with pytest.raises(ValueError):
         evaluate.compare_estimators({})
+
+
+def test_trajectory_window_query_lists_its_rows(spark, monkeypatch):
+    """The query's figures are read off the rows themselves: rows taken away are missing from its counts."""
+    real = evaluation.points.trajectory_window
+    monkeypatch.setattr(evaluation.points, "trajectory_window", lambda *a, **k: real(*a, **k).filter("rn % 2 = 0"))
+    out = evaluation.trajectory_window(spark, "/root/testdata/sf0.001")
+    wrong = out.filter((F.col("n") != (F.col("last_rn") - F.col("first_rn")) / 2 + 1) | (F.col("first_rn") % 2 != 0)).count()
+    assert out.count() > 0 and wrong == 0
