@@ -4,8 +4,11 @@ import re
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from checks import clouds
 from tests.helpers import yaw_poses
+from wayfold import driver_views as V
 from wayfold.operators import cells as C
 from wayfold.operators import points as P
 from wayfold.operators import surface as S
@@ -187,3 +190,31 @@ def test_trajectory_window_bounds_of_long_overlapping_ranges(spark):
     assert {i: (r["min"], r["max"]) for i, r in found.iterrows()} == want
     assert (found["count"] == found["max"] - found["min"] + 1).all() and (found["nunique"] == found["count"]).all()
     assert (rows.x == rows.rn - 1).all()
+
+
+@pytest.mark.parametrize("most, size", [(3.0, 5.0), (2.0, 0.7)])
+def test_nearest_points_of_a_cloud_of_any_density(most, size):
+    """Against all distances: far and near clusters, equal distances, odd coordinates, voxels narrower than the search distance."""
+    rng = np.random.default_rng(6)
+    points = np.concatenate([rng.uniform(-9, 9, (200, 3)), rng.normal(0, 0.05, (600, 3)), np.round(rng.uniform(-6, 6, (200, 3))), [[np.nan, 0, 0]]])
+    queries = np.concatenate([rng.uniform(-14, 14, (200, 3)), rng.normal(0, 0.1, (200, 3)), np.round(rng.uniform(-7, 7, (200, 3)) * 2) / 2, [[np.inf, 0, 0]]])
+    with np.errstate(invalid="ignore"):
+        d2 = sum((points[:, a] - queries[:, a:a + 1]) ** 2 for a in range(3))
+        apart = (np.abs(np.floor(points / size) - np.floor(queries / size)[:, None]) > 1).any(axis=2)
+    d2 = np.where((d2 < most * most) & ~apart, d2, np.inf)
+    want = np.where(np.isfinite(d2.min(axis=1)), d2.argmin(axis=1), -1)
+    assert (want >= 0).any() and (want < 0).any()
+    assert S.nearest_points(points, queries, most, size).tolist() == want.tolist()
+
+
+def test_register_scans_query_uses_every_map_point(spark):
+    """As with a block index of all points, in tiles; not as with one point per 2.5 m."""
+    sf = "/root/testdata/sf0.001"
+    poses = V.scan_poses(spark, sf)
+    world = P.merge_scan_points(V.points(spark, sf), poses)
+    index = S.plane_index(world, S.surface_map(world, 5.0), 5.0)
+    params = registration.RegisterParams(max_distance=3.0, max_iterations=4)
+    want = registration.register_scans(V.points(spark, sf), poses.withColumn("z", F.col("z") + 0.1), index, 5.0, params).toPandas().set_index(["drive", "scan_id"]).sort_index()
+    got = clouds.register_scans(spark, sf).toPandas().set_index(["drive", "scan_id"]).sort_index()
+    assert len(got) == 32 and (got.correspondences == want.correspondences).all() and (got.iterations == want.iterations).all()
+    assert np.allclose(got.z, want.z, atol=6e-4) and np.allclose(got.robust_cost, want.robust_cost, atol=6e-4)
