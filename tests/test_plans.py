@@ -1,12 +1,16 @@
 """Plans: a filter on a key reaches every scan through derived columns."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tests.helpers import walk
+from wayfold import session
 from wayfold.functions.staging import let, pinned
-from wayfold.operators import association, surface
+from wayfold.operators import association, metrics, surface
+from wayfold.operators.ordered import Chunks
 
 
 def plan_of(df):
@@ -64,3 +68,19 @@ def test_a_filter_on_a_derived_column_stays_above(spark):
 
 def test_pinned_columns_of_an_empty_table(spark):
     assert pinned(spark.range(0), {"s": F.lit(1.0)}).collect() == []
+
+
+def test_steps_along_one_axis_share_a_shuffle(spark):
+    """A chunked distance deals its rows once, beside the totals of the two steps; big tables are kept as Parquet."""
+    rows = spark.range(4000).select((F.col("id") % 2).alias("drive"), F.col("id").alias("idx"), (F.col("id") * 0.1).alias("stamp"), F.sin("id").alias("x"), F.cos("id").alias("y"), F.lit(0.0).alias("z"))
+    chunks = Chunks.plan(rows, ("drive",), "stamp", 100)
+    out = metrics.cumulative_distance(rows, chunks=chunks)
+    assert out.columns == [*rows.columns, "distance"]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = plan_of(out)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert chunks.pieces > 20 and len(re.findall(r"Exchange hashpartitioning\(drive#\d+L, _chunk#\d+L", plan)) <= 3
+    kept = session.stored(out)
+    assert kept.schema.names == out.schema.names and kept.count() == 4000 and all(f.endswith(".parquet") for f in kept.inputFiles())
